@@ -30,15 +30,13 @@ def state_as_of(
     day = whole_days(F.lit(start), time)
     past_midnight = F.col(time) > F.to_date(time).cast("timestamp_ntz")
     days_up = day + F.when(past_midnight, 1).otherwise(0)
-    # The first date at or after the row; all rows after the last date share one slot.
-    slot = F.least(
-        F.greatest(F.ceil(days_up / F.lit(step_days)), F.lit(0)), F.lit(periods)
-    ).cast("int")
-
-    latest = (
-        rows.where(F.col(time).isNotNull())
-        .groupBy(key, slot.alias("slot"))
-        .agg(F.max(F.struct(time, tiebreak, *values)).alias("latest"))
+    # The first date at or after the row. Rows after the last date, or without a time, share
+    # a slot beyond it that no date reaches.
+    reached_at = F.greatest(F.ceil(days_up / F.lit(step_days)), F.lit(0))
+    slot = F.when(F.col(time).isNull(), periods).otherwise(F.least(reached_at, F.lit(periods)))
+
+    latest = rows.groupBy(key, slot.cast("int").alias("slot")).agg(
+        F.max(F.struct(time, tiebreak, *values)).alias("latest")
     )
     timeline = Window.partitionBy(key).orderBy("slot")
     spans = latest.select(

@@ -17,15 +17,18 @@ def sessions(rows: DataFrame, key: str, time: str, gap: timedelta) -> DataFrame:
     time are in no session.
     """
     width = f"{gap // timedelta(microseconds=1)} microseconds"
-    tumbled = rows.groupBy(key, F.window(time, width).alias("tumble")).agg(
+    tumbled = rows.groupBy(key, F.window(time, width).start.alias("tumble")).agg(
         F.min(time).alias("earliest"), F.max(time).alias("latest"), F.count("*").alias("n_events")
     )
-    timeline = Window.partitionBy(key).orderBy("tumble")
+    timeline = Window.partitionBy(key).orderBy("earliest")
     silence = F.col("earliest") - F.lag("latest").over(timeline)
-    opens = F.when(silence.isNull() | (silence > F.lit(gap)), 1).otherwise(0)
+    # The first row's silence is null, which also opens a session.
+    opens = F.when(silence <= F.lit(gap), 0).otherwise(1)
     return (
-        tumbled.select(key, "tumble", "earliest", "n_events", opens.alias("opens"))
-        .withColumn("session", F.sum("opens").over(timeline))
+        tumbled.select(key, "earliest", "n_events", opens.alias("opens"))
+        .withColumn(
+            "session", F.sum("opens").over(timeline.rowsBetween(Window.unboundedPreceding, 0))
+        )
         .groupBy(key, "session")
         .agg(F.min("earliest").alias("session_start"), F.sum("n_events").alias("n_events"))
         .drop("session")

@@ -6,17 +6,22 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from tallybook.functions import epoch_seconds, ratio
 
+# A key is hot above this many rows, and above this part of all rows.
 HOT_ROWS = 5_000_000
+MAX_HOT_KEYS = 100_000
 STRETCH_SECONDS = 60
 
 
 def hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows: at most (rows / ``hot_rows``) of them.
+    """``hot_key``: keys with more than ``hot_rows`` rows and more than 1/100,000 of all rows.
 
-    At the default that is 200,000 keys in 10**12 rows, a few megabytes.
+    The second condition keeps the list below 100,000 keys for any number of rows, so
+    it can be broadcast; a key it leaves out is no larger than that part.
     """
-    return (
-        rows.groupBy(key).count().where(F.col("count") > hot_rows).select(F.col(key).alias("hot_key"))
+    counted = rows.groupBy(key).agg(F.count("*").alias("n_rows"))
+    part = counted.select((F.sum("n_rows") / MAX_HOT_KEYS).alias("part")).scalar()
+    return counted.where((F.col("n_rows") > hot_rows) & (F.col("n_rows") > part)).select(
+        F.col(key).alias("hot_key")
     )
 
 
@@ -32,9 +37,9 @@ def consecutive_pairs(
     """``from_state, to_state``: each row's state after the row before it of the same key.
 
     The same pairs as ``lag(state)`` over the key ordered by (``time``, ``tiebreak``),
-    without sorting a key that holds a large part of all rows in one task. Keys above
-    ``hot_rows`` are cut into stretches of time and ordered within those; the pairs
-    across two stretches come from the first and last row of each. Smaller keys stay
+    without sorting a key that holds a large part of all rows in one task. Hot keys are
+    cut into stretches of time and ordered within those; the pairs
+    across two stretches come from the first and last row of each. Other keys stay
     whole, so they are shuffled once. One key's rows of one stretch still meet in a task:
     choose its length so that they fit. ``time`` is a ``timestamp_ntz``.
     """

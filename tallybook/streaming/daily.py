@@ -18,8 +18,9 @@ DAY = 86_400_000_000  # microseconds
 
 
 def stream_events(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The events table as a stream, new files of ``{root}/events.parquet*`` as they appear.
+    """The events table as a stream: ``{root}/events*.parquet``, files or directories of files.
 
+    It is a pattern because a streaming source takes no path of a single file.
     Watermarks need a zoned timestamp. Declaring the column as one takes the stored
     microseconds as they are, so a day of the stream is a day of the stored clock in
     any session time zone.
@@ -30,10 +31,10 @@ def stream_events(spark: SparkSession, root: str, files_per_trigger: int | None
             for field in SCHEMAS["events"]
         ]
     )
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", "events*.parquet")
+    reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(root)
+    return reader.parquet(f"{root}/events*.parquet")
 
 
 def daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
