@@ -47,3 +47,42 @@ def rows_of():
         )
 
     return collect
+
+
+def _nodes(node):
+    """A finished plan's operators, through adaptive stages."""
+    yield node
+    kind = node.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        inner = [node.executedPlan()]
+    elif kind.endswith("QueryStageExec"):
+        inner = [node.plan()]
+    else:
+        children = node.children()
+        inner = [children.apply(place) for place in range(children.size())]
+    for child in inner:
+        yield from _nodes(child)
+
+
+@pytest.fixture
+def shuffles_of():
+    """Run a result; its shuffles as (partitioning, rows written, bytes per partition), last first."""
+
+    def shuffles(frame):
+        frame.collect()
+        stages = (
+            node
+            for node in _nodes(frame._jdf.queryExecution().executedPlan())
+            if node.getClass().getSimpleName() == "ShuffleQueryStageExec"
+        )
+        return [
+            (
+                stage.shuffle().outputPartitioning().toString(),
+                stage.shuffle().metrics().apply("shuffleRecordsWritten").value(),
+                list(stage.mapStats().get().bytesByPartitionId()),
+            )
+            for stage in stages
+            if stage.mapStats().isDefined()
+        ]
+
+    return shuffles

@@ -7,7 +7,7 @@ from collections import Counter
 from datetime import date, datetime, timedelta
 
 import pytest
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from tallybook.operators import asof, sessions, transitions
 
@@ -104,22 +104,41 @@ def test_states_are_those_of_a_search(skewed, rows_of, step_days, periods):
     assert rows_of(found) == sorted(expected, key=order)
 
 
-def test_no_window_holds_a_busy_key(spark):
-    """Rows that reach each per-key window stay few when one key's rows grow."""
-    busy = spark.range(200_000).select(
-        F.lit(0).cast("bigint").alias("user_id"),
-        (F.lit(START) + F.make_dt_interval(secs=F.col("id") % 86400)).cast("timestamp_ntz").alias("ts"),
-        F.col("id").alias("event_id"),
-        F.lit("a").alias("event_type"),
+@pytest.fixture(scope="module")
+def busy(spark):
+    """Half of 200,000 rows on one key, spread over two days and eight partitions."""
+    number = F.col("id")
+    return spark.range(0, 200_000, 1, 8).select(
+        F.when(number % 2 == 0, 0).otherwise(number % 1009).cast("bigint").alias("user_id"),
+        F.timestamp_add("second", number % (2 * 86400), F.lit(START)).cast("timestamp_ntz").alias("ts"),
+        number.alias("event_id"),
+        F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (number % 7 % 3 + 1).cast("int")).alias(
+            "event_type"
+        ),
     )
-    tumbled = busy.groupBy("user_id", F.window("ts", "6 hours")).count()
-    assert tumbled.count() == 4
-    assert sessions.sessions(busy, "user_id", "ts", timedelta(hours=6)).collect()[0][2] == 200_000
-    widest = (
-        busy.withColumn("stretch", F.floor(F.unix_timestamp("ts") / 60))
-        .groupBy("user_id", "stretch")
-        .count()
-        .select(F.max("count").over(Window.partitionBy("user_id")))
-        .first()[0]
+
+
+def test_sums_not_rows_of_a_busy_key_are_shuffled(busy, shuffles_of):
+    one = busy.where("user_id = 0")
+    found = sessions.sessions(one, "user_id", "ts", timedelta(hours=6))
+    assert sum(row[2] for row in found.collect()) == one.count()
+    # Eight tumbling windows in two days: at most that many rows from each of eight tasks.
+    assert all(rows <= 8 * 8 for _, rows, _ in shuffles_of(found))
+    states = asof.state_as_of(
+        one, "user_id", "ts", "event_id", ["event_type"], date(2024, 1, 1), 1, 4
     )
-    assert widest < 200_000 / 1000
+    assert all(rows <= 8 * 5 for _, rows, _ in shuffles_of(states))
+
+
+def test_a_hot_key_is_spread_over_the_partitions(busy, shuffles_of):
+    def largest_part(hot_rows):
+        pairs = transitions.consecutive_pairs(
+            busy, "user_id", "ts", "event_id", "event_type", hot_rows
+        )
+        sizes = next(
+            sizes for kind, rows, sizes in shuffles_of(pairs) if "stretch" in kind and rows == 200_000
+        )
+        return max(sizes) / sum(sizes)
+
+    assert largest_part(10**9) > 0.5  # kept whole
+    assert largest_part(10_000) < 0.2  # an even part is an eighth
