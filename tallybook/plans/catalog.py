@@ -34,34 +34,50 @@ RATE_BANDS = [
 ]
 
 
+def _receivables(spark: SparkSession, root: str) -> DataFrame:
+    return sources.receivables(sources.read_table(spark, root, "orders"))
+
+
+def _order_lines(spark: SparkSession, root: str) -> DataFrame:
+    return sources.order_lines(sources.read_table(spark, root, "lineitem"))
+
+
+def _debtors(spark: SparkSession, root: str) -> DataFrame:
+    return sources.debtors(sources.read_table(spark, root, "customer"))
+
+
+def _user_events(spark: SparkSession, root: str) -> DataFrame:
+    return sources.user_events(sources.read_table(spark, root, "events"))
+
+
 def monthly_origination(spark: SparkSession, root: str) -> DataFrame:
-    return origination.by_month(sources.receivables(spark, root))
+    return origination.by_month(_receivables(spark, root))
 
 
 def age_buckets(spark: SparkSession, root: str) -> DataFrame:
-    return ageing.age_buckets(sources.receivables(spark, root), AGE_AS_OF)
+    return ageing.age_buckets(_receivables(spark, root), AGE_AS_OF)
 
 
 def largest_debtors(spark: SparkSession, root: str) -> DataFrame:
-    return concentration.largest_debtors(sources.receivables(spark, root))
+    return concentration.largest_debtors(_receivables(spark, root))
 
 
 def debtor_concentration(spark: SparkSession, root: str) -> DataFrame:
-    return concentration.debtor_concentration(
-        sources.receivables(spark, root), sources.debtors(spark, root)
-    )
+    return concentration.debtor_concentration(_receivables(spark, root), _debtors(spark, root))
 
 
 def assignor_rollup(spark: SparkSession, root: str) -> DataFrame:
     return concentration.assignor_rollup(
-        sources.order_lines(spark, root),
-        sources.assignors(spark, root),
-        sources.nations(spark, root),
+        _order_lines(spark, root),
+        sources.assignors(sources.read_table(spark, root, "supplier")),
+        sources.nations(
+            sources.read_table(spark, root, "nation"), sources.read_table(spark, root, "region")
+        ),
     )
 
 
 def origination_cohorts(spark: SparkSession, root: str) -> DataFrame:
-    return origination.cohorts(sources.receivables(spark, root))
+    return origination.cohorts(_receivables(spark, root))
 
 
 def trailing_origination(spark: SparkSession, root: str) -> DataFrame:
@@ -71,32 +87,28 @@ def trailing_origination(spark: SparkSession, root: str) -> DataFrame:
 def event_transitions(spark: SparkSession, root: str) -> DataFrame:
     return transitions.transition_matrix(
         transitions.consecutive_pairs(
-            sources.user_events(spark, root), "user_id", "ts", "event_id", "event_type"
+            _user_events(spark, root), "user_id", "ts", "event_id", "event_type"
         )
     )
 
 
 def band_rates(spark: SparkSession, root: str) -> DataFrame:
-    return bands.band_rates(sources.receivables(spark, root), RATE_BANDS)
+    return bands.band_rates(_receivables(spark, root), RATE_BANDS)
 
 
 def return_rate_by_segment(spark: SparkSession, root: str) -> DataFrame:
     return lines.return_rate_by_segment(
-        sources.order_lines(spark, root),
-        sources.receivables(spark, root),
-        sources.debtors(spark, root),
+        _order_lines(spark, root), _receivables(spark, root), _debtors(spark, root)
     )
 
 
 def header_line_check(spark: SparkSession, root: str) -> DataFrame:
-    return lines.header_line_check(
-        sources.receivables(spark, root), sources.order_lines(spark, root)
-    )
+    return lines.header_line_check(_receivables(spark, root), _order_lines(spark, root))
 
 
 def weekly_state(spark: SparkSession, root: str) -> DataFrame:
     return asof.state_as_of(
-        sources.user_events(spark, root),
+        _user_events(spark, root),
         "user_id",
         "ts",
         "event_id",
@@ -108,7 +120,7 @@ def weekly_state(spark: SparkSession, root: str) -> DataFrame:
 
 
 def activity_sessions(spark: SparkSession, root: str) -> DataFrame:
-    return sessions.sessions(sources.user_events(spark, root), "user_id", "ts", SESSION_GAP)
+    return sessions.sessions(_user_events(spark, root), "user_id", "ts", SESSION_GAP)
 
 
 def streamed_daily_events(spark: SparkSession, root: str) -> DataFrame:

@@ -3,19 +3,21 @@
 A stand-in mapping: an order is a receivable (its total the face value, its date the
 origination), the customer its debtor, a line's supplier the assignor. There is no
 due date, payment or default in the tables, so nothing here is about lateness.
+
+Each function takes a raw table from wherever it was read and renames, so a table's
+partitioning (one bucketed by its key, say) stays usable.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tallybook.functions import cents, discounted_cents
-from tallybook.sources.tables import read_table
 
 
-def receivables(spark: SparkSession, root: str) -> DataFrame:
+def receivables(orders: DataFrame) -> DataFrame:
     """``receivable, debtor, status, originated, face_cents``, one row per order."""
-    return read_table(spark, root, "orders").select(
+    return orders.select(
         F.col("o_orderkey").alias("receivable"),
         F.col("o_custkey").alias("debtor"),
         F.col("o_orderstatus").alias("status"),
@@ -24,9 +26,9 @@ def receivables(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def order_lines(spark: SparkSession, root: str) -> DataFrame:
+def order_lines(lineitem: DataFrame) -> DataFrame:
     """``receivable, assignor, returned, line_cents``, one row per order line, net of discount."""
-    return read_table(spark, root, "lineitem").select(
+    return lineitem.select(
         F.col("l_orderkey").alias("receivable"),
         F.col("l_suppkey").alias("assignor"),
         (F.col("l_returnflag") == "R").alias("returned"),
@@ -34,24 +36,22 @@ def order_lines(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def debtors(spark: SparkSession, root: str) -> DataFrame:
+def debtors(customer: DataFrame) -> DataFrame:
     """``debtor, segment``."""
-    return read_table(spark, root, "customer").select(
+    return customer.select(
         F.col("c_custkey").alias("debtor"), F.col("c_mktsegment").alias("segment")
     )
 
 
-def assignors(spark: SparkSession, root: str) -> DataFrame:
+def assignors(supplier: DataFrame) -> DataFrame:
     """``assignor, nation_key``."""
-    return read_table(spark, root, "supplier").select(
+    return supplier.select(
         F.col("s_suppkey").alias("assignor"), F.col("s_nationkey").alias("nation_key")
     )
 
 
-def nations(spark: SparkSession, root: str) -> DataFrame:
+def nations(nation: DataFrame, region: DataFrame) -> DataFrame:
     """``nation_key, nation, region``."""
-    nation = read_table(spark, root, "nation")
-    region = read_table(spark, root, "region")
     return nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select(
         F.col("n_nationkey").alias("nation_key"),
         F.col("n_name").alias("nation"),
@@ -59,6 +59,6 @@ def nations(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def user_events(spark: SparkSession, root: str) -> DataFrame:
+def user_events(events: DataFrame) -> DataFrame:
     """``event_id, ts, user_id, event_type``."""
-    return read_table(spark, root, "events").select("event_id", "ts", "user_id", "event_type")
+    return events.select("event_id", "ts", "user_id", "event_type")

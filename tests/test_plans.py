@@ -6,6 +6,8 @@ import re
 
 import pytest
 
+from tallybook import sources
+from tallybook.operators import lines
 from tallybook.plans import QUERIES
 
 BATCH = [name for name in QUERIES if name != "streamed_daily_events"]
@@ -106,3 +108,21 @@ def test_aggregates_start_before_the_first_shuffle(plan_of, name):
         assert plan.count("partial_count") >= 2
     else:
         assert "partial_" in plan
+
+
+def test_tables_bucketed_by_receivable_are_joined_in_place(spark, tables, rows_of):
+    """Lines and orders bucketed by order key need no shuffle to meet, and give the same."""
+    for table, key in (("orders", "o_orderkey"), ("lineitem", "l_orderkey")):
+        frame = sources.read_table(spark, tables, table)
+        frame.write.mode("overwrite").bucketBy(4, key).sortBy(key).saveAsTable(f"bucketed_{table}")
+    receivables = sources.receivables(spark.table("bucketed_orders"))
+    order_lines = sources.order_lines(spark.table("bucketed_lineitem"))
+    result = lines.header_line_check(receivables, order_lines)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = result._jdf.queryExecution().executedPlan().toString()
+        found = rows_of(result)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.findall(r"hashpartitioning\((\w+)#", plan) == ["_groupingexpression"]
+    assert found == rows_of(QUERIES["header_line_check"](spark, tables))
