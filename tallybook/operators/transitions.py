@@ -59,10 +59,14 @@ def consecutive_pairs(
     within = (
         marked.withColumn("stretch", F.when(F.col("is_hot"), stretch))
         .select(
-            F.lag(F.struct("state")).over(stretched).alias("before"), F.col("state").alias("to_state")
+            F.lag("state").over(stretched).alias("from_state"),
+            # Renamed only after the window, or the shuffle would carry the state twice.
+            "state",
+            # States may be null; a missing row before is told by a constant.
+            F.lag(F.lit(True)).over(stretched).alias("has_before"),
         )
-        .where(F.col("before").isNotNull())
-        .select(F.col("before.state").alias("from_state"), "to_state")
+        .where("has_before")
+        .select("from_state", F.col("state").alias("to_state"))
     )
 
     row = F.struct("time", "tiebreak", "state")
