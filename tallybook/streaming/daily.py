@@ -22,9 +22,9 @@ STATE_PARTITIONS = 16
 
 
 def stream_events(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
-    """The events table as a stream: ``{root}/events*.parquet``, files or directories of files.
+    """The events table, ``{root}/events.parquet``, as a stream of its files.
 
-    It is a pattern because a streaming source takes no path of a single file.
+    The path is written as a pattern because a streaming source refuses a single file's.
     Watermarks need a zoned timestamp. Declaring the column as one takes the stored
     microseconds as they are, so a day of the stream is a day of the stored clock in
     any session time zone.
@@ -38,7 +38,7 @@ def stream_events(spark: SparkSession, root: str, files_per_trigger: int | None
     reader = spark.readStream.schema(schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(f"{root}/events*.parquet")
+    return reader.parquet(f"{root}/event[s].parquet")
 
 
 def daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:

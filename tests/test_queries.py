@@ -11,12 +11,45 @@ NAMES = sorted(contract.queries())
 USED = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
 
-@pytest.fixture(scope="module", params=["/root/testdata/sf0.001", "/root/testdata/sf0.01"])
-def scale(request):
+# A third of the rows on one key, some keys and amounts moved elsewhere or missing.
+SKEWED = {
+    "orders": """
+        SELECT * REPLACE (
+            CASE WHEN o_orderkey % 3 = 0 THEN 5 ELSE o_custkey END AS o_custkey,
+            CASE WHEN o_orderkey % 7 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice
+        ) FROM '{root}/orders.parquet'
+    """,
+    "lineitem": """
+        SELECT * REPLACE (
+            CASE WHEN hash(l_orderkey, l_extendedprice) % 3 = 0 THEN 7 ELSE l_suppkey END AS l_suppkey,
+            CASE WHEN hash(l_partkey, l_extendedprice) % 3 = 0 THEN 11 ELSE l_orderkey END AS l_orderkey,
+            CASE WHEN l_linenumber = 5 THEN NULL ELSE l_returnflag END AS l_returnflag
+        ) FROM '{root}/lineitem.parquet'
+    """,
+    "events": """
+        SELECT * REPLACE (
+            CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id,
+            CASE WHEN event_id % 10 < 4 THEN date_trunc('day', ts) ELSE ts END AS ts,
+            CASE WHEN event_id % 11 = 0 THEN NULL ELSE event_type END AS event_type
+        ) FROM '{root}/events.parquet'
+    """,
+    "supplier": "SELECT * FROM '{root}/supplier.parquet' WHERE s_suppkey <> 3",
+}
+SOURCES = ["/root/testdata/sf0.001", "/root/testdata/sf0.01", "skewed"]
+
+
+@pytest.fixture(scope="module", params=SOURCES)
+def scale(request, tmp_path_factory):
     database = duckdb.connect()
+    root = request.param
+    if root == "skewed":
+        root, plain = str(tmp_path_factory.mktemp("skewed")), "/root/testdata/sf0.001"
+        for table in USED:
+            rows = SKEWED.get(table, "FROM '{root}/" + table + ".parquet'").format(root=plain)
+            database.sql(f"COPY ({rows}) TO '{root}/{table}.parquet'")
     for table in USED:
-        database.sql(f"CREATE VIEW {table} AS FROM '{request.param}/{table}.parquet'")
-    yield request.param, database
+        database.sql(f"CREATE VIEW {table} AS FROM '{root}/{table}.parquet'")
+    yield root, database
     database.close()
 
 

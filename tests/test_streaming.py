@@ -18,13 +18,13 @@ def source(spark, tmp_path):
     class Source:
         root = str(tmp_path)
 
-        def add(self, number: int, *rows):
+        def add(self, *rows):
             data = [
                 (i, datetime(2024, 1, day, hour), 1, kind, 0.0, "{}")
                 for i, (day, hour, kind) in enumerate(rows)
             ]
-            spark.createDataFrame(data, SCHEMA).coalesce(1).write.parquet(
-                f"{self.root}/events-{number}.parquet"
+            spark.createDataFrame(data, SCHEMA).coalesce(1).write.mode("append").parquet(
+                f"{self.root}/events.parquet"
             )
 
         def run(self, folder, **options):
@@ -36,15 +36,15 @@ def source(spark, tmp_path):
 
 
 def test_last_days_are_counted_too(source, tmp_path):
-    source.add(1, (1, 0, "a"), (1, 23, "a"), (2, 0, "b"))
+    source.add((1, 0, "a"), (1, 23, "a"), (2, 0, "b"))
     assert source.run(f"{tmp_path}/run") == [(date(2024, 1, 1), "a", 2), (date(2024, 1, 2), "b", 1)]
 
 
 def test_a_restart_goes_on_where_it_stopped(source, tmp_path):
     folder = f"{tmp_path}/run"
-    source.add(1, (1, 1, "a"), (2, 1, "a"))
+    source.add((1, 1, "a"), (2, 1, "a"))
     source.run(folder)
-    source.add(2, (2, 2, "a"), (3, 0, "a"))
+    source.add((2, 2, "a"), (3, 0, "a"))
     expected = [(date(2024, 1, 1), "a", 1), (date(2024, 1, 2), "a", 2), (date(2024, 1, 3), "a", 1)]
     assert source.run(folder) == expected
     assert source.run(folder) == expected
@@ -52,16 +52,16 @@ def test_a_restart_goes_on_where_it_stopped(source, tmp_path):
 
 def test_late_rows_count_within_the_lateness_only(source, tmp_path):
     folder = f"{tmp_path}/run"
-    source.add(1, (10, 12, "a"))
+    source.add((10, 12, "a"))
     source.run(folder)
     # The watermark is 9 January noon: that day is still open, the 8th is closed.
-    source.add(2, (9, 1, "a"), (8, 23, "a"), (10, 1, "a"))
+    source.add((9, 1, "a"), (8, 23, "a"), (10, 1, "a"))
     assert source.run(folder) == [(date(2024, 1, 9), "a", 1), (date(2024, 1, 10), "a", 2)]
 
 
 def test_a_repeated_trigger_replaces_what_it_wrote(spark, source, tmp_path):
     folder = f"{tmp_path}/run"
-    source.add(1, (1, 1, "a"))
+    source.add((1, 1, "a"))
     expected = source.run(folder)
     again = spark.read.parquet(f"{folder}/counts/trigger=0").collect()
     spark.createDataFrame(again).write.mode("overwrite").parquet(f"{folder}/counts/trigger=0")
@@ -69,7 +69,7 @@ def test_a_repeated_trigger_replaces_what_it_wrote(spark, source, tmp_path):
 
 
 def test_days_are_those_of_the_stored_clock_in_any_zone(spark, source, tmp_path):
-    source.add(1, (1, 0, "a"), (1, 23, "a"), (2, 2, "a"))
+    source.add((1, 0, "a"), (1, 23, "a"), (2, 2, "a"))
     spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
     try:
         found = source.run(f"{tmp_path}/run")
@@ -79,8 +79,8 @@ def test_days_are_those_of_the_stored_clock_in_any_zone(spark, source, tmp_path)
 
 
 def test_one_file_per_trigger_gives_the_same(source, tmp_path):
-    for number in range(3):
-        source.add(number, (1, number, "a"), (2, number, "b"))
+    for hour in range(3):
+        source.add((1, hour, "a"), (2, hour, "b"))
     expected = [(date(2024, 1, 1), "a", 3), (date(2024, 1, 2), "b", 3)]
     assert source.run(f"{tmp_path}/all") == expected
     assert source.run(f"{tmp_path}/single", files_per_trigger=1) == expected
