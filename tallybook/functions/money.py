@@ -9,50 +9,49 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+# Doubles up to here times 100 are exact enough to round; see cents().
+SAFE_CENTS = 2**49
 # Low bits split off before summing; see total().
 LOW_BITS = 20
 
 
-def cents(amount: str | Column) -> Column:
+def _cents(amount: str) -> str:
+    scaled = f"({amount} * 100D)"
+    decided = f"abs({scaled}) < {SAFE_CENTS}D AND abs({scaled} - rint({scaled})) < 0.25D"
+    by_decimal = f"cast(cast({amount} AS decimal(18,2)) * 100 AS bigint)"
+    return f"CASE WHEN {decided} THEN cast(rint({scaled}) AS bigint) ELSE {by_decimal} END"
+
+
+def cents(amount: str) -> Column:
     """Whole cents of a ``double``: what ``cast(amount as decimal(18,2)) * 100`` gives.
 
     The decimal cast goes through text and is slow, so it only handles what
     multiplying cannot decide: amounts close to half a cent or too big for
     the product to be reliable.
     """
-    amount = F.col(amount) if isinstance(amount, str) else amount
-    scaled = amount * F.lit(100.0)
-    nearest = F.rint(scaled)
-    decided = (F.abs(scaled) < F.lit(float(2**49))) & (F.abs(scaled - nearest) < F.lit(0.25))
-    return F.when(decided, nearest.cast("bigint")).otherwise(
-        (amount.cast("decimal(18,2)") * F.lit(100)).cast("bigint")
-    )
+    return F.expr(_cents(amount))
 
 
-def discounted_cents(price: str | Column, discount: str | Column) -> Column:
+def discounted_cents(price: str, discount: str) -> Column:
     """Cents of ``round(price * (1 - discount), 2)``, both taken to two decimals, half away from zero."""
-    product = cents(price) * (F.lit(100) - cents(discount))
-    half = F.when(product < 0, F.lit(-50)).otherwise(F.lit(50))
-    return F.call_function("div", product + half, F.lit(100))
+    product = f"({_cents(price)}) * (100 - ({_cents(discount)}))"
+    return F.expr(f"({product} + if({product} < 0, -50, 50)) div 100")
 
 
-def total(amount_cents: str | Column) -> Column:
+def total(amount_cents: str) -> Column:
     """Aggregate: exact sum of cents, in units, as ``decimal(30,2)``.
 
     One ``bigint`` sum of cents would pass its limit near 10**17 units, which a
     large book can reach. High and low bits are summed apart, in two ``bigint`` buffers.
     """
-    amount_cents = F.col(amount_cents) if isinstance(amount_cents, str) else amount_cents
-    high = F.sum(F.shiftright(amount_cents, LOW_BITS)).cast("decimal(20,0)")
-    low = F.sum(amount_cents.bitwiseAND(F.lit(2**LOW_BITS - 1))).cast("decimal(20,0)")
-    return units(high * F.lit(2**LOW_BITS).cast("decimal(7,0)") + low)
+    high = f"cast(sum(shiftright({amount_cents}, {LOW_BITS})) AS decimal(20,0))"
+    low = f"cast(sum({amount_cents} & {2**LOW_BITS - 1}) AS decimal(20,0))"
+    return units(f"{high} * {2**LOW_BITS} + {low}")
 
 
-def units(amount_cents: str | Column) -> Column:
+def units(amount_cents: str) -> Column:
     """Cents as units, ``decimal(30,2)``."""
-    amount_cents = F.col(amount_cents) if isinstance(amount_cents, str) else amount_cents
-    hundredth = F.lit("0.01").cast("decimal(2,2)")
-    return (amount_cents.cast("decimal(29,0)") * hundredth).cast("decimal(30,2)")
+    return F.expr(f"cast(cast({amount_cents} AS decimal(29,0)) * 0.01 AS decimal(30,2))")
 
 
 def ratio(part: str | Column, whole: str | Column, digits: int = 8) -> Column:
