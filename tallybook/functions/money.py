@@ -33,7 +33,10 @@ def cents(amount: str) -> Column:
 
 
 def discounted_cents(price: str, discount: str) -> Column:
-    """Cents of ``round(price * (1 - discount), 2)``, both taken to two decimals, half away from zero."""
+    """Cents of ``round(price * (1 - discount), 2)``, half away from zero.
+
+    Both are taken to two decimals first.
+    """
     product = f"({_cents(price)}) * (100 - ({_cents(discount)}))"
     return F.expr(f"({product} + if({product} < 0, -50, 50)) div 100")
 

@@ -23,9 +23,9 @@ def bucket_names(ends: Sequence[int]) -> list[str]:
 def age_buckets(
     receivables: DataFrame, as_of: date, ends: Sequence[int] = DEFAULT_ENDS
 ) -> DataFrame:
-    """``bucket, n_open, face_value`` of positions not closed, by days from origination to ``as_of``.
+    """``bucket, n_open, face_value`` of positions not closed, by days since origination.
 
-    This is age, not lateness. Positions originated after ``as_of`` and positions
+    This is age at ``as_of``, not lateness. Positions originated later and positions
     without a date get buckets of their own instead of vanishing.
     """
     age = whole_days("originated", F.lit(as_of))

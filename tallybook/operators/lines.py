@@ -31,7 +31,10 @@ def return_rate_by_segment(
     return (
         per_debtor.join(debtors, "debtor")
         .groupBy("segment")
-        .agg(total("line_cents").alias("line_value"), total("returned_cents").alias("returned_value"))
+        .agg(
+            total("line_cents").alias("line_value"),
+            total("returned_cents").alias("returned_value"),
+        )
         .withColumn("goods_return_rate", ratio("returned_value", "line_value"))
     )
 

@@ -15,7 +15,7 @@ def by_month(receivables: DataFrame) -> DataFrame:
 
 
 def trailing(monthly: DataFrame, months: int = 12) -> DataFrame:
-    """Add ``previous_month`` and ``trailing_value`` (this month and those before it) to monthly rows.
+    """``month, face_value, previous_month, trailing_value`` (the month and those before it).
 
     Frames range over the month number, so a month without rows counts as empty
     instead of stretching the frame further back. The window has no partition key:

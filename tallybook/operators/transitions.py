@@ -37,11 +37,11 @@ def consecutive_pairs(
     """``from_state, to_state``: each row's state after the row before it of the same key.
 
     The same pairs as ``lag(state)`` over the key ordered by (``time``, ``tiebreak``),
-    without sorting a key that holds a large part of all rows in one task. Hot keys are
-    cut into stretches of time and ordered within those; the pairs
-    across two stretches come from the first and last row of each. Other keys stay
-    whole, so they are shuffled once. One key's rows of one stretch still meet in a task:
-    choose its length so that they fit. ``time`` is a ``timestamp_ntz``.
+    without sorting a key that holds a large part of all rows in one task. Hot keys are cut
+    into stretches of time and ordered within those; the pairs across two stretches come
+    from the first and last row of each. Other keys stay whole, so they are shuffled once.
+    One key's rows of one stretch still meet in a task: choose its length so that they fit.
+    ``time`` is a ``timestamp_ntz``.
     """
     narrow = rows.select(
         F.col(key).alias("key"),
@@ -77,7 +77,8 @@ def consecutive_pairs(
     )
     seams = (
         ends.select(
-            F.lag("last").over(Window.partitionBy("key").orderBy("stretch")).alias("before"), "first"
+            F.lag("last").over(Window.partitionBy("key").orderBy("stretch")).alias("before"),
+            "first",
         )
         .where(F.col("before").isNotNull())
         .select(F.col("before.state").alias("from_state"), F.col("first.state").alias("to_state"))

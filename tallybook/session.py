@@ -16,7 +16,9 @@ def shuffle_partitions(shuffled_bytes: int, cores: int, target_bytes: int = 128
     return max(cores, -(-shuffled_bytes // target_bytes))
 
 
-def session(master: str | None = None, partitions: int | None = None, **settings: str) -> SparkSession:
+def session(
+    master: str | None = None, partitions: int | None = None, **settings: str
+) -> SparkSession:
     """A session with ANSI arithmetic, UTC and adaptive execution.
 
     ``master`` is left to ``spark-submit`` unless given. ``settings`` uses ``__`` for dots.

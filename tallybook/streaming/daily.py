@@ -21,7 +21,9 @@ DAY = 86_400_000_000  # microseconds
 STATE_PARTITIONS = 16
 
 
-def stream_events(spark: SparkSession, root: str, files_per_trigger: int | None = None) -> DataFrame:
+def stream_events(
+    spark: SparkSession, root: str, files_per_trigger: int | None = None
+) -> DataFrame:
     """The events table, ``{root}/events.parquet``, as a stream of its files.
 
     The path is written as a pattern because a streaming source refuses a single file's.
@@ -42,7 +44,10 @@ def stream_events(spark: SparkSession, root: str, files_per_trigger: int | None
 
 
 def daily_counts(events: DataFrame, lateness: str = "1 day") -> DataFrame:
-    """``day, event_type, n_events``; rows more than ``lateness`` behind the newest may be dropped."""
+    """``day, event_type, n_events``.
+
+    Rows more than ``lateness`` behind the newest of earlier triggers may be dropped.
+    """
     stored_day = F.expr(f"unix_micros(span.start) div {DAY}").cast("int")
     return (
         events.withWatermark("ts", lateness)
@@ -68,7 +73,10 @@ def write_counts(counts: DataFrame, folder: str) -> StreamingQuery:
 
 
 def read_counts(spark: SparkSession, folder: str) -> DataFrame:
-    """Each day's newest count."""
+    """Each day's newest count.
+
+    Triggers leave a folder each, so a stream that never ends needs them merged now and then.
+    """
     return (
         spark.read.parquet(f"{folder}/counts")
         .groupBy("day", "event_type")

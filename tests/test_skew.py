@@ -56,6 +56,16 @@ def test_pairs_are_those_of_lag(skewed, hot_rows, stretch_seconds):
     assert Counter(tuple(row) for row in pairs.collect()) == expected
 
 
+def test_rows_without_a_time_come_first(spark):
+    rows = [(1, None, 2, "b"), (1, None, 1, "a"), (1, START, 3, "c"), (2, None, 4, "d")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    for hot_rows in (0, 10):
+        pairs = transitions.consecutive_pairs(
+            frame, "user_id", "ts", "event_id", "event_type", hot_rows
+        )
+        assert sorted(tuple(row) for row in pairs.collect()) == [("a", "b"), ("b", "c")]
+
+
 def test_transition_shares(spark, rows_of):
     pairs = spark.createDataFrame(
         [("a", "b"), ("a", "b"), ("a", "c"), ("b", "a"), (None, "a")], "from_state string, to_state string"

@@ -40,6 +40,11 @@ def test_last_days_are_counted_too(source, tmp_path):
     assert source.run(f"{tmp_path}/run") == [(date(2024, 1, 1), "a", 2), (date(2024, 1, 2), "b", 1)]
 
 
+def test_an_empty_table_gives_no_counts(source, tmp_path):
+    source.add()
+    assert source.run(f"{tmp_path}/run") == []
+
+
 def test_a_restart_goes_on_where_it_stopped(source, tmp_path):
     folder = f"{tmp_path}/run"
     source.add((1, 1, "a"), (2, 1, "a"))
