@@ -31,3 +31,10 @@ def epoch_seconds(moment: str | Column) -> Column:
     days = F.unix_date(F.to_date(moment)).cast("bigint")
     clock = F.hour(moment) * 3600 + F.minute(moment) * 60 + F.second(moment)
     return days * 86400 + clock
+
+
+def epoch_micros(moment: str | Column) -> Column:
+    """Microseconds from 1970 to a ``timestamp_ntz``."""
+    moment = _col(moment)
+    fraction = F.date_part(F.lit("SECOND"), moment) - F.second(moment)
+    return epoch_seconds(moment) * 1_000_000 + (fraction * 1_000_000).cast("bigint")

@@ -2,26 +2,70 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallybook.functions import epoch_seconds, ratio
+from tallybook.functions import epoch_micros, epoch_seconds, ratio
 
-# A key is hot above this many rows, and above this part of all rows.
+# A group is hot above this many rows, and above this part of all rows.
 HOT_ROWS = 5_000_000
-MAX_HOT_KEYS = 100_000
+MAX_HOT_GROUPS = 100_000
 STRETCH_SECONDS = 60
 
 
-def hot_keys(rows: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """``hot_key``: keys with more than ``hot_rows`` rows and more than 1/100,000 of all rows.
+def hot_keys(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, Column]:
+    """``key, is_hot`` of keys above a number of rows, and that number.
 
-    The second condition keeps the list below 100,000 keys for any number of rows, so
-    it can be broadcast; a key it leaves out is no larger than that part.
+    It is ``hot_rows`` or 1/100,000 of all rows, whichever is more. So there are never more
+    than 100,000 groups above it, which can be broadcast for any number of rows.
     """
-    counted = rows.groupBy(key).agg(F.count("*").alias("n_rows"))
-    part = counted.select((F.sum("n_rows") / MAX_HOT_KEYS).alias("part")).scalar()
-    return counted.where((F.col("n_rows") > hot_rows) & (F.col("n_rows") > part)).select(
-        F.col(key).alias("hot_key")
+    counted = rows.groupBy("key").agg(F.count("*").alias("n_rows"))
+    part = counted.select((F.sum("n_rows") / MAX_HOT_GROUPS).alias("part")).scalar()
+    limit = F.greatest(F.lit(hot_rows).cast("double"), part)
+    return counted.where(F.col("n_rows") > limit).select("key", F.lit(True).alias("is_hot")), limit
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFrame:
+    """Add the groups' other columns to their rows. Null keys form groups like any others."""
+    renamed = groups.withColumnsRenamed({key: f"hot_{key}" for key in keys})
+    same = [F.col(key).eqNullSafe(F.col(f"hot_{key}")) for key in keys]
+    return rows.join(F.broadcast(renamed), same, "left").drop(*(f"hot_{key}" for key in keys))
+
+
+def _piece(hot_rows: int) -> Column:
+    """Number of a row's piece of a crowded stretch: even parts of its range of times.
+
+    If all its rows have one time, even parts of the range of tiebreaks. The number never
+    falls along (``time``, ``tiebreak``), whatever the rounding, so pieces are in order.
+    """
+    pieces = F.ceil(F.col("n_rows") / max(hot_rows, 1))
+
+    def part(value: Column, low: Column, high: Column) -> Column:
+        value, low, high = (number.cast("double") for number in (value, low, high))
+        return F.floor((value - low) / (high - low + 1) * pieces)
+
+    first, last = F.col("first"), F.col("last")
+    by_time = part(epoch_micros("time"), epoch_micros(first["time"]), epoch_micros(last["time"]))
+    by_tiebreak = part(F.col("tiebreak"), first["tiebreak"], last["tiebreak"])
+    return F.when(last["time"] > first["time"], by_time).otherwise(by_tiebreak)
+
+
+def _ends(rows: DataFrame, *keys: str) -> DataFrame:
+    """``keys, n_rows, first, last``: the first and last row of each group."""
+    row = F.struct("time", "tiebreak", "state")
+    return rows.groupBy(*keys).agg(
+        F.count("*").alias("n_rows"), F.min(row).alias("first"), F.max(row).alias("last")
+    )
+
+
+def _seams(ends: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Pairs across one group and the next of the same ``keys``."""
+    return (
+        # Asking for the count keeps the aggregate the one that crowded stretches are
+        # taken from, so that its shuffle is reused.
+        ends.where(F.col("n_rows") > 0)
+        .select(F.lag("last").over(Window.partitionBy(*keys).orderBy(order)).alias("before"), "first")
+        .where(F.col("before").isNotNull())
+        .select(F.col("before.state").alias("from_state"), F.col("first.state").alias("to_state"))
     )
 
 
@@ -38,10 +82,10 @@ def consecutive_pairs(
 
     The same pairs as ``lag(state)`` over the key ordered by (``time``, ``tiebreak``),
     without sorting a key that holds a large part of all rows in one task. Hot keys are cut
-    into stretches of time and ordered within those; the pairs across two stretches come
-    from the first and last row of each. Other keys stay whole, so they are shuffled once.
-    One key's rows of one stretch still meet in a task: choose its length so that they fit.
-    ``time`` is a ``timestamp_ntz``.
+    into stretches of time, stretches that are hot themselves into pieces, and rows are
+    ordered within those; the pairs across two of them come from the first and last row of
+    each. Other keys stay whole, so they are shuffled once. ``time`` is a
+    ``timestamp_ntz`` and ``tiebreak`` a number.
     """
     narrow = rows.select(
         F.col(key).alias("key"),
@@ -49,41 +93,35 @@ def consecutive_pairs(
         F.col(tiebreak).alias("tiebreak"),
         F.col(state).alias("state"),
     )
-    hot = hot_keys(narrow, "key", hot_rows)
-    is_hot = narrow["key"].eqNullSafe(hot["hot_key"])
+    hot, limit = hot_keys(narrow, hot_rows)
     stretch = F.floor(epoch_seconds("time") / stretch_seconds)
+    stretched = _with_groups(narrow, hot, ["key"]).withColumn(
+        "stretch", F.when(F.col("is_hot"), stretch)
+    )
+    stretches = _ends(stretched.where("is_hot"), "key", "stretch")
+    crowded = stretches.where(F.col("n_rows") > limit)
+    cut = _with_groups(stretched, crowded, ["key", "stretch"]).withColumn(
+        "piece", F.when(F.col("n_rows").isNotNull(), _piece(hot_rows))
+    )
+    pieces = _ends(
+        cut.where(F.col("n_rows").isNotNull()).drop("n_rows"), "key", "stretch", "piece"
+    )
 
-    # Null keys form a group like any other, hence the mark of its own.
-    marked = narrow.join(F.broadcast(hot.withColumn("is_hot", F.lit(True))), is_hot, "left")
-    stretched = Window.partitionBy("key", "stretch").orderBy("time", "tiebreak")
+    together = Window.partitionBy("key", "stretch", "piece").orderBy("time", "tiebreak")
     within = (
-        marked.withColumn("stretch", F.when(F.col("is_hot"), stretch))
-        .select(
-            F.lag("state").over(stretched).alias("from_state"),
+        cut.select(
+            F.lag("state").over(together).alias("from_state"),
             # Renamed only after the window, or the shuffle would carry the state twice.
             "state",
             # States may be null; a missing row before is told by a constant.
-            F.lag(F.lit(True)).over(stretched).alias("has_before"),
+            F.lag(F.lit(True)).over(together).alias("has_before"),
         )
         .where("has_before")
         .select("from_state", F.col("state").alias("to_state"))
     )
-
-    row = F.struct("time", "tiebreak", "state")
-    ends = (
-        narrow.join(F.broadcast(hot), is_hot, "left_semi")
-        .groupBy("key", stretch.alias("stretch"))
-        .agg(F.min(row).alias("first"), F.max(row).alias("last"))
-    )
-    seams = (
-        ends.select(
-            F.lag("last").over(Window.partitionBy("key").orderBy("stretch")).alias("before"),
-            "first",
-        )
-        .where(F.col("before").isNotNull())
-        .select(F.col("before.state").alias("from_state"), F.col("first.state").alias("to_state"))
+    return within.unionByName(_seams(stretches, ["key"], "stretch")).unionByName(
+        _seams(pieces, ["key", "stretch"], "piece")
     )
-    return within.unionByName(seams)
 
 
 def transition_matrix(pairs: DataFrame) -> DataFrame:

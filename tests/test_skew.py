@@ -79,12 +79,12 @@ def test_transition_shares(spark, rows_of):
 
 
 def test_hot_keys_are_few_for_any_number_of_rows(spark, monkeypatch):
-    monkeypatch.setattr(transitions, "MAX_HOT_KEYS", 3)
+    monkeypatch.setattr(transitions, "MAX_HOT_GROUPS", 3)
     keys = [key for key in range(10) for _ in range(10)] + [99] * 50
     frame = spark.createDataFrame([(key,) for key in keys], "key bigint")
-    assert [row[0] for row in transitions.hot_keys(frame, "key", 0).collect()] == []
+    assert [row[0] for row in transitions.hot_keys(frame, 0)[0].collect()] == []
     more = frame.union(spark.createDataFrame([(99,)] * 50, "key bigint"))
-    assert [row[0] for row in transitions.hot_keys(more, "key", 0).collect()] == [99]
+    assert [row[0] for row in transitions.hot_keys(more, 0)[0].collect()] == [99]
 
 
 @pytest.mark.parametrize("gap_hours", [1, 6, 30])
@@ -141,14 +141,19 @@ def test_sums_not_rows_of_a_busy_key_are_shuffled(busy, shuffles_of):
 
 
 def test_a_hot_key_is_spread_over_the_partitions(busy, shuffles_of):
-    def largest_part(hot_rows):
+    def largest_part(hot_rows, frame=busy):
         pairs = transitions.consecutive_pairs(
-            busy, "user_id", "ts", "event_id", "event_type", hot_rows
-        )
-        sizes = next(
-            sizes for kind, rows, sizes in shuffles_of(pairs) if "stretch" in kind and rows == 200_000
+            frame, "user_id", "ts", "event_id", "event_type", hot_rows
         )
+        [sizes] = [sizes for _, rows, sizes in shuffles_of(pairs) if rows == 200_000]
         return max(sizes) / sum(sizes)
 
     assert largest_part(10**9) > 0.5  # kept whole
     assert largest_part(10_000) < 0.2  # an even part is an eighth
+    # All of the key's events at one instant, or none with a time: cut by the tiebreak.
+    for moment in (START, None):
+        at_once = busy.withColumn("ts", F.lit(moment).cast("timestamp_ntz"))
+        assert largest_part(2_000, at_once) < 0.3
+    # All within a minute: cut by the microsecond.
+    micros = F.timestamp_add("microsecond", F.col("event_id"), F.lit(START))
+    assert largest_part(2_000, busy.withColumn("ts", micros.cast("timestamp_ntz"))) < 0.3
