@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybook.llm import exact_dedup, packing, piece_bpe, sharding
+from tallybook.llm import exact_dedup, near_dedup, packing, piece_bpe, sharding
 from tallybook.llm.common import documents
 
 
@@ -43,6 +43,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("text_hash")
+
+
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(
         documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), texts=False
@@ -51,7 +55,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_exact_dedup, op5_packing, op6_sharding, op10_piece_bpe)
+    for query in (op1_exact_dedup, op5_packing, op6_sharding, op7_minhash_near_dedup, op10_piece_bpe)
 }
 
 ORACLE_SQL = {
@@ -69,4 +73,37 @@ ORACLE_SQL = {
         FROM texts
         WINDOW same AS (PARTITION BY lowered)
     """,
+    "op7_minhash_near_dedup": """
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+                lambda w: w <> '') AS w
+            FROM documents
+        ), shingles AS (
+            SELECT DISTINCT doc_id,
+                   md5(array_to_string(w[place : place + 4], ' ')) AS shingle
+            FROM words, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS places(place)
+            WHERE len(w) > 0
+        ), sizes AS (
+            SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+            FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id
+        ), links AS (
+            SELECT a, b FROM shared
+            JOIN sizes sa ON sa.doc_id = a JOIN sizes sb ON sb.doc_id = b
+            WHERE 100 * shared.n >= 75 * (sa.n + sb.n - shared.n)
+        ), reach AS (
+            SELECT doc_id, doc_id AS other FROM documents
+            UNION
+            SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a
+        ), smallest AS (
+            SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+        )
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id,
+               doc_id = component_id AS kept
+        FROM smallest LEFT JOIN sizes USING (doc_id)
+    """,
 }
