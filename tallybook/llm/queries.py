@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybook.llm import exact_dedup, near_dedup, packing, piece_bpe, sharding
+from tallybook.llm import exact_dedup, fingerprints, near_dedup, packing, piece_bpe, sharding
 from tallybook.llm.common import documents
 
 
@@ -27,6 +27,19 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.fingerprints(documents(spark, sf_dir))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.as_text(F.col("sketch")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -55,7 +68,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_exact_dedup, op5_packing, op6_sharding, op7_minhash_near_dedup, op10_piece_bpe)
+    for query in (op1_exact_dedup, op2_fingerprints, op5_packing, op6_sharding, op7_minhash_near_dedup, op10_piece_bpe)
 }
 
 ORACLE_SQL = {
