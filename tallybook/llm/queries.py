@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybook.llm import exact_dedup, fingerprints, near_dedup, packing, piece_bpe, sharding
+from tallybook.llm import exact_dedup, fingerprints, near_dedup, packing, piece_bpe, sharding, toxicity
 from tallybook.llm.common import documents
 
 
@@ -40,6 +40,11 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.toxicity(documents(spark, sf_dir), labels).drop("text_hash")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
 
@@ -68,7 +73,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_exact_dedup, op2_fingerprints, op5_packing, op6_sharding, op7_minhash_near_dedup, op10_piece_bpe)
+    for query in (op1_exact_dedup, op2_fingerprints, op4_toxicity, op5_packing, op6_sharding, op7_minhash_near_dedup, op10_piece_bpe)
 }
 
 ORACLE_SQL = {
