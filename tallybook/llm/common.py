@@ -11,6 +11,10 @@ from tallybook.sources.workspace import run_folder
 
 #: The characters that separate words, as a character class.
 SPACE = r"[\x20\x09-\x0D]"
+#: Spark's setting for removing the shuffle files of a finished execution.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Most rows of a list of keys that is broadcast.
+BROADCAST_ROWS = 200_000
 #: Stands for a missing doc_id in join keys.
 NO_ID = -(2**63)
 
@@ -19,17 +23,20 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def written(frame: DataFrame, purpose: str, partition_by: str | None = None) -> DataFrame:
+def written(frame: DataFrame, purpose: str) -> DataFrame:
     """``frame`` as a table in the shared folder: computed once, read by later steps.
 
     It cuts the lineage: losing an executor afterwards costs only a read.
     """
-    folder = run_folder(frame.sparkSession, purpose)
-    writer = frame.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(folder)
-    return frame.sparkSession.read.schema(frame.schema).parquet(folder)
+    spark = frame.sparkSession
+    folder = run_folder(spark, purpose)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")  # its shuffles are of no use once the table is there
+    try:
+        frame.write.parquet(folder)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(frame.schema).parquet(folder)
 
 
 def text_of(frame: DataFrame) -> Column:
@@ -91,3 +98,8 @@ def without(frame: DataFrame, dropped: DataFrame) -> DataFrame:
         (own_id == keys["_dropped_id"]) & (F.xxhash64(text_of(frame)) == keys["_dropped_hash"]),
         "left_anti",
     )
+
+
+def if_small(keys: DataFrame) -> DataFrame:
+    """Marked for broadcasting if counted and short, else left to a shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys

@@ -33,8 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallybook.llm.common import NO_ID, identified, in_batches, texts_as_bytes, written
+from tallybook.llm.common import NO_ID, identified, if_small, in_batches, texts_as_bytes, written
 from tallybook.llm.components import components
+from tallybook.llm.hashing import mixed, pieces, prefix_sums
 
 WORDS = 5
 PERMUTATIONS = 64
@@ -42,36 +43,10 @@ BANDS = 32
 #: Most differing values, of 128 cut to two bits, of a pair that is looked at further:
 #: at 0.75 their number has mean 24 and deviation 4.4.
 DIFFERING = 48
-#: A list of ids of at most this length is broadcast; a longer one is joined by a shuffle.
-BROADCAST_ROWS = 200_000
-
-_BYTES = np.random.default_rng(71).integers(1, 2**64, 256, dtype=np.uint64) | np.uint64(1)
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _ODD = np.random.default_rng(72).integers(1, 2**64, PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
 _STEP = np.uint64(0xD6E8FEB86659FD93)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _power_tables(length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64, at least ``length`` of them."""
-    if len(_powers[0]) < length:
-        size = 1 << int(length).bit_length()
-        for place, factor in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            table = np.full(size, np.uint64(factor))
-            table[0] = 1
-            _powers[place] = np.multiply.accumulate(table)
-    return _powers[0], _powers[1]
-
-
-def mixed(values: np.ndarray) -> np.ndarray:
-    """Every bit of the result depends on every bit of the value."""
-    values = values ^ (values >> np.uint64(30))
-    values = values * np.uint64(0xBF58476D1CE4E5B9)
-    values = values ^ (values >> np.uint64(27))
-    values = values * np.uint64(0x94D049BB133111EB)
-    return values ^ (values >> np.uint64(31))
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -83,10 +58,7 @@ def shingles(text: bytes) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.zeros(0, np.uint64)
-    powers, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTES[data] * powers[: len(data)], out=sums[1:])
-    words = mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    words = pieces(prefix_sums(data), starts, ends)
     count = min(WORDS, len(words))
     found = np.full(len(words) - count + 1, np.uint64(count))
     for place in range(count):
@@ -182,11 +154,6 @@ def _similar(batch: pa.RecordBatch) -> pa.RecordBatch:
     ).filter(pa.array(keep, pa.bool_()))
 
 
-def if_small(keys: DataFrame) -> DataFrame:
-    """Marked for broadcasting if counted and short, else left to a shuffle."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
-
-
 def _likely(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of pairs u, v those whose sizes and signature bits allow a link."""
     slim = nodes.select("node", "n_shingles", "bits")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybook.llm import exact_dedup, fingerprints, near_dedup, packing, piece_bpe, sharding, toxicity
+from tallybook.llm import exact_dedup, fingerprints, near_dedup, packing, piece_bpe, sharding, suffix_dedup, toxicity
 from tallybook.llm.common import documents
 
 
@@ -65,6 +65,10 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir)).drop("text_hash")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), texts=False).drop("text_hash")
+
+
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(
         documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), texts=False
@@ -73,7 +77,7 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_exact_dedup, op2_fingerprints, op4_toxicity, op5_packing, op6_sharding, op7_minhash_near_dedup, op10_piece_bpe)
+    for query in (op1_exact_dedup, op2_fingerprints, op4_toxicity, op5_packing, op6_sharding, op7_minhash_near_dedup, op8_suffix_dedup, op10_piece_bpe)
 }
 
 ORACLE_SQL = {
@@ -124,4 +128,39 @@ ORACLE_SQL = {
                doc_id = component_id AS kept
         FROM smallest LEFT JOIN sizes USING (doc_id)
     """,
+    "op8_suffix_dedup": """
+        WITH texts AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), windows AS (
+            SELECT doc_id, place, md5_number(substr(h, 2 * place + 1, 200)) AS piece
+            FROM texts, unnest(range(0, length(h) // 2 - 99)) AS places(place)
+            WHERE length(h) >= 200
+        ), repeats AS (
+            SELECT doc_id, place FROM windows
+            QUALIFY row_number() OVER (PARTITION BY piece ORDER BY doc_id, place) > 1
+        ), opened AS (
+            SELECT doc_id, place,
+                   coalesce(place > lag(place) OVER runs + 100, true) AS opens
+            FROM repeats WINDOW runs AS (PARTITION BY doc_id ORDER BY place)
+        ), spans AS (
+            SELECT doc_id, span, min(place) AS a, max(place) + 100 AS b
+            FROM (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END)
+                         OVER (PARTITION BY doc_id ORDER BY place) AS span FROM opened)
+            GROUP BY doc_id, span
+        ), gaps AS (
+            SELECT doc_id, a, b,
+                   coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS gap
+            FROM spans
+        ), cut AS (
+            SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS tail,
+                   string_agg(substr(h, 2 * gap + 1, 2 * (a - gap)), '' ORDER BY a) AS head
+            FROM gaps JOIN texts USING (doc_id) GROUP BY doc_id
+        )
+        SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes,
+               CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+               coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(head, '') || substr(h, 2 * coalesce(tail, 0) + 1)))
+                   AS kept_sha256
+        FROM texts LEFT JOIN cut USING (doc_id)
+    """,
 }
