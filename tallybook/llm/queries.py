@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tallybook.llm import exact_dedup, fingerprints, near_dedup, packing, piece_bpe, sharding, suffix_dedup, toxicity
+from tallybook.llm import (
+    chat_format,
+    exact_dedup,
+    fingerprints,
+    maxent_lm,
+    near_dedup,
+    packing,
+    piece_bpe,
+    sharding,
+    suffix_dedup,
+    toxicity,
+)
 from tallybook.llm.common import documents
 
 
@@ -40,6 +51,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.scored(documents(spark, sf_dir))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity(documents(spark, sf_dir), labels).drop("text_hash")
@@ -69,6 +84,10 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf_dir), texts=False).drop("text_hash")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.formatted(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.encoded(
         documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"), texts=False
@@ -77,7 +96,18 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in (op1_exact_dedup, op2_fingerprints, op4_toxicity, op5_packing, op6_sharding, op7_minhash_near_dedup, op8_suffix_dedup, op10_piece_bpe)
+    for query in (
+        op1_exact_dedup,
+        op2_fingerprints,
+        op3_maxent_lm,
+        op4_toxicity,
+        op5_packing,
+        op6_sharding,
+        op7_minhash_near_dedup,
+        op8_suffix_dedup,
+        op9_chat_format,
+        op10_piece_bpe,
+    )
 }
 
 ORACLE_SQL = {
