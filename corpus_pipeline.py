@@ -4,24 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallybook.llm import exact_dedup, packing
+from tallybook.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
 from tallybook.llm.common import documents, written
 from tallybook.llm.queries import vocabulary
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that the grammar, taught by the labels, finds toxic."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity.drop_toxic(docs, toxicity.learn(docs, labels))
+
+
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without byte strings that also stand earlier."""
+    return suffix_dedup.drop_repeats(docs)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in sequences of 1024 ids."""
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
 
-STAGES = [("exact dedup", exact), ("packing", pack)]
+STAGES = [
+    ("toxicity", clean),
+    ("exact dedup", exact),
+    ("near dedup", near),
+    ("suffix dedup", repeats),
+    ("packing", pack),
+]
 
-#: Toxicity is learned, which SQL cannot express.
+#: Toxicity is learned and ids are a tokenizer's, which SQL cannot express.
 ORACLE_SQL = None
 
 

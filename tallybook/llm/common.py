@@ -84,22 +84,23 @@ def in_batches(
     return run
 
 
-def without(frame: DataFrame, dropped: DataFrame) -> DataFrame:
-    """All columns of the rows of ``frame`` whose document is not in ``dropped``.
+def if_small(keys: DataFrame) -> DataFrame:
+    """Marked for broadcasting if counted and short, else left to a shuffle."""
+    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys
+
+
+def with_keys(frame: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """All columns of the rows whose document is (``left_semi``) or is not (``left_anti``) in keys.
 
-    ``dropped`` holds ``doc_id`` and ``text_hash``.
+    ``keys`` holds ``doc_id`` and ``text_hash``.
     """
-    keys = dropped.select(
-        id_key().alias("_dropped_id"), F.col("text_hash").alias("_dropped_hash")
+    keys = keys.select(
+        id_key().alias("_key_id"), F.col("text_hash").alias("_key_hash")
     ).distinct()
+    keys = if_small(written(keys, "keys"))
     own_id = F.coalesce(frame["doc_id"].cast("bigint"), F.lit(NO_ID))
     return frame.join(
         keys,
-        (own_id == keys["_dropped_id"]) & (F.xxhash64(text_of(frame)) == keys["_dropped_hash"]),
-        "left_anti",
+        (own_id == keys["_key_id"]) & (F.xxhash64(text_of(frame)) == keys["_key_hash"]),
+        how,
     )
-
-
-def if_small(keys: DataFrame) -> DataFrame:
-    """Marked for broadcasting if counted and short, else left to a shuffle."""
-    return F.broadcast(keys) if keys.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else keys

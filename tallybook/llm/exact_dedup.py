@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tallybook.llm.common import identified, in_batches, texts_as_bytes, written
+from tallybook.llm.common import identified, in_batches, texts_as_bytes, with_keys, written
 
 #: A digest of at least this share of the rows is frequent.
 SHARE = 1 / 4096
@@ -128,25 +128,22 @@ def exact_duplicates(documents: DataFrame) -> DataFrame:
 
 def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
     """All columns of one row per group of equal texts."""
-    judged = written(exact_duplicates(documents), "exact")
-    text = F.coalesce(documents["text"].cast("string"), F.lit(""))
-    marked = documents.select(
-        F.struct(*(documents[name] for name in documents.columns)).alias("row"),
-        documents["doc_id"].cast("bigint").alias("_id"),
-        F.xxhash64(text).alias("_hash"),
+    keys = written(
+        exact_duplicates(documents)
+        .groupBy("doc_id", "text_hash")
+        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")),
+        "exact",
     )
-    keys = (
-        judged.groupBy("doc_id", "text_hash")
-        .agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times"))
-        .where("not kept or times > 1")
+    left = with_keys(documents, keys.where("not kept"), "left_anti")
+    repeated = keys.where("kept and times > 1")
+    if repeated.isEmpty():
+        return left
+    # Rows that repeat doc_id and text: one of them, the first that each task meets.
+    row = F.struct(*(F.col(name) for name in documents.columns))
+    single = (
+        with_keys(left, repeated, "left_semi")
+        .groupBy("doc_id", "text")
+        .agg(F.first(row).alias("row"))
+        .select("row.*")
     )
-    decided = marked.join(
-        keys.withColumnRenamed("doc_id", "_other_id"),
-        F.col("_id").eqNullSafe(F.col("_other_id")) & (F.col("_hash") == F.col("text_hash")),
-        "left",
-    )
-    single = decided.where("kept is null").select("row.*")
-    repeated = (
-        decided.where("kept").groupBy("_id", "_hash").agg(F.first("row").alias("row"))
-    ).select("row.*")
-    return single.unionByName(repeated)
+    return with_keys(left, repeated, "left_anti").unionByName(single)

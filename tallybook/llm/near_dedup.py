@@ -33,7 +33,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallybook.llm.common import NO_ID, identified, if_small, in_batches, texts_as_bytes, written
+from tallybook.llm.common import (
+    NO_ID,
+    identified,
+    if_small,
+    in_batches,
+    texts_as_bytes,
+    with_keys,
+    written,
+)
 from tallybook.llm.components import components
 from tallybook.llm.hashing import mixed, pieces, prefix_sums
 
@@ -270,3 +278,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )
+
+
+def drop_near_duplicates(documents: DataFrame) -> DataFrame:
+    """All columns of the rows that are kept, one document of each group of linked ones."""
+    dropped = near_duplicates(documents).where("not kept").select("doc_id", "text_hash")
+    return with_keys(documents, dropped, "left_anti")

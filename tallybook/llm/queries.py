@@ -81,7 +81,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(documents(spark, sf_dir), texts=False).drop("text_hash")
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

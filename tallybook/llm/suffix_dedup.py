@@ -437,35 +437,36 @@ def repeated_windows(texts: DataFrame) -> DataFrame:
     return result
 
 
+def kept_bytes(text: bytes, stretches: list[dict]) -> tuple[bytes, int, int]:
+    """What is left of a text, how many bytes go, in how many spans."""
+    change = np.zeros(len(text) + 1, np.int64)
+    np.add.at(change, [s["first"] for s in stretches], 1)
+    np.add.at(change, [s["last"] + LENGTH for s in stretches], -1)
+    gone = np.cumsum(change[:-1]) > 0
+    spans = int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum())
+    return np.frombuffer(text, np.uint8)[~gone].tobytes(), int(gone.sum()), spans
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What is left of each text, with the number of bytes and spans removed."""
     for batch in batches:
-        removed, spans, texts = [], [], []
-        for text, stretches in zip(texts_as_bytes(batch.column(1)), batch.column(2).to_pylist()):
-            change = np.zeros(len(text) + 1, np.int64)
-            np.add.at(change, [s["first"] for s in stretches], 1)
-            np.add.at(change, [s["last"] + LENGTH for s in stretches], -1)
-            gone = np.cumsum(change[:-1]) > 0
-            texts.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-            removed.append(int(gone.sum()))
-            spans.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
+        found = [
+            kept_bytes(text, stretches)
+            for text, stretches in zip(texts_as_bytes(batch.column(1)), batch.column(2).to_pylist())
+        ]
+        kept, removed, spans = zip(*found) if found else ((), (), ())
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 pa.array(removed, pa.int64()),
                 pa.array(spans, pa.int64()),
-                pa.array(texts, pa.binary()),
+                pa.array(kept, pa.binary()),
             ],
             names=["ord", "n_removed", "n_spans", "kept"],
         )
 
 
-def remove_repeats(documents: DataFrame, texts: bool = True) -> DataFrame:
-    """doc_id, text_hash, n_bytes, n_removed, n_spans, kept_sha256 and ``kept``, the bytes left.
-
-    A row per row of ``documents``. ``kept`` is null where nothing was removed, and is left
-    out with ``texts=False``.
-    """
+def judged(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Texts by ``ord``; rows with ``ord`` and whether they are copies; repeats by ``ord``."""
     rows = identified(documents).mapInArrow(
         in_batches(_measured), "doc_id bigint, text_hash bigint, n_bytes bigint, digest binary"
     )
@@ -485,28 +486,57 @@ def remove_repeats(documents: DataFrame, texts: bool = True) -> DataFrame:
         .agg(F.collect_list(F.struct("first", "last")).alias("stretches")),
         "stretches",
     )
+    return bodies, rows, stretches
+
+
+def remove_repeats(documents: DataFrame) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``documents``."""
+    bodies, rows, stretches = judged(documents)
     changed = (
         bodies.join(stretches, "ord")
         .select("ord", "text", "stretches")
         .mapInArrow(_kept, "ord bigint, n_removed bigint, n_spans bigint, kept binary")
-        .withColumn("kept_sha256", F.sha2("kept", 256))
+        .select("ord", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
     )
-    if not texts:
-        changed = changed.drop("kept")
-    whole = F.when(F.col("copy"), F.col("n_bytes"))
-    columns = [
+    copied = F.col("copy")
+    return rows.join(changed, "ord", "left").select(
         "doc_id",
-        "text_hash",
         "n_bytes",
-        F.coalesce(whole, "n_removed", F.lit(0)).alias("n_removed"),
-        F.coalesce(F.when(F.col("copy"), F.lit(1)), "n_spans", F.lit(0)).alias("n_spans"),
-        F.when(F.col("copy"), F.sha2(F.lit(b""), 256))
+        F.when(copied, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
+        F.when(copied, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("bigint").alias("n_spans"),
+        F.when(copied, F.sha2(F.lit(b""), 256))
         .otherwise(F.coalesce("kept_sha256", F.lower(F.hex("digest"))))
         .alias("kept_sha256"),
-    ]
-    if texts:
-        columns.append(F.when(F.col("copy"), F.lit(b"")).otherwise(F.col("kept")).alias("kept"))
-    return rows.join(changed, "ord", "left").select(*columns)
+    )
+
+
+def _rewritten(names: list[str]):
+    """Rows with what is left of their text; the last two columns are copy and stretches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = batch.columns[:-2]
+            place = names.index("text")
+            texts = columns[place].to_pylist()
+            keep = [not copy for copy in batch.columns[-2].to_pylist()]
+            for row, stretches in enumerate(batch.columns[-1].to_pylist()):
+                if keep[row] and stretches:
+                    left = kept_bytes((texts[row] or "").encode(), stretches)[0]
+                    keep[row] = bool(left)
+                    texts[row] = left.decode("utf-8", "ignore")
+            columns[place] = pa.array(texts, columns[place].type)
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                counts = columns[at].to_pylist()
+                for row, stretches in enumerate(batch.columns[-1].to_pylist()):
+                    if stretches:
+                        counts[row] = len(texts[row])
+                columns[at] = pa.array(counts, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(list(batch.schema)[:-2])).filter(
+                pa.array(keep, pa.bool_())
+            )
+
+    return run
 
 
 def drop_repeats(documents: DataFrame) -> DataFrame:
@@ -514,9 +544,12 @@ def drop_repeats(documents: DataFrame) -> DataFrame:
 
     A character cut in the middle goes as a whole. ``n_chars``, if there is one, is counted anew.
     """
-    found = remove_repeats(documents).where("n_removed > 0")
-    found = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "text_hash").agg(
-        F.first("kept").alias("_kept"), F.max("n_bytes").alias("_bytes"), F.max("n_removed").alias("_removed")
+    _, rows, stretches = judged(documents)
+    found = (
+        rows.join(stretches, "ord", "left")
+        .where("copy or stretches is not null")
+        .groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), "text_hash")
+        .agg(F.first("copy").alias("_copy"), F.first("stretches").alias("_stretches"))
     )
     text = F.coalesce(documents["text"].cast("string"), F.lit(""))
     joined = documents.join(
@@ -524,14 +557,9 @@ def drop_repeats(documents: DataFrame) -> DataFrame:
         (F.coalesce(documents["doc_id"].cast("bigint"), F.lit(NO_ID)) == found["_id"])
         & (F.xxhash64(text) == found["text_hash"]),
         "left",
-    ).where("_removed is null or _removed < _bytes")
-    # Bytes are cut, so a character's first or last bytes may be left over.
-    left = F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "�", "")
-    new = {"text": F.when(F.col("_removed").isNull(), documents["text"]).otherwise(left)}
-    if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(F.col("_removed").isNull(), documents["n_chars"]).otherwise(
-            F.length(left).cast("bigint")
-        )
-    return joined.select(
-        *(new.get(name, documents[name]).alias(name) for name in documents.columns)
     )
+    return joined.select(
+        *(documents[name] for name in documents.columns),
+        F.coalesce("_copy", F.lit(False)).alias("_copy"),
+        "_stretches",
+    ).mapInArrow(_rewritten(documents.columns), documents.schema)

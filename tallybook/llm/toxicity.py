@@ -313,3 +313,16 @@ def toxicity(documents: DataFrame, labels: DataFrame, rest: int = 0, divisor: in
         "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(documents: DataFrame, grammar: Grammar) -> DataFrame:
+    """All columns of the rows that are not predicted toxic."""
+    place = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            found = sigmoid(np.array([features(t or "", grammar) @ grammar.weights for t in texts]))
+            yield batch.filter(pa.array(found < 0.5, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
