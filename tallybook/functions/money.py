@@ -11,17 +11,25 @@ from pyspark.sql import Column, functions as F
 
 # Doubles up to here times 100 are exact enough to round; see cents().
 SAFE_CENTS = 2**49
+# One, as a discount of six decimals; prices whose product with twice that fits a bigint.
+MICROS = 10**6
+SAFE_FACTOR = 2**42
 # Low bits split off before summing; see total().
 LOW_BITS = 20
 
 
-def _cents(amount: str) -> str:
-    scaled = f"({amount} * 100D)"
+def _scaled(amount: str, digits: int) -> str:
+    scale = 10**digits
+    scaled = f"({amount} * {scale}D)"
     decided = f"abs({scaled}) < {SAFE_CENTS}D AND abs({scaled} - rint({scaled})) < 0.25D"
-    by_decimal = f"cast(cast({amount} AS decimal(18,2)) * 100 AS bigint)"
+    by_decimal = f"cast(cast({amount} AS decimal(18,{digits})) * {scale} AS bigint)"
     return f"CASE WHEN {decided} THEN cast(rint({scaled}) AS bigint) ELSE {by_decimal} END"
 
 
+def _cents(amount: str) -> str:
+    return _scaled(amount, 2)
+
+
 def cents(amount: str) -> Column:
     """Whole cents of a ``double``: what ``cast(amount as decimal(18,2)) * 100`` gives.
 
@@ -35,10 +43,16 @@ def cents(amount: str) -> Column:
 def discounted_cents(price: str, discount: str) -> Column:
     """Cents of ``round(price * (1 - discount), 2)``, half away from zero.
 
-    Both are taken to two decimals first.
+    The price is taken to two decimals first, the discount to six. Where the product could
+    pass the limit of a ``bigint`` it is worked out as a decimal, with the same result.
     """
-    product = f"({_cents(price)}) * (100 - ({_cents(discount)}))"
-    return F.expr(f"({product} + if({product} < 0, -50, 50)) div 100")
+    price, kept = f"({_cents(price)})", f"({MICROS} - ({_scaled(discount, 6)}))"
+    half = MICROS // 2
+    small = f"({price} * {kept} + if({price} * {kept} < 0, -{half}, {half})) div {MICROS}"
+    exact = f"cast({price} AS decimal(18,0)) * cast({kept} AS decimal(12,0))"
+    big = f"cast(round(cast({exact} AS decimal(30,0)) * 0.000001BD, 0) AS bigint)"
+    fits = f"abs({price}) < {SAFE_FACTOR} AND abs({kept}) <= {2 * MICROS}"
+    return F.expr(f"CASE WHEN {fits} THEN {small} ELSE {big} END")
 
 
 def total(amount_cents: str) -> Column:

@@ -10,9 +10,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.functions import total
 
-# A longer table would make the generated expression too big to compile well.
-MAX_BANDS = 100
-
 
 @dataclass(frozen=True)
 class Band:
@@ -25,8 +22,8 @@ class Band:
 
 
 def _check(bands: Sequence[Band]) -> list[Band]:
-    if not 0 < len(bands) <= MAX_BANDS:
-        raise ValueError(f"between 1 and {MAX_BANDS} bands, not {len(bands)}")
+    if not bands:
+        raise ValueError("no bands")
     ordered = sorted(bands, key=lambda band: band.low)
     for band in ordered:
         if band.high is not None and band.high <= band.low:
@@ -44,20 +41,36 @@ def _to_cents(amount: Decimal) -> int:
     return int(whole)
 
 
+def _number(amount: Column, ordered: Sequence[Band]) -> Column:
+    """Position of the band that holds an amount; null where none does.
+
+    A binary search for the last low limit that is not above the amount: a fold over the
+    step widths, each of which is taken if it stays in the table and below the amount.
+    """
+    lows = F.lit([_to_cents(band.low) for band in ordered]).cast("array<bigint>")
+    open_end = 2**63 - 1
+    highs = F.lit(
+        [open_end if band.high is None else _to_cents(band.high) for band in ordered]
+    ).cast("array<bigint>")
+    widths = [1 << bit for bit in range(len(ordered).bit_length() - 1, -1, -1)]
+
+    def step(found: Column, width: Column) -> Column:
+        return F.when(F.get(lows, found + width) <= amount, found + width).otherwise(found)
+
+    found = F.aggregate(F.lit(widths).cast("array<int>"), F.lit(-1), step)
+    high = F.get(highs, found)
+    return F.when((found >= 0) & ((amount < high) | (high == open_end)), found)
+
+
 def band_rates(receivables: DataFrame, bands: Sequence[Band]) -> DataFrame:
     """``band, n_receivables, face_value, rate, rated_value`` (sum of face value × rate).
 
-    The parameter table becomes one conditional expression, so no row is joined to
-    anything. The rate is constant in a band and multiplies the band's exact total.
+    The parameter table becomes sorted constant arrays and a binary search over them, so no
+    row is joined to anything and the expression does not grow with the table. The rate is constant in a band and multiplies the band's exact total.
     Amounts in no band come out as a row with a null band.
     """
     ordered = _check(bands)
-    number: Column = F.lit(None).cast("int")
-    for position, band in reversed(list(enumerate(ordered))):
-        inside = F.col("face_cents") >= _to_cents(band.low)
-        if band.high is not None:
-            inside &= F.col("face_cents") < _to_cents(band.high)
-        number = F.when(inside, position).otherwise(number)
+    number = _number(F.col("face_cents"), ordered)
     names = F.array(*(F.lit(band.name) for band in ordered))
     rates = F.array(*(F.lit(str(band.rate)).cast("decimal(9,6)") for band in ordered))
     return (

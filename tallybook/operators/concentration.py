@@ -38,12 +38,13 @@ def debtor_concentration(receivables: DataFrame, debtors: DataFrame) -> DataFram
 
     Written as the sum of squares over the square of the sum, which needs neither the
     segment totals first nor a join back to them. The debtor's rows are summed before
-    the join, so the join meets one row per debtor.
+    the join, so the join meets one row per debtor. Debtors without a customer row make up
+    the row of the null segment, so that the segments add up to the book.
     """
     value = F.col("face_cents").cast("double")
     return (
         _per_debtor(receivables)
-        .join(debtors, "debtor")
+        .join(debtors, "debtor", "left")
         .groupBy("segment")
         .agg(
             F.count("*").alias("n_debtors"),

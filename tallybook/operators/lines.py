@@ -14,14 +14,15 @@ def return_rate_by_segment(
 
     Returned goods, not credit loss. Values are summed to one row per receivable, then
     to one per debtor, each before the join on that key: the joins meet unique keys on
-    both sides and reuse the aggregates' partitioning.
+    both sides and reuse the aggregates' partitioning. Lines without an order and orders
+    without a debtor's row make up the row of the null segment.
     """
     returned = F.when(F.col("returned"), F.col("line_cents")).otherwise(0)
     per_receivable = lines.groupBy("receivable").agg(
         F.sum("line_cents").alias("line_cents"), F.sum(returned).alias("returned_cents")
     )
     per_debtor = (
-        per_receivable.join(receivables.select("receivable", "debtor"), "receivable")
+        per_receivable.join(receivables.select("receivable", "debtor"), "receivable", "left")
         .groupBy("debtor")
         .agg(
             F.sum("line_cents").alias("line_cents"),
@@ -29,7 +30,7 @@ def return_rate_by_segment(
         )
     )
     return (
-        per_debtor.join(debtors, "debtor")
+        per_debtor.join(debtors, "debtor", "left")
         .groupBy("segment")
         .agg(
             total("line_cents").alias("line_value"),
@@ -42,23 +43,26 @@ def return_rate_by_segment(
 def header_line_check(receivables: DataFrame, lines: DataFrame) -> DataFrame:
     """``outcome, n_receivables, face_value, line_value``: face value against the sum of its lines.
 
-    Outcomes are ``over`` (face value above the lines), ``under``, ``equal`` and
-    ``no lines``. It reports and repairs nothing.
+    Outcomes are ``over`` (face value above the lines), ``under``, ``equal``, ``no lines`` and,
+    for lines whose receivable is not in the book, ``no order``. It reports and repairs nothing.
     """
-    per_receivable = lines.groupBy("receivable").agg(F.sum("line_cents").alias("line_cents"))
+    per_receivable = lines.groupBy("receivable").agg(
+        F.sum("line_cents").alias("line_cents"), F.lit(True).alias("has_lines")
+    )
     outcome = (
-        F.when(F.col("line_cents").isNull(), "no lines")
+        F.when(F.col("in_book").isNull(), "no order")
+        .when(F.col("has_lines").isNull(), "no lines")
         .when(F.col("face_cents") > F.col("line_cents"), "over")
         .when(F.col("face_cents") < F.col("line_cents"), "under")
         .otherwise("equal")
     )
     return (
-        receivables.select("receivable", "face_cents")
-        .join(per_receivable, "receivable", "left")
+        receivables.select("receivable", "face_cents", F.lit(True).alias("in_book"))
+        .join(per_receivable, "receivable", "full")
         .groupBy(outcome.alias("outcome"))
         .agg(
             F.count("*").alias("n_receivables"),
-            total("face_cents").alias("face_value"),
+            F.coalesce(total("face_cents"), F.lit(0).cast("decimal(30,2)")).alias("face_value"),
             F.coalesce(total("line_cents"), F.lit(0).cast("decimal(30,2)")).alias("line_value"),
         )
     )

@@ -6,7 +6,7 @@ from collections.abc import Callable
 from datetime import date, timedelta
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallybook import sources
 from tallybook.operators import (
@@ -21,10 +21,6 @@ from tallybook.operators import (
 )
 from tallybook.streaming import daily
 
-# Parameters of the reports, chosen for the test tables.
-AGE_AS_OF = date(2001, 8, 1)
-STATE_START = date(2024, 1, 1)
-STATE_WEEKS = 5
 SESSION_GAP = timedelta(hours=6)
 # Bands and rates show the lookup at work; they stand for no rule or tariff.
 RATE_BANDS = [
@@ -54,8 +50,11 @@ def monthly_origination(spark: SparkSession, root: str) -> DataFrame:
     return origination.by_month(_receivables(spark, root))
 
 
-def age_buckets(spark: SparkSession, root: str) -> DataFrame:
-    return ageing.age_buckets(_receivables(spark, root), AGE_AS_OF)
+def age_buckets(spark: SparkSession, root: str, as_of: date | None = None) -> DataFrame:
+    """By default as of the latest origination in the book."""
+    book = _receivables(spark, root)
+    latest = book.agg(F.to_date(F.max("originated"))).scalar()
+    return ageing.age_buckets(book, as_of or latest)
 
 
 def largest_debtors(spark: SparkSession, root: str) -> DataFrame:
@@ -106,16 +105,20 @@ def header_line_check(spark: SparkSession, root: str) -> DataFrame:
     return lines.header_line_check(_receivables(spark, root), _order_lines(spark, root))
 
 
-def weekly_state(spark: SparkSession, root: str) -> DataFrame:
+def weekly_state(
+    spark: SparkSession, root: str, start: date | None = None, end: date | None = None
+) -> DataFrame:
+    """Weekly from ``start`` to ``end``, by default the days of the first and last event.
+
+    The default reads the event times once, when the query is built.
+    """
+    events = _user_events(spark, root)
+    if start is None or end is None:
+        span = events.agg(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).first()
+        start, end = start or span[0], end or span[1]
+    weeks = (end - start).days // 7 + 1 if start and end else 0
     return asof.state_as_of(
-        _user_events(spark, root),
-        "user_id",
-        "ts",
-        "event_id",
-        ["event_type"],
-        STATE_START,
-        7,
-        STATE_WEEKS,
+        events, "user_id", "ts", "event_id", ["event_type"], start or date.min, 7, weeks
     )
 
 

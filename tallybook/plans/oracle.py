@@ -10,7 +10,7 @@ from __future__ import annotations
 FACE = "CAST(o_totalprice AS DECIMAL(18,2))"
 LINE = (
     "ROUND(CAST(l_extendedprice AS DECIMAL(18,2))"
-    " * (1 - CAST(l_discount AS DECIMAL(18,2))), 2)"
+    " * (1 - CAST(l_discount AS DECIMAL(9,6))), 2)"
 )
 MONTHLY = f"""
     SELECT CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
@@ -32,8 +32,9 @@ ORACLE_SQL: dict[str, str] = {
                         WHEN age <= 30 THEN '0-30' WHEN age <= 90 THEN '31-90'
                         WHEN age <= 180 THEN '91-180' WHEN age <= 360 THEN '181-360'
                         ELSE '361+' END AS bucket
-            FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE), DATE '2001-08-01') AS age
-                  FROM orders WHERE o_orderstatus <> 'F')
+            FROM (SELECT *, date_diff('day', CAST(o_orderdate AS DATE),
+                                      (SELECT CAST(MAX(o_orderdate) AS DATE) FROM orders)) AS age
+                  FROM orders WHERE o_orderstatus IS DISTINCT FROM 'F')
         ) GROUP BY bucket
     """,
     "largest_debtors": f"""
@@ -50,8 +51,8 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "debtor_concentration": f"""
         WITH per_debtor AS (
-            SELECT c_mktsegment AS segment, c_custkey, SUM({FACE}) AS face
-            FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+            SELECT c_mktsegment AS segment, o_custkey, SUM({FACE}) AS face
+            FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
         ), shares AS (
             SELECT segment, face, CAST(face AS DOUBLE)
                    / CAST(SUM(face) OVER (PARTITION BY segment) AS DOUBLE) AS share
@@ -120,8 +121,8 @@ ORACLE_SQL: dict[str, str] = {
     "return_rate_by_segment": f"""
         WITH valued AS (
             SELECT c_mktsegment AS segment, l_returnflag, {LINE} AS line_value
-            FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-                 JOIN customer ON o_custkey = c_custkey
+            FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey
+                 LEFT JOIN customer ON o_custkey = c_custkey
         )
         SELECT segment, CAST(SUM(line_value) AS DOUBLE) AS line_value,
                CAST(SUM(CASE WHEN l_returnflag = 'R' THEN line_value ELSE 0 END) AS DOUBLE)
@@ -132,18 +133,21 @@ ORACLE_SQL: dict[str, str] = {
     """,
     "header_line_check": f"""
         WITH per_order AS (
-            SELECT l_orderkey, SUM({LINE}) AS line_value FROM lineitem GROUP BY l_orderkey
-        )
-        SELECT CASE WHEN line_value IS NULL THEN 'no lines' WHEN {FACE} > line_value THEN 'over'
+            SELECT l_orderkey, SUM({LINE}) AS line_value, true AS has_lines
+            FROM lineitem GROUP BY l_orderkey
+        ), book AS (SELECT *, true AS in_book FROM orders)
+        SELECT CASE WHEN in_book IS NULL THEN 'no order' WHEN has_lines IS NULL THEN 'no lines' WHEN {FACE} > line_value THEN 'over'
                     WHEN {FACE} < line_value THEN 'under' ELSE 'equal' END AS outcome,
-               COUNT(*) AS n_receivables, CAST(SUM({FACE}) AS DOUBLE) AS face_value,
+               COUNT(*) AS n_receivables, CAST(COALESCE(SUM({FACE}), 0) AS DOUBLE) AS face_value,
                CAST(COALESCE(SUM(line_value), 0) AS DOUBLE) AS line_value
-        FROM orders LEFT JOIN per_order ON o_orderkey = l_orderkey GROUP BY 1
+        FROM book FULL JOIN per_order ON o_orderkey = l_orderkey GROUP BY 1
     """,
     "weekly_state": """
         WITH dates AS (
-            SELECT TIMESTAMP '2024-01-01' + INTERVAL (7 * week) DAY AS as_of
-            FROM range(5) AS weeks(week)
+            SELECT first_day + INTERVAL (7 * week) DAY AS as_of
+            FROM (SELECT date_trunc('day', MIN(ts)) AS first_day, MAX(ts) AS latest FROM events),
+                 unnest(range(date_diff('day', first_day, date_trunc('day', latest)) // 7 + 1))
+                     AS weeks(week)
         ), users AS (SELECT DISTINCT user_id FROM events)
         SELECT user_id, CAST(CAST(as_of AS DATE) AS VARCHAR) AS as_of, event_type
         FROM (

@@ -10,19 +10,27 @@ MIB = 1024 * 1024
 def shuffle_partitions(shuffled_bytes: int, cores: int, target_bytes: int = 128 * MIB) -> int:
     """Shuffle partitions that keep each one near ``target_bytes``, and no fewer than the cores.
 
-    Set this as ``initialPartitionNum``: adaptive execution merges the ones that
-    come out small, but never splits a plain aggregate's partition that comes out big.
+    ``session`` sets it: adaptive execution merges partitions that come out small, but
+    never splits a plain aggregate's partition that comes out big.
     """
     return max(cores, -(-shuffled_bytes // target_bytes))
 
 
 def session(
-    master: str | None = None, partitions: int | None = None, **settings: str
+    master: str | None = None,
+    partitions: int | None = None,
+    shuffled_bytes: int | None = None,
+    cores: int = 1,
+    **settings: str,
 ) -> SparkSession:
     """A session with ANSI arithmetic, UTC and adaptive execution.
 
-    ``master`` is left to ``spark-submit`` unless given. ``settings`` uses ``__`` for dots.
+    ``master`` is left to ``spark-submit`` unless given. ``partitions`` is the number of
+    shuffle partitions; without it, the bytes expected in the largest shuffle and the cluster's
+    cores decide. ``settings`` uses ``__`` for dots.
     """
+    if partitions is None and shuffled_bytes is not None:
+        partitions = shuffle_partitions(shuffled_bytes, cores)
     builder = (
         SparkSession.builder.appName("tallybook")
         .config("spark.sql.ansi.enabled", "true")

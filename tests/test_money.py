@@ -55,6 +55,28 @@ def test_discounted_cents(spark, pairs):
     assert [row[0] for row in frame.select(discounted_cents("price", "discount")).collect()] == expected
 
 
+@quiet
+@given(
+    st.lists(
+        st.tuples(st.integers(-10**15, 10**15), st.integers(-10**6, 3 * 10**6)), min_size=50, max_size=200
+    )
+)
+def test_discounts_of_six_decimals(spark, pairs):
+    """Small products and ones beyond a bigint alike, prices as the double holds them."""
+    data = [(price / 100, discount / 10**6) for price, discount in pairs]
+    frame = spark.createDataFrame(data, "price double, discount double")
+    expected = [
+        int((Decimal(as_cents(p)) * (1 - Decimal(d) / 10**6)).quantize(Decimal(1), ROUND_HALF_UP))
+        for (p, _), (_, d) in zip(data, pairs)
+    ]
+    assert [row[0] for row in frame.select(discounted_cents("price", "discount")).collect()] == expected
+
+
+def test_an_eighth_off_a_million(spark):
+    frame = spark.createDataFrame([(1_000_000.0, 0.125)], "price double, discount double")
+    assert frame.select(discounted_cents("price", "discount")).first()[0] == 87_500_000
+
+
 def test_null_amounts_stay_null(spark):
     frame = spark.createDataFrame([(None,), (1.5,)], "amount double").select(
         cents("amount").alias("amount_cents")

@@ -6,6 +6,7 @@ from datetime import date, datetime, timedelta
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tallybook.operators import ageing, asof, bands, concentration, lines, origination, sessions
 
@@ -144,7 +145,6 @@ def test_bands_are_half_open_and_keep_what_no_band_takes(spark, rows_of):
         [bands.Band("a", Decimal(0), Decimal(5), Decimal(1)), bands.Band("b", Decimal(4), None, Decimal(1))],
         [bands.Band("a", Decimal(0), None, Decimal(1)), bands.Band("b", Decimal(4), None, Decimal(1))],
         [bands.Band("a", Decimal("0.001"), None, Decimal(1))],
-        [bands.Band(str(i), Decimal(i), Decimal(i + 1), Decimal(1)) for i in range(101)],
     ],
 )
 def test_bad_bands_are_refused(spark, table):
@@ -152,6 +152,27 @@ def test_bad_bands_are_refused(spark, table):
         bands.band_rates(book(spark, []), table)
 
 
+@pytest.mark.parametrize("count", [1, 2, 101, 5000])
+def test_any_number_of_bands_gives_what_a_range_join_gives(spark, rows_of, count):
+    # Every third band is missing, so amounts fall between bands too.
+    table = [
+        bands.Band(f"b{i:05}", Decimal(i), Decimal(i + 1), Decimal("0.5"))
+        for i in range(count)
+        if i % 3 != 1
+    ]
+    amounts = spark.range(-150, 100 * count + 250, 37).select(F.col("id").alias("face_cents"))
+    joined = spark.createDataFrame(
+        [(b.name, int(b.low * 100), int(b.high * 100)) for b in table],
+        "band string, low bigint, high bigint",
+    )
+    expected = (
+        amounts.join(joined, (F.col("face_cents") >= F.col("low")) & (F.col("face_cents") < F.col("high")), "left")
+        .groupBy("band")
+        .count()
+    )
+    assert rows_of(bands.band_rates(amounts, table), "band", "n_receivables") == rows_of(expected)
+
+
 LINES = "receivable bigint, assignor bigint, returned boolean, line_cents bigint"
 
 
@@ -169,6 +190,33 @@ def test_return_rate(spark, rows_of):
     ]
 
 
+def test_no_line_is_lost_from_the_return_rate(spark, rows_of):
+    """Line without an order, order without a customer: the null segment."""
+    sold = spark.createDataFrame([(0, 1, True, 100), (1, 1, False, 200), (9, 1, True, 40)], LINES)
+    debtors = spark.createDataFrame([(1, "a")], "debtor bigint, segment string")
+    rows = [(1, "O", None, 0), (7, "O", None, 0)]
+    assert rows_of(lines.return_rate_by_segment(sold, book(spark, rows), debtors)) == [
+        (None, Decimal("2.40"), Decimal("0.40"), 0.16666667),
+        ("a", Decimal("1.00"), Decimal("1.00"), 1.0),
+    ]
+
+
+def test_debtors_without_a_customer_row_stay_in_the_book(spark, rows_of):
+    debtors = spark.createDataFrame([(1, "a")], "debtor bigint, segment string")
+    rows = [(1, "O", None, 100), (2, "O", None, 300), (None, "O", None, 300)]
+    assert rows_of(concentration.debtor_concentration(book(spark, rows), debtors)) == [
+        (None, 2, Decimal("6.00"), 0.5),
+        ("a", 1, Decimal("1.00"), 1.0),
+    ]
+
+
+def test_a_position_without_a_status_is_open(spark):
+    rows = [(1, None, date(2020, 1, 1), 1), (1, "F", date(2020, 1, 1), 1), (1, "O", date(2020, 1, 1), 1)]
+    assert [row[:2] for row in ageing.age_buckets(book(spark, rows), date(2020, 1, 2)).collect()] == [
+        ("0-30", 2)
+    ]
+
+
 def test_header_line_check(spark, rows_of):
     rows = [(1, "O", None, amount) for amount in (10, 20, 30, 40, 50)]
     sold = spark.createDataFrame(
@@ -178,6 +226,7 @@ def test_header_line_check(spark, rows_of):
     assert rows_of(lines.header_line_check(book(spark, rows), sold)) == [
         ("equal", 1, Decimal("0.30"), Decimal("0.30")),
         ("no lines", 2, Decimal("0.90"), Decimal("0.00")),
+        ("no order", 1, Decimal("0.00"), Decimal("0.01")),
         ("over", 1, Decimal("0.10"), Decimal("0.09")),
         ("under", 1, Decimal("0.20"), Decimal("0.21")),
     ]

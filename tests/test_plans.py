@@ -66,7 +66,7 @@ def test_scans_read_only_what_is_used(plan_of, name, columns):
 
 
 def test_open_status_is_filtered_in_the_scan(plan_of):
-    assert re.search(r"PushedFilters: \[[^\]]*Not\(EqualTo\(o_orderstatus,F\)\)", plan_of("age_buckets"))
+    assert re.search(r"PushedFilters: \[[^\]]*Not\(EqualNullSafe\(o_orderstatus,F\)\)", plan_of("age_buckets"))
 
 
 def test_top_debtors_are_not_sorted_as_a_whole(plan_of):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallybook.session import MIB, shuffle_partitions
+from tallybook.session import MIB, session, shuffle_partitions
 
 
 def test_settings_the_jobs_rely_on(spark):
@@ -11,6 +11,15 @@ def test_settings_the_jobs_rely_on(spark):
     assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
 
 
+def test_the_session_sizes_its_shuffles(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        own = session(shuffled_bytes=10 * 1024 * MIB, cores=8)
+        assert own.conf.get("spark.sql.shuffle.partitions") == "80"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_shuffle_partitions():
     assert shuffle_partitions(0, 8) == 8
     assert shuffle_partitions(10 * 1024 * MIB, 8) == 80
