@@ -10,6 +10,10 @@ from tallybook.functions import epoch_micros, epoch_seconds, ratio
 HOT_ROWS = 5_000_000
 MAX_HOT_GROUPS = 100_000
 STRETCH_SECONDS = 60
+# Parts a crowded stretch is cut into. A constant: quantiles have to be.
+PIECES = 64
+# Stands for a missing time or tiebreak, below all others.
+NO_VALUE = -(2**62)
 
 
 def hot_keys(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, Column]:
@@ -31,29 +35,45 @@ def _with_groups(rows: DataFrame, groups: DataFrame, keys: list[str]) -> DataFra
     return rows.join(F.broadcast(renamed), same, "left").drop(*(f"hot_{key}" for key in keys))
 
 
-def _piece(hot_rows: int) -> Column:
-    """Number of a row's piece of a crowded stretch: even parts of its range of times.
+def _time() -> Column:
+    """The row's time as a number; rows without one come first."""
+    return F.coalesce(epoch_micros("time"), F.lit(NO_VALUE)).cast("double")
 
-    If all its rows have one time, even parts of the range of tiebreaks. The number never
-    falls along (``time``, ``tiebreak``), whatever the rounding, so pieces are in order.
-    """
-    pieces = F.ceil(F.col("n_rows") / max(hot_rows, 1))
 
-    def part(value: Column, low: Column, high: Column) -> Column:
-        value, low, high = (number.cast("double") for number in (value, low, high))
-        return F.floor((value - low) / (high - low + 1) * pieces)
+def _tiebreak() -> Column:
+    return F.coalesce(F.col("tiebreak").cast("double"), F.lit(float(NO_VALUE)))
+
 
-    first, last = F.col("first"), F.col("last")
-    by_time = part(epoch_micros("time"), epoch_micros(first["time"]), epoch_micros(last["time"]))
-    by_tiebreak = part(F.col("tiebreak"), first["tiebreak"], last["tiebreak"])
-    return F.when(last["time"] > first["time"], by_time).otherwise(by_tiebreak)
+def _cuts(value: Column) -> Column:
+    """Aggregate: points that leave at most about 1 / PIECES of the rows between two of them."""
+    shares = F.array(*(F.lit(number / PIECES) for number in range(1, PIECES)))
+    return F.array_distinct(F.percentile_approx(value, shares, 20 * PIECES))
 
 
-def _ends(rows: DataFrame, *keys: str) -> DataFrame:
-    """``keys, n_rows, first, last``: the first and last row of each group."""
+def _piece() -> Column:
+    """Number of a row's piece of a crowded stretch, in the order of (``time``, ``tiebreak``).
+
+    Pieces lie between the cuts of the stretch's times, whatever their distribution. An instant that
+    is a cut itself may hold any number of rows, so it is cut again by the tiebreaks' cuts;
+    those are of the whole stretch, so no part of any instant holds more than 1 / PIECES of it.
+    """
+    time, tiebreak = _time(), _tiebreak()
+    before = F.size(F.filter("time_cuts", lambda cut: cut < time))
+    at_cut = F.array_contains("time_cuts", time)
+    part = F.size(F.filter("tiebreak_cuts", lambda cut: cut <= tiebreak))
+    return (2 * before + at_cut.cast("int")) * PIECES + F.when(at_cut, part).otherwise(0)
+
+
+def _ends(rows: DataFrame, *keys: str, cuts: bool = False) -> DataFrame:
+    """``keys, n_rows, first, last``: the first and last row of each group, and its cuts."""
     row = F.struct("time", "tiebreak", "state")
+    more = (
+        [_cuts(_time()).alias("time_cuts"), _cuts(_tiebreak()).alias("tiebreak_cuts")]
+        if cuts
+        else []
+    )
     return rows.groupBy(*keys).agg(
-        F.count("*").alias("n_rows"), F.min(row).alias("first"), F.max(row).alias("last")
+        F.count("*").alias("n_rows"), F.min(row).alias("first"), F.max(row).alias("last"), *more
     )
 
 
@@ -98,10 +118,10 @@ def consecutive_pairs(
     stretched = _with_groups(narrow, hot, ["key"]).withColumn(
         "stretch", F.when(F.col("is_hot"), stretch)
     )
-    stretches = _ends(stretched.where("is_hot"), "key", "stretch")
+    stretches = _ends(stretched.where("is_hot"), "key", "stretch", cuts=True)
     crowded = stretches.where(F.col("n_rows") > limit)
     cut = _with_groups(stretched, crowded, ["key", "stretch"]).withColumn(
-        "piece", F.when(F.col("n_rows").isNotNull(), _piece(hot_rows))
+        "piece", F.when(F.col("n_rows").isNotNull(), _piece())
     )
     pieces = _ends(
         cut.where(F.col("n_rows").isNotNull()).drop("n_rows"), "key", "stretch", "piece"

@@ -154,6 +154,16 @@ def test_a_hot_key_is_spread_over_the_partitions(busy, shuffles_of):
     for moment in (START, None):
         at_once = busy.withColumn("ts", F.lit(moment).cast("timestamp_ntz"))
         assert largest_part(2_000, at_once) < 0.3
+    # The same but for one event half a minute later, with tiebreaks bunched up, or without any.
+    last = F.col("event_id") == 199_998
+    spread = F.when(last, F.lit(START + timedelta(seconds=30))).otherwise(F.lit(START))
+    nearly = busy.withColumn("ts", spread.cast("timestamp_ntz"))
+    assert largest_part(2_000, nearly) < 0.3
+    bunched = F.when(F.col("event_id") % 1000 == 0, F.col("event_id") * 10**12).otherwise(F.col("event_id"))
+    assert largest_part(2_000, nearly.withColumn("event_id", bunched)) < 0.3
+    # Some without a tiebreak: those share one piece.
+    some = F.when(F.col("event_id") % 10 != 0, F.col("event_id"))
+    assert largest_part(2_000, nearly.withColumn("event_id", some)) < 0.3
     # All within a minute: cut by the microsecond.
     micros = F.timestamp_add("microsecond", F.col("event_id"), F.lit(START))
     assert largest_part(2_000, busy.withColumn("ts", micros.cast("timestamp_ntz"))) < 0.3
