@@ -149,8 +149,11 @@ class Packer:
     def left(self) -> Iterator[tuple]:
         """Pieces of windows still open, fullest first, with their ids."""
         for _, number, pieces in self.windows:
+            offset = 0
             for doc_id, start, ids, doc_tokens in pieces:
-                yield (doc_id, start, len(ids) // 4, zlib.crc32(ids), doc_tokens, number, 0, ids)
+                length = len(ids) // 4
+                yield (doc_id, start, length, zlib.crc32(ids), doc_tokens, number, offset, ids)
+                offset += length
 
     def flush(self) -> list[tuple]:
         rows, self.emitted = self.emitted, []
