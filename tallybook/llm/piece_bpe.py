@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,7 +48,6 @@ class PieceModel:
         self.ids: dict[str, int] = {}
         self.scores: dict[str, float] = {}
         self.bytes: dict[int, int] = {}
-        automaton = ahocorasick.Automaton()
         for number in numbers:
             piece = self.pieces[number]
             if model.is_byte(number):
@@ -55,20 +55,29 @@ class PieceModel:
             elif not (model.is_control(number) or model.is_unknown(number) or model.is_unused(number)):
                 self.ids[piece] = number
                 self.scores[piece] = model.get_score(number)
-                automaton.add_word(piece, len(piece))
+        self._surface = {number: piece.encode() for piece, number in self.ids.items()}
+        self._surface |= {number: bytes([value]) for value, number in self.bytes.items()}
+        # The table holds places in this list: pieces, and characters that are none.
+        characters = set().union(*self.ids)
+        self._entries = [*self.ids, *sorted(characters - self.ids.keys())]
+        self._entry_ids = [self._ids_of(entry) for entry in self._entries]
+        automaton = ahocorasick.Automaton()
+        for place, entry in enumerate(self._entries):
+            if self.merge(entry) == [entry]:  # others are never the end of a prefix
+                automaton.add_word(entry, (len(entry), place))
         automaton.make_automaton()
         self._ending = automaton.iter
-        self._whole: dict[str, bool] = {}
-        self._pairs: dict[tuple[str, str], bool] = {}
-        characters = set().union(*self.ids)
-        apart = any(MARK in piece.lstrip(MARK) for piece in self.ids)
-        if apart:
-            self._cut = re.compile(r"(?s).+")
+        self._pairs: dict[int, bool] = {}
+        known = "".join(re.escape(c) for c in sorted(characters - {MARK}))
+        if any(MARK in piece.lstrip(MARK) for piece in self.ids):
+            self._cut = re.compile(f"[{known}{MARK}]+|[^{known}{MARK}]")
         else:
-            known = "".join(re.escape(c) for c in sorted(characters - {MARK}))
             self._cut = re.compile(f"{MARK}*[{known}]+|{MARK}+|[^{known}{MARK}]")
-        self._surface = {number: piece.encode() for piece, number in self.ids.items()}
-        self._surface |= {number: bytes([value]) for value, number in self.bytes.items()}
+
+    def _ids_of(self, piece: str) -> list[int]:
+        if (number := self.ids.get(piece)) is not None:
+            return [number]
+        return [self.bytes.get(byte, self.unknown) for byte in piece.encode()]
 
     def merge(self, text: str) -> list[str]:
         """The model's merges, one by one: the best score first, the leftmost of equal ones."""
@@ -84,60 +93,46 @@ class PieceModel:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _is_whole(self, piece: str) -> bool:
-        """Whether the merges of the piece's characters give the piece."""
-        if (found := self._whole.get(piece)) is None:
-            found = self._whole[piece] = self.merge(piece) == [piece]
-        return found
-
-    def compatible(self, left: str, right: str) -> bool:
-        """Whether the merges of two pieces' characters stop at the border between them."""
-        pair = (left, right)
-        if (found := self._pairs.get(pair)) is None:
-            if len(self._pairs) > 4 * REMEMBERED:
-                self._pairs.clear()
-            found = self._pairs[pair] = self.merge(left + right) == [left, right]
+    def _compatible(self, pair: int) -> bool:
+        """Whether the merges of two entries' characters stop at the border between them."""
+        if len(self._pairs) > 2 * REMEMBERED:
+            self._pairs.clear()
+        left, right = (self._entries[place] for place in divmod(pair, len(self._entries)))
+        found = self._pairs[pair] = self.merge(left + right) == [left, right]
         return found
 
-    def split(self, text: str) -> list[str]:
-        """The pieces of a text whose spaces are marks already; unknown characters alone."""
-        ending: list[list[int]] = [[] for _ in text]
-        for end, length in self._ending(text):
-            ending[end].append(length)
-        last = [0] * len(text)
-        for end, lengths in enumerate(ending):
-            if 1 not in lengths:
-                lengths.append(1)
-            for length in lengths:
-                start = end + 1 - length
-                piece = text[start : end + 1]
-                if length > 1 and not self._is_whole(piece):
+    def _split(self, text: str) -> list[int]:
+        """Entries of a text of known characters, spaces as marks."""
+        count, pairs, compatible = len(self._entries), self._pairs, self._compatible
+        last = [-1] * (len(text) + 1)  # the last entry of each prefix
+        lengths = [0] * (len(text) + 1)
+        for end, (length, place) in self._ending(text):
+            end += 1
+            if lengths[end]:
+                continue
+            if start := end - length:
+                if (before := last[start]) < 0:
+                    continue
+                pair = before * count + place
+                found = pairs.get(pair)
+                if not (compatible(pair) if found is None else found):
                     continue
-                if start == 0 or (
-                    last[start - 1]
-                    and self.compatible(text[start - last[start - 1] : start], piece)
-                ):
-                    last[end] = length
-                    break
-        pieces, end = [], len(text)
+            last[end] = place
+            lengths[end] = length
+        entries, end = [], len(text)
         while end:
-            start = end - last[end - 1]
-            pieces.append(text[start:end])
-            end = start
-        return pieces[::-1]
+            entries.append(last[end])
+            end -= lengths[end]
+        return entries[::-1]
 
     def cut(self, text: str) -> list[str]:
         """Parts of a text that are encoded on their own, spaces as marks, one mark in front."""
         return self._cut.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode_part(self, part: str) -> list[int]:
-        ids: list[int] = []
-        for piece in self.split(part):
-            if (number := self.ids.get(piece)) is not None:
-                ids.append(number)
-            else:
-                ids.extend(self.bytes.get(byte, self.unknown) for byte in piece.encode())
-        return ids
+        if len(part) == 1:
+            return self._ids_of(part)
+        return [number for entry in self._split(part) for number in self._entry_ids[entry]]
 
     def encode(self, text: str) -> list[int]:
         """All ids of a text, without an end id."""
@@ -158,25 +153,30 @@ class PieceModel:
 
 
 class Encoder:
-    """A model and the parts met before: number of ids, ids as text, what they stand for."""
+    """A model and the parts met before: number of ids, ids as text, what they stand for.
+
+    Parts are remembered in two generations, so those met often outlast those met once.
+    """
 
     def __init__(self, model_file: str) -> None:
         self.model = PieceModel(model_file)
-        self._parts: dict[str, tuple[int, str, bytes]] = {}
+        self._young: dict[str, tuple[int, str, bytes]] = {}
+        self._old: dict[str, tuple[int, str, bytes]] = {}
 
     def _part(self, part: str) -> tuple[int, str, bytes]:
-        if len(self._parts) > REMEMBERED:
-            self._parts.clear()
-        ids = self.model.encode_part(part)
-        found = len(ids), " ".join(map(str, ids)), self.model.surface(ids)
+        if (found := self._old.get(part)) is None:
+            ids = self.model.encode_part(part)
+            found = len(ids), " ".join(map(str, ids)), self.model.surface(ids)
         if len(part) < 100:
-            self._parts[part] = found
+            if len(self._young) >= REMEMBERED:
+                self._young, self._old = {}, self._young
+            self._young[part] = found
         return found
 
     def __call__(self, text: str) -> tuple[int, str, str]:
         """Number of ids with the end id, the ids as text, the decoded text."""
-        known, new = self._parts.get, self._part
-        found = [known(part) or new(part) for part in self.model.cut(text)]
+        new = self._part
+        found = [self._young.get(part) or new(part) for part in self.model.cut(text)]
         counts, ids, surfaces = zip(*found) if found else ((), (), ())
         return (
             sum(counts) + 1,
@@ -185,6 +185,12 @@ class Encoder:
         )
 
 
+@lru_cache(maxsize=1)
+def encoder(model_file: str) -> Encoder:
+    """One per Python worker, which outlives its tasks."""
+    return Encoder(model_file)
+
+
 FIELDS = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -207,7 +213,7 @@ def encoded(documents: DataFrame, model_file: str, texts: bool = True) -> DataFr
     fields = pa.schema([FIELDS.field(name) for name in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(model_file)
+        encode = encoder(model_file)
         for batch in batches:
             rows: dict[str, list] = {name: [] for name in FIELDS.names}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
