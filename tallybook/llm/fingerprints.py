@@ -20,11 +20,11 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tallybook.llm.common import SPACE, id_key, identified, written
+from tallybook.llm.common import NO_ID, SPACE, id_key, identified, written
 
 WORDS = 5
 #: One shingle in this many is retained.
-SCALE = 4
+SCALE = 8
 #: Signed 64-bit hashes below this are retained.
 THRESHOLD = -(2**63) + 2**64 // SCALE
 
@@ -135,8 +135,8 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         F.floor(F.col("n_chars") / 2).cast("int").alias("taken"),
     )
     key = ["id_key", "text_hash"]
-    rows = base.withColumn("sketch", sketch(F.col("text")))
-    # Both joins read one and the same shuffle of the texts.
+    # Both joins read one and the same shuffle of the texts, so both take the same columns.
+    rows = base.select(*key, "text", sketch(F.col("text")).alias("sketch"))
     given = (
         rows.join(wanted, key)
         .groupBy("owner", "owner_hash")
@@ -153,7 +153,9 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         F.col("text").substr(F.lit(1), n_chars - F.floor(n_chars / 2).cast("int")), F.col("given")
     )
     return (
-        joined.select("doc_id", n_chars.alias("n_chars"), "sketch", "next_sketch", edited.alias("edited"))
+        joined.select(
+            F.nullif("id_key", F.lit(NO_ID)).alias("doc_id"), n_chars.alias("n_chars"), "sketch", "next_sketch", edited.alias("edited")
+        )
         .withColumn("edited_sketch", sketch(F.col("edited")))
         .select(
             "doc_id",
