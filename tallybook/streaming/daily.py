@@ -15,10 +15,6 @@ from pyspark.sql.types import StructField, StructType, TimestampType
 from tallybook.sources import SCHEMAS, run_folder
 
 DAY = 86_400_000_000  # microseconds
-# Each partition keeps a state store of its own. The state is one row per open day and
-# type, however many events there are, so a cluster's usual number of partitions would
-# only add empty stores.
-STATE_PARTITIONS = 16
 
 
 def stream_events(
@@ -87,11 +83,10 @@ def read_counts(spark: SparkSession, folder: str) -> DataFrame:
 def streamed_daily_counts(spark: SparkSession, root: str) -> DataFrame:
     """Run the stream over the table to its end and return the counts it wrote.
 
-    All files go into one trigger: files come in no particular order of time, and between
+    The session sets the number of state partitions; the checkpoint keeps it. All files go
+    into one trigger: files come in no particular order of time, and between
     triggers the watermark would drop rows of a history read out of order.
     """
     folder = run_folder(spark, "daily-counts")
-    own_settings = spark.newSession()
-    own_settings.conf.set("spark.sql.shuffle.partitions", str(STATE_PARTITIONS))
-    write_counts(daily_counts(stream_events(own_settings, root)), folder).awaitTermination()
+    write_counts(daily_counts(stream_events(spark, root)), folder).awaitTermination()
     return read_counts(spark, folder)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 
@@ -64,7 +65,8 @@ def test_late_rows_count_within_the_lateness_only(source, tmp_path):
     assert source.run(folder) == [(date(2024, 1, 9), "a", 1), (date(2024, 1, 10), "a", 2)]
 
 
-def test_a_repeated_trigger_replaces_what_it_wrote(spark, source, tmp_path):
+def test_a_trigger_written_again_replaces_its_folder(spark, source, tmp_path):
+    """What repeating a trigger does to the counts; the engine's own repeat is not staged here."""
     folder = f"{tmp_path}/run"
     source.add((1, 1, "a"))
     expected = source.run(folder)
@@ -73,6 +75,14 @@ def test_a_repeated_trigger_replaces_what_it_wrote(spark, source, tmp_path):
     assert sorted(tuple(row) for row in daily.read_counts(spark, folder).collect()) == expected
 
 
+def test_state_has_the_partitions_of_the_session(spark, source, tmp_path):
+    source.add((1, 1, "a"))
+    folder = f"{tmp_path}/run"
+    source.run(folder)
+    stores = [p for p in Path(f"{folder}/checkpoint/state/0").iterdir() if p.name.isdigit()]
+    assert len(stores) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_days_are_those_of_the_stored_clock_in_any_zone(spark, source, tmp_path):
     source.add((1, 0, "a"), (1, 23, "a"), (2, 2, "a"))
     spark.conf.set("spark.sql.session.timeZone", "America/Sao_Paulo")
