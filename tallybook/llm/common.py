@@ -15,6 +15,8 @@ SPACE = r"[\x20\x09-\x0D]"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Most rows of a list of keys that is broadcast.
 BROADCAST_ROWS = 200_000
+#: Bytes of a batch that Python works on at a time.
+BATCH_BYTES = 8 << 20
 #: Stands for a missing doc_id in join keys.
 NO_ID = -(2**63)
 
@@ -72,13 +74,22 @@ def texts_as_bytes(column: pa.Array) -> list[bytes]:
     return column.cast(pa.binary()).to_pylist()
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that what Python makes of one stays small; long texts count by their bytes."""
+    for batch in batches:
+        parts = max(1, -(-batch.nbytes // BATCH_BYTES))
+        rows = max(1, -(-batch.num_rows // parts))
+        for first in range(0, batch.num_rows, rows):
+            yield batch.slice(first, rows)
+
+
 def in_batches(
     work: Callable[[pa.RecordBatch], pa.RecordBatch],
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A function of one batch for ``mapInArrow``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             yield work(batch)
 
     return run

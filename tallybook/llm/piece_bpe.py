@@ -26,7 +26,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tallybook.llm.common import identified
+from tallybook.llm.common import identified, small
 
 MARK = "▁"
 #: Entries of each memory of a task; a full one starts anew.
@@ -214,7 +214,7 @@ def encoded(documents: DataFrame, model_file: str, texts: bool = True) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(model_file)
-        for batch in batches:
+        for batch in small(batches):
             rows: dict[str, list] = {name: [] for name in FIELDS.names}
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 count, ids, decoded = encode(text)

@@ -37,7 +37,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tallybook.llm.common import NO_ID, identified, if_small, in_batches, texts_as_bytes, written
+from tallybook.llm.common import (
+    NO_ID,
+    identified,
+    if_small,
+    in_batches,
+    small,
+    texts_as_bytes,
+    written,
+)
 from tallybook.llm.hashing import pieces, prefix_sums
 
 #: Bytes of a string that may not repeat, and of the k-grams that anchor it.
@@ -296,7 +304,7 @@ def numbered(documents: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFram
 
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The text of each wanted run of a document."""
-    for batch in batches:
+    for batch in small(batches):
         rows: list[tuple] = []
         wanted = batch.column(2).to_pylist()
         for number, text, entries in zip(
@@ -369,7 +377,7 @@ def _repeats_of(table: pa.Table) -> pa.RecordBatch:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row per window of a run with a hot anchor."""
-    for batch in batches:
+    for batch in small(batches):
         rows = []
         for row in batch.to_pylist():
             for start in range(row["first"], row["last"] + 1):
@@ -448,7 +456,7 @@ def kept_bytes(text: bytes, stretches: list[dict]) -> tuple[bytes, int, int]:
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         found = [
             kept_bytes(text, stretches)
             for text, stretches in zip(texts_as_bytes(batch.column(1)), batch.column(2).to_pylist())
@@ -514,7 +522,7 @@ def _rewritten(names: list[str]):
     """Rows with what is left of their text; the last two columns are copy and stretches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             columns = batch.columns[:-2]
             place = names.index("text")
             texts = columns[place].to_pylist()

@@ -38,7 +38,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tallybook.llm.common import identified, remainder, written
+from tallybook.llm.common import identified, remainder, small, written
 
 #: Labelled rows learned from, at most.
 SAMPLE = 40_000
@@ -293,7 +293,7 @@ def scored(documents: DataFrame, grammar: Grammar) -> DataFrame:
     """doc_id, text_hash, score of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = [features(text, grammar) @ grammar.weights for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sigmoid(np.array(found, float)))],
@@ -320,7 +320,7 @@ def drop_toxic(documents: DataFrame, grammar: Grammar) -> DataFrame:
     place = documents.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             texts = batch.column(place).to_pylist()
             found = sigmoid(np.array([features(t or "", grammar) @ grammar.weights for t in texts]))
             yield batch.filter(pa.array(found < 0.5, pa.bool_()))
