@@ -44,7 +44,7 @@ from pyspark.sql import DataFrame, functions as F
 from tallybook.llm.common import identified, remainder, texts_as_bytes, written
 
 #: Words every task knows; of these, those that get a class by what stands next to them.
-FREQUENT, CLASSED = 131_072, 4096
+FREQUENT, CLASSED = 65_536, 4096
 #: Neighbours told apart when words are clustered: the commonest words, the last for all others.
 NEIGHBOURS = 128
 CLASSES = LEAVES = 64
@@ -55,7 +55,7 @@ UPDATES = 12
 #: Counts that pull a row of weights to the shares of all rows, at first and in training.
 PRIOR, PULL = 2.0, 2.0
 #: Tokens of one numpy batch.
-CHUNK = 1_000_000
+CHUNK = 250_000
 END = b""
 #: Words longer than this are told apart by a digest.
 LONG = 40
@@ -119,14 +119,14 @@ def count_words(training: DataFrame) -> tuple[DataFrame, Words]:
     )
     # A word met once stays rare: it tells how likely words not met are.
     often = table.where((F.col("n") > 1) | (F.col("word") == F.lit(END)))
-    top = often.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word").limit(FREQUENT).collect()
+    top = often.orderBy(F.desc(F.col("word") == F.lit(END)), F.desc("n"), "word").limit(FREQUENT).toArrow()
     sums = table.agg(
         F.sum("n").alias("n"), F.count("*").alias("distinct"), F.count_if(F.col("n") == 1).alias("once")
     ).first()
-    counts = np.array([row["n"] for row in top], np.int64)
+    counts = top.column("n").to_numpy().astype(np.int64)
     total = sums["n"] or 0
     return table, Words(
-        {bytes(row["word"]): number for number, row in enumerate(top)},
+        {word: number for number, word in enumerate(top.column("word").to_pylist())},
         counts,
         total,
         sums["distinct"],
@@ -162,11 +162,13 @@ def _before(numbers: np.ndarray, end: int, steps: int) -> np.ndarray:
 
 def _sparse(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
     for kind, values in sums.items():
-        cells = np.flatnonzero(values)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(cells), pa.string()), pa.array(cells), pa.array(values[cells], pa.int64())],
-            names=["kind", "cell", "n"],
-        )
+        found = np.flatnonzero(values)
+        for first in range(0, len(found), CHUNK):
+            cells = found[first : first + CHUNK]
+            yield pa.RecordBatch.from_arrays(
+                [pa.repeat(kind, len(cells)), pa.array(cells), pa.array(values[cells], pa.int64())],
+                names=["kind", "cell", "n"],
+            )
 
 
 def _add(sums: np.ndarray, cells: np.ndarray) -> None:
@@ -237,17 +239,19 @@ class Tables:
         leaves[count] = LEAVES - 1
         leaf = classes * LEAVES + leaves
         sums = np.bincount(leaf[:count], weights=words.counts, minlength=CLASSES * LEAVES)
-        inside = np.zeros(count + 1)
+        inside = np.zeros(count + 1, np.float32)
         inside[:count] = np.log10(words.counts / sums[leaf[:count]])
         numbers = np.arange(count + 1)
         own_near, own_inner = NEAR - CLASSES, INNER - CLASSES
         near = np.where(numbers < min(own_near, count), numbers, own_near + classes)
         inner = np.where(numbers < min(own_inner, count), numbers, own_inner + classes)
-        return cls(classes, leaves, inside, near, inner, classes % SKIP)
+        numbers = (classes, leaves, near, inner, classes % SKIP)
+        classes, leaves, near, inner, skip = (values.astype(np.int32) for values in numbers)
+        return cls(classes, leaves, inside, near, inner, skip)
 
     def joint(self, near: np.ndarray, skip: np.ndarray) -> np.ndarray:
         """Both histories hashed into the buckets of the nearer one."""
-        return near * JOINT + (skip * 2654435761 >> 7) % JOINT
+        return near * JOINT + (skip * np.int64(2654435761) >> 7) % JOINT
 
 
 # ---- training --------------------------------------------------------------------------
@@ -262,7 +266,7 @@ def _histories(words: Broadcast, tables: Broadcast):
         }
         for numbers in _chunks(batches, known):
             one, two = _before(numbers, 0, 1), _before(numbers, 0, 2)
-            outcome = t.classes[numbers]
+            outcome = t.classes[numbers].astype(np.int64)
             _add(sums["class"], (t.near[one] * SKIP + t.skip[two]) * CLASSES + outcome)
             _add(sums["leaf"], (outcome * INNER + t.inner[one]) * LEAVES + t.leaves[numbers])
         yield from _sparse(sums)
@@ -302,6 +306,10 @@ class Weights:
     leaf_bias: np.ndarray  # classes x leaves
     leaf_near: np.ndarray  # classes x INNER x leaves
 
+    def short(self) -> Weights:
+        """As sent to tasks, in single precision."""
+        return Weights(*(values.astype(np.float32) for values in vars(self).values()))
+
     @classmethod
     def zero(cls) -> Weights:
         return cls(
@@ -387,9 +395,15 @@ def update(weights: Weights, origin: Weights, rows: list) -> None:
     _step(weights.bias, origin.bias, *skip.sum(axis=1), 4)
 
 
-def first_weights(rows: list) -> Weights:
+#: Weight of an outcome that cannot be.
+NEVER = -100.0
+
+
+def first_weights(rows: list, tables: Tables) -> Weights:
     """Start from what the word before alone tells; ``rows`` are the sums under zero weights."""
     weights = Weights.zero()
+    exists = np.zeros((CLASSES, LEAVES), bool)
+    exists[tables.classes, tables.leaves] = True
     near, total = np.zeros((NEAR, CLASSES)), np.zeros(CLASSES)
     for row in rows:
         sums, block = np.frombuffer(row["sums"], np.float32).astype(float), row["block"]
@@ -401,11 +415,11 @@ def first_weights(rows: list) -> Weights:
             observed = sums.reshape(2, INNER, LEAVES)[0]
             whole = observed.sum(axis=0) + 0.01
             share = whole / whole.sum()
-            weights.leaf_bias[block] = np.log(share)
+            weights.leaf_bias[block] = np.where(exists[block], np.log(share), NEVER)
             mixed = (observed + PRIOR * share) / (observed.sum(axis=1, keepdims=True) + PRIOR)
             weights.leaf_near[block] = np.log(mixed / share)
     share = (total + 0.01) / (total + 0.01).sum()
-    weights.bias = np.log(share)
+    weights.bias = np.where(exists.any(axis=1), np.log(share), NEVER)
     mixed = (near + PRIOR * share) / (near.sum(axis=1, keepdims=True) + PRIOR)
     weights.near = np.log(mixed / share)
     return weights
@@ -436,20 +450,20 @@ class Model:
 
 def train(training: DataFrame) -> tuple[DataFrame, Model]:
     """The table of word counts and the model, from ``text`` of all training rows."""
-    spark = training.sparkSession
-    context = spark.sparkContext
+    context = training.sparkSession.sparkContext
     table, words = count_words(training)
     shared = context.broadcast(words)
     cells = (
         training.select("text").mapInArrow(_neighbours(shared), CELLS)
-        .groupBy("kind", "cell").agg(F.sum("n").alias("n")).collect()
+        .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     )
     near = np.zeros(CLASSED * NEIGHBOURS * 2)
-    near[[row["cell"] for row in cells]] = [row["n"] for row in cells]
+    near[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     classed = min(CLASSED, words.rare)
     chosen = cluster(near.reshape(CLASSED, -1)[:classed], CLASSES - 1) if classed else np.zeros(0, int)
     tables = Tables.of(words, chosen)
-    histories = training.select("text").mapInArrow(_histories(shared, context.broadcast(tables)), CELLS)
+    placed = context.broadcast(tables)
+    histories = training.select("text").mapInArrow(_histories(shared, placed), CELLS)
     size = F.when(F.col("kind") == "class", F.lit(_SIZES["class"])).otherwise(F.lit(_SIZES["leaf"]))
     blocks = written(
         histories.groupBy("kind", "cell")
@@ -459,15 +473,20 @@ def train(training: DataFrame) -> tuple[DataFrame, Model]:
         .applyInArrow(_block, "kind string, block bigint, counts binary"),
         "blocks",
     )
+    shared.destroy()
+    placed.destroy()
 
     def sums(weights: Weights) -> list:
-        run = _gradients(context.broadcast(weights))
-        return blocks.mapInArrow(run, "kind string, block bigint, sums binary").collect()
+        sent = context.broadcast(weights.short())
+        found = blocks.mapInArrow(_gradients(sent), "kind string, block bigint, sums binary").toArrow()
+        sent.destroy()  # or each update would leave its weights on every executor's disk
+        return found.to_pylist()
 
-    weights = first_weights(sums(Weights.zero()))
+    weights = first_weights(sums(Weights.zero()), tables)
     origin = copy.deepcopy(weights)
     for _ in range(UPDATES):
         update(weights, origin, sums(weights))
+    weights = weights.short()
     class_sums = np.concatenate([softmax(class_logits(weights, b)[0])[1] for b in range(NEAR // BLOCK)])
     leaf_sums = softmax(weights.leaf_bias[:, None] + weights.leaf_near)[1]
     return table, Model(words, tables, weights, class_sums, leaf_sums)
