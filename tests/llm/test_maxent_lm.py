@@ -39,7 +39,7 @@ def found_in(frame):
     )
 
 
-@pytest.mark.parametrize("frequent", [131_072, 20])
+@pytest.mark.parametrize("frequent", [65_536, 20])
 def test_counts_and_base_are_exact(documents, nasty, frequent, monkeypatch):
     """With words known to every task, and with most of them met by the join."""
     monkeypatch.setattr(maxent_lm, "FREQUENT", frequent)
