@@ -6,6 +6,9 @@ all hashes, ascending; where none does, the smallest one. It is an unbiased samp
 whatever its size, so the containment of one document in another can be estimated between
 a note and a book. Fingerprints merge: of the hashes of both keep those below the
 fraction, or if there are none the smallest, and the result is the fingerprint of the union.
+A short text may have few hashes below the fraction or none, and then tells little of what
+contains it. So where either fingerprint has fewer than FEW hashes, the likeness is counted
+on all shingles of both texts; elsewhere it is estimated from the fingerprints.
 
 A missing text is empty. A text without words has an empty fingerprint, likened 1 to another
 empty one and 0 to any other. Equal texts have equal fingerprints. Rows that repeat both
@@ -24,7 +27,9 @@ from tallybook.llm.common import NO_ID, SPACE, id_key, identified, written
 
 WORDS = 5
 #: One shingle in this many is retained.
-SCALE = 8
+SCALE = 4
+#: With fewer retained hashes than this, likeness is counted on all of them.
+FEW = 64
 #: Signed 64-bit hashes below this are retained.
 THRESHOLD = -(2**63) + 2**64 // SCALE
 
@@ -34,29 +39,35 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def sketch(text: Column) -> Column:
-    """The retained hashes of a text, ascending, as an array."""
+def shingles(text: Column) -> Column:
+    """The different hashes of all shingles of a text, as an array."""
 
     def of_words(hashed: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.size(hashed) - (WORDS - 1), F.lit(1)))
-        shingles = F.transform(starts, lambda at: F.xxhash64(F.slice(hashed, at, WORDS)))
+        found = F.transform(starts, lambda at: F.xxhash64(F.slice(hashed, at, WORDS)))
         return F.when(F.size(hashed) == 0, F.array().cast("array<bigint>")).otherwise(
-            once(shingles, retained)
-        )
-
-    def retained(shingles: Column) -> Column:
-        below = F.filter(shingles, lambda h: h < F.lit(THRESHOLD))
-        return once(
-            below,
-            lambda some: F.when(
-                F.size(some) == 0, F.array(F.array_min(shingles))
-            ).otherwise(F.array_sort(F.array_distinct(some))),
+            F.array_distinct(found)
         )
 
     words = F.filter(F.split(text, f"{SPACE}+"), lambda word: word != F.lit(""))
     return once(F.transform(words, lambda word: F.xxhash64(word)), of_words)
 
 
+def retained(hashes: Column) -> Column:
+    """Of different hashes those a sketch keeps, ascending."""
+    return once(
+        F.filter(hashes, lambda h: h < F.lit(THRESHOLD)),
+        lambda below: F.when(
+            (F.size(below) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))
+        ).otherwise(F.array_sort(below)),
+    )
+
+
+def sketch(text: Column) -> Column:
+    """The retained hashes of a text, ascending, as an array."""
+    return once(shingles(text), retained)
+
+
 def merged(one: Column, other: Column) -> Column:
     """The sketch of the union of two documents."""
     return once(
@@ -83,6 +94,15 @@ def likeness(one: Column, other: Column) -> Column:
     )
 
 
+def near(one: str, other: str) -> Column:
+    """Likeness of two texts by their columns of all hashes and ``_sketch``."""
+    sketches = F.col(f"{one}_sketch"), F.col(f"{other}_sketch")
+    return F.when(
+        F.least(*(F.size(own) for own in sketches)) < FEW,
+        likeness(F.col(f"{one}_all"), F.col(f"{other}_all")),
+    ).otherwise(likeness(*sketches))
+
+
 def as_text(hashes: Column) -> Column:
     return F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 16, "0")), "")
 
@@ -132,38 +152,36 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         F.col("next.text_hash").alias("text_hash"),
         F.col("id_key").alias("owner"),
         F.col("text_hash").alias("owner_hash"),
-        F.floor(F.col("n_chars") / 2).cast("int").alias("taken"),
     )
     key = ["id_key", "text_hash"]
     # Both joins read one and the same shuffle of the texts, so both take the same columns.
-    rows = base.select(*key, "text", sketch(F.col("text")).alias("sketch"))
-    given = (
-        rows.join(wanted, key)
-        .groupBy("owner", "owner_hash")
-        .agg(
-            F.first(F.col("text").substr(F.lit(1), F.col("taken"))).alias("given"),
-            F.first("sketch").alias("next_sketch"),
-        )
-    )
+    # Sketches are made after the joins: hashes would take more room in a shuffle than the texts.
+    rows = base.select(*key, "text")
+    given = rows.join(wanted, key).groupBy("owner", "owner_hash").agg(F.first("text").alias("next"))
     joined = rows.join(
         given.withColumnsRenamed({"owner": "id_key", "owner_hash": "text_hash"}), key
     )
-    n_chars = F.length("text")
+    n_chars, taken = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
-        F.col("text").substr(F.lit(1), n_chars - F.floor(n_chars / 2).cast("int")), F.col("given")
+        F.col("text").substr(F.lit(1), n_chars - taken), F.col("next").substr(F.lit(1), taken)
     )
+    texts = {"own": F.col("text"), "next": F.col("next"), "edited": F.col("edited")}
     return (
-        joined.select(
-            F.nullif("id_key", F.lit(NO_ID)).alias("doc_id"), n_chars.alias("n_chars"), "sketch", "next_sketch", edited.alias("edited")
+        joined.withColumn("edited", edited)
+        .select(
+            F.nullif("id_key", F.lit(NO_ID)).alias("doc_id"),
+            n_chars.cast("bigint").alias("n_chars"),
+            F.sha2("edited", 256).alias("edited_sha256"),
+            *(shingles(text).alias(f"{name}_all") for name, text in texts.items()),
         )
-        .withColumn("edited_sketch", sketch(F.col("edited")))
+        .withColumns({f"{name}_sketch": retained(F.col(f"{name}_all")) for name in texts})
         .select(
             "doc_id",
-            F.col("n_chars").cast("bigint").alias("n_chars"),
-            F.sha2("edited", 256).alias("edited_sha256"),
-            "sketch",
+            "n_chars",
+            "edited_sha256",
+            F.col("own_sketch").alias("sketch"),
             "edited_sketch",
-            likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-            likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+            near("own", "edited").alias("near_edited"),
+            near("own", "next").alias("near_next"),
         )
     )

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -43,6 +44,37 @@ def test_sketches_merge(spark):
         assert row.m == (below or both[:1])
 
 
+def contained(one, other):
+    a, b = shingle_set(one), shingle_set(other)
+    return len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
+
+
+def test_likeness_of_short_and_unequal_texts(spark):
+    """Notes wholly or partly contained in the long text that follows them."""
+    draw = random.Random(9)
+    rows = []
+    for number in range(60):
+        long = [f"w{draw.randrange(10**6)}" for _ in range(3000)]
+        size = (1, 3, 5, 8, 14, 24, 44, 150)[number % 8]
+        at = draw.randrange(2000)
+        note = long[at : at + size]
+        if number % 3 == 0:
+            note = note[: size // 2] + [f"x{draw.randrange(10**6)}" for _ in range(size - size // 2)]
+        rows += [(2 * number + 1, " ".join(note)), (2 * number, " ".join(long))]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in fingerprints.fingerprints(frame).collect()}
+    texts = dict(rows)
+    for doc_id, text in rows:
+        following = texts[(doc_id - 1) % len(rows)]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + following[:half]
+        exact = 1e-12 if len(text.split()) < 200 else 0.08
+        assert abs(found[doc_id].near_edited - contained(text, edited)) < exact
+        if doc_id % 2:
+            assert abs(found[doc_id].near_next - contained(text, following)) < 1e-12
+            assert doc_id // 2 % 3 == 0 or len(text.split()) < 5 or found[doc_id].near_next == 1
+
+
 def test_null_and_repeated_ids_and_empty_tables(documents, nasty, clashing, empty):
     found = fingerprints.fingerprints(documents)
     assert found.count() == len(nasty)
