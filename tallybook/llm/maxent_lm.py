@@ -6,8 +6,11 @@ The probability of a word given the words before it is
 
 The first two are softmaxes over sums of weights, one weight row per active feature, looked
 up by a hashed bucket of the history: the word before (n-gram), the class of the word
-before that (skip), both hashed together, and a bias. A leaf is one word for the frequent
-words of a class; a leaf of several words shares its probability out by their counts.
+before that (skip), both hashed together, and a bias. These are a model of fixed size, which the
+driver holds. To its sums are added weights of the hashed word before and of the hashed pair of
+words before, in buckets whose number grows with the training tokens; they are tables. A leaf
+is one word for the frequent words of a class; a leaf of several words shares its
+probability out by their counts.
 
 1. Words are counted over all training texts. The FREQUENT commonest are known to every
    task; all others form one rare leaf, whose counts are met by a join.
@@ -17,7 +20,13 @@ words of a class; a leaf of several words shares its probability out by their co
    Each gradient update is a Spark job over the blocks: a task returns observed minus expected
    counts of its features, the driver adds them up and moves the weights, which are of
    fixed size too.
-4. Texts are scored in numpy batches of sparse look-ups.
+4. Counts of (hashed history, outcome) are dealt by bucket, a part of the buckets to a task, which
+   makes HASHED_UPDATES gradient updates of its buckets' weights, with the model of fixed size as
+   the start and the prior. Of a bucket, distinct cells are merged first in several tasks where its
+   word is common. The weights of all parts are written as a table.
+5. Texts are scored in numpy batches: their tokens are dealt to the parts that hold their weights
+   and summed there by text. Tokens after a common word go to several tasks, each with a
+   copy of that bucket's weights.
 
 A token is a word or the end of a text. Among the rare words an unknown one is one outcome,
 with the share of words met once (Good-Turing). All outcomes sum to one.
@@ -32,19 +41,20 @@ from __future__ import annotations
 import copy
 import hashlib
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tallybook.llm.common import identified, remainder, texts_as_bytes, written
 
 #: Words every task knows; of these, those that get a class by what stands next to them.
-FREQUENT, CLASSED = 65_536, 4096
+FREQUENT, CLASSED = 131_072, 4096
 #: Neighbours told apart when words are clustered: the commonest words, the last for all others.
 NEIGHBOURS = 128
 CLASSES = LEAVES = 64
@@ -54,6 +64,14 @@ NEAR, SKIP, JOINT, INNER = 2048, 32, 8, 256
 UPDATES = 12
 #: Counts that pull a row of weights to the shares of all rows, at first and in training.
 PRIOR, PULL = 2.0, 2.0
+#: Training tokens to a bucket of the word before; fewest buckets; buckets of the word before
+#: that within each.
+PER_BUCKET, LEAST_BUCKETS, FAR = 2048, 2048, 64
+HASHED_UPDATES = 4
+#: Tokens whose buckets form a part; common words, which may have several tasks.
+PART_TOKENS, HOT = 500_000, 256
+#: Tokens a task deals out at a time.
+DEALT = 1_000_000
 #: Tokens of one numpy batch.
 CHUNK = 250_000
 END = b""
@@ -151,13 +169,14 @@ def _chunks(batches: Iterator[pa.RecordBatch], words: Words, column: int = 0) ->
             yield words.numbered(found)
 
 
-def _before(numbers: np.ndarray, end: int, steps: int) -> np.ndarray:
-    """The token so many steps before; at the start of a text, and beyond it, the end."""
+def _before(numbers: np.ndarray, end: int, steps: int, of: np.ndarray | None = None) -> np.ndarray:
+    """The token so many steps before, or its value in ``of``; at the start of a text, and beyond it, the end."""
+    of, edge = (numbers, end) if of is None else (of, of[np.argmax(numbers == end)])
     place = np.arange(len(numbers))
     ends = np.where(numbers == end, place, -1)
     start = np.concatenate(([0], np.maximum.accumulate(ends)[:-1] + 1))
     back = place - steps
-    return np.where(back >= start, numbers[back], end)
+    return np.where(back >= start, of[back], edge)
 
 
 def _sparse(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -492,10 +511,308 @@ def train(training: DataFrame) -> tuple[DataFrame, Model]:
     return table, Model(words, tables, weights, class_sums, leaf_sums)
 
 
+# ---- hashed n-grams --------------------------------------------------------------------
+
+
+@dataclass
+class Layout:
+    """Where the buckets of the word before lie."""
+
+    buckets: int
+    parts: int
+    hashes: np.ndarray  # of each frequent word, the rare one last
+    hot: np.ndarray  # buckets of common words, ascending
+    first: np.ndarray  # first part of each
+    tasks: np.ndarray  # how many parts it has
+
+    @classmethod
+    def of(cls, words: Words) -> Layout:
+        buckets = max(LEAST_BUCKETS, words.total // PER_BUCKET)
+        parts = -(-words.total // PART_TOKENS)
+        hashes = np.array([zlib.crc32(word) for word in words.numbers] + [0], np.int64)
+        hot, at = np.unique(hashes[:-1][:HOT] % buckets, return_inverse=True)
+        tasks = -(-np.bincount(at, weights=words.counts[:HOT]).astype(np.int64) // PART_TOKENS)
+        return cls(buckets, parts, hashes, hot, parts + np.cumsum(tasks) - tasks, tasks)
+
+    def _hot(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(self.hot, buckets), len(self.hot) - 1)
+        return self.hot[at] == buckets, at
+
+    def part(self, buckets: np.ndarray, task: int) -> np.ndarray:
+        common, at = self._hot(buckets)
+        return np.where(common, self.first[at] + task % self.tasks[at], buckets % self.parts)
+
+    def homes(self) -> np.ndarray:
+        """The part where the weights of each part are found."""
+        return np.concatenate((np.arange(self.parts), np.repeat(self.first, self.tasks)))
+
+
+def _hashed(found: list[bytes], numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    values = hashes[numbers]
+    rare = np.flatnonzero(numbers == len(hashes) - 1)
+    values[rare] = [zlib.crc32(found[place]) for place in rare.tolist()]
+    return values
+
+
+def cells(t: Tables, layout: Layout, numbers: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each token the cell of its class and that of its leaf, as one number each.
+
+    class: bucket, far bucket, near, skip, class. leaf: bucket, class, inner, leaf.
+    """
+    one, two = _before(numbers, 0, 1), _before(numbers, 0, 2)
+    bucket = _before(numbers, 0, 1, hashes) % layout.buckets
+    far = (_before(numbers, 0, 2, hashes) * 2654435761 >> 13) % FAR
+    outcome = t.classes[numbers].astype(np.int64)
+    history = ((bucket * FAR + far) * NEAR + t.near[one]) * SKIP + t.skip[two]
+    leaf = ((bucket * CLASSES + outcome) * INNER + t.inner[one]) * LEAVES + t.leaves[numbers]
+    return history * CLASSES + outcome, leaf
+
+
+#: What the buckets are multiplied by in either cell, and in the rows of weights of each.
+_CELL = {"class": FAR * NEAR * SKIP * CLASSES, "leaf": CLASSES * INNER * LEAVES}
+PACKED = "part int, kind string, one binary, two binary"
+
+
+def _packed(rows: list[tuple]) -> pa.RecordBatch:
+    part, kind, one, two = zip(*rows) if rows else [()] * 4
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part, pa.int32()), pa.array(kind, pa.string()), pa.array(one, pa.binary()), pa.array(two, pa.binary())],
+        names=["part", "kind", "one", "two"],
+    )
+
+
+def _runs(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values starts."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else np.zeros(0, int)
+
+
+def _by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(parts, kind="stable")
+    starts = _runs(parts[order])
+    for own in np.split(order, starts[1:]) if len(starts) else []:
+        yield int(parts[own[0]]), own
+
+
+def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    starts = _runs(keys)
+    return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
+
+
+def _deal_counts(words: Broadcast, tables: Broadcast, layout: Broadcast):
+    """Counts of cells, packed by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, t, where = words.value, tables.value, layout.value
+        task = TaskContext.get().partitionId()
+        held: list[tuple] = []
+
+        def dealt() -> pa.RecordBatch:
+            rows = []
+            for kind, found in zip(_CELL, zip(*held)):
+                keys, counts = np.unique(np.concatenate(found), return_counts=True)
+                for part, own in _by_part(where.part(keys // _CELL[kind], task)):
+                    rows.append((part, kind, keys[own].tobytes(), counts[own].astype(np.int64).tobytes()))
+            held.clear()
+            return _packed(rows)
+
+        for batch in batches:
+            texts, first = texts_as_bytes(batch.column(0)), 0
+            while first < len(texts):
+                found: list[bytes] = []
+                while first < len(texts) and len(found) < CHUNK:
+                    found.extend(tokens(texts[first]))
+                    first += 1
+                numbers = known.numbered(found)
+                held.append(cells(t, where, numbers, _hashed(found, numbers, where.hashes)))
+                if sum(len(own[0]) for own in held) > DEALT:
+                    yield dealt()
+        yield dealt()
+
+    return run
+
+
+def _unpacked(table: pa.Table, kind: str, types: tuple = (np.int64, np.int64)) -> list[np.ndarray]:
+    rows = [(r["one"], r["two"]) for r in table.to_pylist() if r["kind"] == kind]
+    return [np.frombuffer(b"".join(found), of) for found, of in zip(zip(*rows) if rows else (b"", b""), types)] if rows else [np.zeros(0, of) for of in types]
+
+
+def _merge_counts(layout: Broadcast):
+    def run(keys, table):
+        home = int(layout.value.homes()[keys[0].as_py()])
+        rows = []
+        for kind in _CELL:
+            found, counts = _summed(*_unpacked(table, kind))
+            rows.append((home, kind, found.tobytes(), counts.tobytes()))
+        return pa.Table.from_batches([_packed(rows)])
+
+    return run
+
+
+def _base(w: Weights, kind: str, histories: np.ndarray) -> np.ndarray:
+    """The sums of the model of fixed size for each history."""
+    if kind == "leaf":
+        inner, outcome = histories % INNER, histories // INNER % CLASSES
+        return w.leaf_bias[outcome] + w.leaf_near[outcome, inner]
+    skip, near = histories % SKIP, histories // SKIP % NEAR
+    return w.bias + w.near[near] + w.skip[skip] + w.joint[Tables.joint(None, near, skip)]
+
+
+def _features(kind: str, histories: np.ndarray) -> dict[str, np.ndarray]:
+    """The rows of weights each history has."""
+    if kind == "leaf":
+        return {"leaf": histories // INNER}
+    pair = histories // (NEAR * SKIP)
+    return {"near": pair // FAR, "pair": pair}
+
+
+def fit(w: Weights, kind: str, keys: np.ndarray, counts: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Weights of all buckets in ``keys``, ascending: for each feature its rows' numbers and the rows."""
+    outcomes = CLASSES if kind == "class" else LEAVES
+    starts = _runs(keys // outcomes)
+    histories = keys[starts] // outcomes
+    observed = np.zeros((len(histories), outcomes), np.float32)
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
+    observed[row, keys % outcomes] = counts
+    total = observed.sum(axis=1, keepdims=True)
+    base = _base(w, kind, histories).astype(np.float32)
+    features = []
+    for name, of in _features(kind, histories).items():
+        begins = _runs(of)
+        at = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(of))))
+        weights = np.zeros((len(begins), outcomes), np.float32)
+        features.append((name, of[begins], begins, at, weights, np.add.reduceat(observed, begins)))
+    for _ in range(HASHED_UPDATES):
+        logits = base.copy()
+        for _, _, _, at, weights, _ in features:
+            logits += weights[at]
+        expected = softmax(logits)[0] * total
+        for _, _, begins, _, weights, seen in features:
+            _step(weights, 0.0, seen, np.add.reduceat(expected, begins), len(features))
+    return {name: (of, weights) for name, of, _, _, weights, _ in features}
+
+
+def _fit_part(weights: Broadcast, layout: Broadcast):
+    def run(keys, table):
+        w, home = weights.value, keys[0].as_py()
+        rows = []
+        for kind in _CELL:
+            found, counts = _summed(*_unpacked(table, kind))
+            for name, (of, values) in (fit(w, kind, found, counts) if len(found) else {}).items():
+                rows.append((name, of.tobytes(), values.astype(np.float16).tobytes()))
+        copies = np.flatnonzero(layout.value.homes() == home).tolist()
+        return pa.Table.from_batches([_packed([(part, *row) for part in copies for row in rows])])
+
+    return run
+
+
+def _deal_tokens(words: Broadcast, tables: Broadcast, layout: Broadcast):
+    """Cells of the tokens of each row, packed by part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, t, where = words.value, tables.value, layout.value
+        task = TaskContext.get().partitionId()
+        for batch in batches:
+            ids, texts, first = batch.column(0).to_numpy(), texts_as_bytes(batch.column(1)), 0
+            while first < len(texts):
+                found: list[bytes] = []
+                owner: list[int] = []
+                while first < len(texts) and len(found) < CHUNK:
+                    own = tokens(texts[first])
+                    found.extend(own)
+                    owner.append(len(own))
+                    first += 1
+                numbers = known.numbered(found)
+                outcome, leaf = cells(t, where, numbers, _hashed(found, numbers, where.hashes))
+                of = np.repeat(ids[first - len(owner) : first], owner)
+                # Leaves go without the bucket and class, which the other cell tells.
+                inside = (leaf % (INNER * LEAVES)).astype(np.int16)
+                yield _packed([
+                    (part, "tokens", outcome[own].tobytes(), of[own].tobytes() + inside[own].tobytes())
+                    for part, own in _by_part(where.part(outcome // _CELL["class"], task))
+                ])
+
+    return run
+
+
+def hashed_log10(w: Weights, found: dict[str, tuple[np.ndarray, np.ndarray]], kind: str, keys: np.ndarray) -> np.ndarray:
+    """log10 of the probability of each cell's outcome; weights never trained are zero."""
+    outcomes = CLASSES if kind == "class" else LEAVES
+    histories, at = np.unique(keys // outcomes, return_inverse=True)
+    value = np.zeros(len(keys))
+    order = np.argsort(at, kind="stable")
+    ends = np.searchsorted(at[order], np.arange(0, len(histories) + 50_000, 50_000))
+    for number, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
+        some = histories[number * 50_000 : (number + 1) * 50_000]
+        logits = _base(w, kind, some).astype(np.float32)
+        for name, of in _features(kind, some).items():
+            rows, weights = found[name]
+            if len(rows):
+                place = np.minimum(np.searchsorted(rows, of), len(rows) - 1)
+                logits += np.where((rows[place] == of)[:, None], weights[place].astype(np.float32), 0)
+        sums = softmax(logits)[1]
+        own = order[first:last]
+        row = at[own] - number * 50_000
+        value[own] = logits[row, keys[own] % outcomes] - sums[row]
+    return value / math.log(10)
+
+
+def _score_part(weights: Broadcast):
+    def run(table):
+        w = weights.value
+        found = {}
+        for name in ("near", "pair", "leaf"):
+            of, values = _unpacked(table, name, (np.int64, np.float16))
+            found[name] = of, values.reshape(len(of), LEAVES if name == "leaf" else CLASSES)
+        ids, sums = [], []
+        for row in table.to_pylist():
+            if row["kind"] == "tokens":
+                outcome = np.frombuffer(row["one"], np.int64)
+                ids.append(np.frombuffer(row["two"], np.int64, len(outcome)))
+                inside = np.frombuffer(row["two"], np.int16, offset=8 * len(outcome)).astype(np.int64)
+                leaf = (outcome // _CELL["class"] * CLASSES + outcome % CLASSES) * (INNER * LEAVES) + inside
+                sums.append((outcome, leaf))
+        if not ids:
+            return pa.table({"row_id": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+        outcome, leaf = (np.concatenate(own) for own in zip(*sums))
+        value = hashed_log10(w, found, "class", outcome) + hashed_log10(w, found, "leaf", leaf)
+        rows, at = np.unique(np.concatenate(ids), return_inverse=True)
+        return pa.table({"row_id": rows, "value": np.bincount(at, weights=value)})
+
+    return run
+
+
+def hashed_scores(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame:
+    """row_id and the sum of log10 of the probabilities of its tokens up to their leaves."""
+    context = training.sparkSession.sparkContext
+    layout = context.broadcast(Layout.of(model.words))
+    words, tables, weights = (context.broadcast(of) for of in (model.words, model.tables, model.weights))
+    learned = written(
+        training.select("text")
+        .mapInArrow(_deal_counts(words, tables, layout), PACKED)
+        .groupBy("part")
+        .applyInArrow(_merge_counts(layout), PACKED)
+        .groupBy("part")
+        .applyInArrow(_fit_part(weights, layout), PACKED),
+        "weights",
+    )
+    dealt = rows.select("row_id", "text").mapInArrow(_deal_tokens(words, tables, layout), PACKED)
+    return written(
+        dealt.unionByName(learned)
+        .groupBy("part")
+        .applyInArrow(_score_part(weights), "row_id bigint, value double")
+        .groupBy("row_id")
+        .agg(F.sum("value").alias("hashed")),
+        "hashed",
+    )
+
+
 # ---- scoring ---------------------------------------------------------------------------
 
 SCORED = pa.schema(
     [
+        ("row_id", pa.int64()),
         ("doc_id", pa.int64()),
         ("n_tokens", pa.int64()),
         ("known", pa.int64()),
@@ -505,7 +822,7 @@ SCORED = pa.schema(
     ]
 )
 SCORED_SQL = (
-    "doc_id bigint, n_tokens bigint, known bigint, base double, model double, "
+    "row_id bigint, doc_id bigint, n_tokens bigint, known bigint, base double, model double, "
     "rare array<struct<word: binary, n: bigint>>"
 )
 
@@ -517,7 +834,7 @@ def _scores(model: Broadcast):
         base = np.log10(np.append(words.counts, 0) + 1.0) - math.log10(words.total + words.distinct + 1)
         base[words.rare] = 0.0
         for batch in batches:
-            ids, texts = batch.column(0), texts_as_bytes(batch.column(1))
+            ids, texts = batch.select(["row_id", "doc_id"]), texts_as_bytes(batch.column("text"))
             first = 0
             while first < len(texts):
                 found: list[bytes] = []
@@ -533,7 +850,7 @@ def _scores(model: Broadcast):
     return run
 
 
-def _scored(m: Model, base: np.ndarray, ids: pa.Array, sizes: list[int], found: list[bytes]) -> pa.RecordBatch:
+def _scored(m: Model, base: np.ndarray, ids: pa.RecordBatch, sizes: list[int], found: list[bytes]) -> pa.RecordBatch:
     words = m.words
     numbers = words.numbered(found)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
@@ -546,11 +863,11 @@ def _scored(m: Model, base: np.ndarray, ids: pa.Array, sizes: list[int], found:
     known = np.add.reduceat((numbers != words.rare).astype(np.int64), starts)
     return pa.RecordBatch.from_arrays(
         [
-            ids,
+            *ids.columns,
             pa.array(sizes, pa.int64()),
             pa.array(known),
             pa.array(np.add.reduceat(base[numbers], starts)),
-            pa.array(np.add.reduceat(m.log10(numbers), starts)),
+            pa.array(np.add.reduceat(m.tables.inside[numbers].astype(float), starts)),
             pa.array([[{"word": w, "n": n} for w, n in own.items()] for own in lists], SCORED.field("rare").type),
         ],
         schema=SCORED,
@@ -562,17 +879,16 @@ def scored(documents: DataFrame, rest: int = 2, divisor: int = 7) -> DataFrame:
 
     The model learns from rows whose remainder is another than ``rest``.
     """
-    rows = identified(documents).select("doc_id", "text")
+    rows = identified(documents).select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id())
     training = rows.where(remainder(divisor) != rest)
     table, model = train(training)
     words = model.words
     shared = documents.sparkSession.sparkContext.broadcast(model)
-    first = written(
-        rows.mapInArrow(_scores(shared), SCORED_SQL).withColumn(
-            "row_id", F.monotonically_increasing_id()
-        ),
-        "scored",
-    )
+    first = written(rows.mapInArrow(_scores(shared), SCORED_SQL), "scored")
+    if words.total:
+        first = first.join(hashed_scores(training, rows, model), "row_id", "left").withColumn(
+            "model", F.col("model") + F.col("hashed")
+        )
     count = F.coalesce(F.col("c"), F.lit(0))
     outcomes = float(words.total + words.distinct + 1)
     # Among the rare words, an unknown one has the share of those met once.

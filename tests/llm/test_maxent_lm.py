@@ -73,6 +73,54 @@ def test_outcomes_sum_to_one(spark):
         assert abs(total - 1) < 1e-3
 
 
+@pytest.mark.parametrize("part_tokens", [500_000, 3000])
+def test_rare_words_before_and_pairs_of_them_tell_what_follows(spark, part_tokens, monkeypatch):
+    """All words lie beyond the clustered ones, so only hashed buckets tell the histories apart."""
+    monkeypatch.setattr(maxent_lm, "CLASSED", 60)
+    monkeypatch.setattr(maxent_lm, "PART_TOKENS", part_tokens)
+    draw = random.Random(8)
+    rows = []
+    for number in range(400):
+        own = []
+        for _ in range(40):
+            a, b = draw.randrange(90), draw.randrange(2)
+            own += [f"{'xy'[b]}{a}", f"m{a % 5}", f"t{(a * 7 + a % 5 * b) % 50}"]
+        rows.append((number, " ".join(own)))
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    texts = frame.withColumn("row_id", frame["doc_id"])
+    found = {r.row_id: r.hashed for r in maxent_lm.hashed_scores(texts, texts, maxent_lm.train(frame)[1]).collect()}
+    _, model = maxent_lm.train(frame)
+    fixed = 0.0
+    for _, text in rows:
+        numbers = model.words.numbered(maxent_lm.tokens(text.encode()))
+        fixed += float((model.log10(numbers) - model.tables.inside[numbers]).sum())
+    assert found.keys() == dict(rows).keys()
+    assert sum(found.values()) > 0.95 * fixed
+
+
+def test_buckets_grow_and_hashed_outcomes_sum_to_one():
+    counts = np.array([4_000_000, 3_000_000, 100], np.int64)
+    words_ = maxent_lm.Words({b"": 0, b"a": 1, b"b": 2}, counts, 8_000_000, 4, 999_900, 1)
+    layout = maxent_lm.Layout.of(words_)
+    assert layout.buckets == 8_000_000 // maxent_lm.PER_BUCKET and layout.tasks.max() == 8
+    assert set(layout.part(np.arange(layout.buckets), 3)) <= set(range(len(layout.homes())))
+    draw = np.random.default_rng(3)
+    for kind, outcomes in (("class", 64), ("leaf", 64)):
+        keys = np.unique(draw.integers(0, 3 * maxent_lm._CELL[kind], 500))
+        weights = maxent_lm.Weights.zero().short()
+        found = maxent_lm.fit(weights, kind, keys, draw.integers(1, 9, len(keys)))
+        row = keys[7] // outcomes * outcomes + np.arange(outcomes)
+        value = maxent_lm.hashed_log10(weights, found, kind, row)
+        assert abs((10.0**value).sum() - 1) < 1e-5 and value.max() > value.min()
+
+
+def test_words_beyond_65536_are_known_to_every_task(spark):
+    rows = [(n, " ".join(f"w{w}" for w in range(n % 70 * 1000, n % 70 * 1000 + 1000))) for n in range(210)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    _, found = maxent_lm.count_words(frame)
+    assert found.rare == 70_001 and found.rare_total == 0
+
+
 def test_nothing_to_learn_from(spark, empty, clashing):
     assert maxent_lm.scored(empty).count() == 0
     alone = next(n for n in range(100) if held_out(n))
