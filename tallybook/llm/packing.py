@@ -195,7 +195,8 @@ def _merge(size: int, level: int):
         packer = Packer(_sequences_of(keys[0].as_py(), level), size, 1)
         for row in table.to_pylist():
             packer.add(row["doc_id"], row["start"], row["ids"], row["doc_tokens"])
-        return pa.Table.from_batches([_batch(packer.flush() + list(packer.left()))])
+        merged = pa.Table.from_batches([_batch(packer.flush() + list(packer.left()))])
+        return merged.append_column("task", pa.repeat(keys[0], merged.num_rows))
 
     return run
 
@@ -223,8 +224,7 @@ def pack(
         merged = (
             left.withColumn("into", F.floor(F.col("task") / FAN_IN).cast("int"))
             .groupBy("into")
-            .applyInArrow(_merge(size, level), SCHEMA)
-            .withColumn("task", F.shiftright("sequence_id", 32).cast("int"))
+            .applyInArrow(_merge(size, level), f"{SCHEMA}, task int")
         )
         merged = written(merged.withColumn("place", F.monotonically_increasing_id()), "merged")
         done.append(merged.where("ids is null"))

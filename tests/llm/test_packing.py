@@ -58,6 +58,13 @@ def test_merging_level_by_level(documents, nasty, file, monkeypatch):
     assert len({r.doc_id for r in rows}) == len({i for i, _ in nasty})
 
 
+def test_each_level_merges_fan_in_tasks(documents, file, monkeypatch):
+    """9, 5, 3, 2 tasks are left: four levels, and the last sequence is numbered after them."""
+    monkeypatch.setattr(packing, "FAN_IN", 2)
+    rows = packing.pack(documents.repartition(9), file).collect()
+    assert max(r.sequence_id for r in rows) >> 56 == 5
+
+
 def test_best_fit_and_the_fullest_window():
     packer = packing.Packer(0, size=10, open_windows=2)
     one = np.zeros(1, "<u4").tobytes()
