@@ -10,6 +10,7 @@ from tallybook.llm import (
     chat_format,
     exact_dedup,
     fingerprints,
+    line_dedup,
     maxent_lm,
     near_dedup,
     packing,
@@ -94,6 +95,13 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.line_counts(documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in (
@@ -107,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_chat_format,
         op10_piece_bpe,
+        op13_line_dedup,
     )
 }
 
@@ -193,4 +202,22 @@ ORACLE_SQL = {
                    AS kept_sha256
         FROM texts LEFT JOIN cut USING (doc_id)
     """,
+    "op13_line_dedup": """
+        WITH lines AS (
+            SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS place
+            FROM documents
+        ), keyed AS (
+            SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM lines
+        ), common AS (
+            SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+        )
+        SELECT doc_id, count(*) AS n_lines, count(common.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY place)
+                               FILTER (WHERE common.key IS NULL), '')) AS kept_sha256
+        FROM keyed LEFT JOIN common USING (key)
+        GROUP BY doc_id
+    """,
 }
