@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallybook.llm import (
     chat_format,
+    collocations,
     exact_dedup,
     fingerprints,
     line_dedup,
@@ -18,6 +19,7 @@ from tallybook.llm import (
     sharding,
     suffix_dedup,
     toxicity,
+    vector_codes,
 )
 from tallybook.llm.common import documents
 
@@ -95,6 +97,21 @@ def op10_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, codebooks = vector_codes.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return found.select(
+        "vec_id",
+        "code",
+        "error",
+        "label_error",
+        F.lit(vector_codes.digest(codebooks)).alias("codebooks_sha256"),
+    )
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.line_counts(documents(spark, sf_dir))
     return found.select(
@@ -115,11 +132,70 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_suffix_dedup,
         op9_chat_format,
         op10_piece_bpe,
+        op11_vector_codes,
+        op12_collocations,
         op13_line_dedup,
     )
 }
 
+
+
+def _vector_codes_sql(rounds: int = 6) -> str:
+    """Rounds of integer k-means as one common table expression each."""
+    steps = []
+    for turn in range(rounds + 1):
+        steps.append(f"""
+        chosen{turn} AS MATERIALIZED (
+            SELECT row, part, arg_min(entry, d * 16 + entry) AS entry, min(d) AS d
+            FROM (
+                SELECT p.row, p.part, b.entry, CAST(list_sum(list_transform(
+                           list_zip(p.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS HUGEINT) AS d
+                FROM parts p JOIN book{turn} b ON p.part = b.part
+            ) GROUP BY row, part
+        )""")
+        if turn < rounds:
+            steps.append(f"""
+        sums{turn} AS (
+            SELECT part, entry, place, sum(c.v) AS s, count(*) AS n
+            FROM (SELECT row, part, unnest(x) AS v, generate_subscripts(x, 1) AS place FROM parts) c
+            JOIN chosen{turn} USING (row, part)
+            GROUP BY part, entry, place
+        ), means{turn} AS (
+            SELECT part, entry,
+                   list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY place) AS x
+            FROM sums{turn} GROUP BY part, entry
+        ), book{turn + 1} AS MATERIALIZED (
+            SELECT b.part, b.entry, coalesce(m.x, b.x) AS x
+            FROM book{turn} b LEFT JOIN means{turn} m ON b.part = m.part AND b.entry = m.entry
+        )""")
+    return f"""
+        WITH kept AS MATERIALIZED (
+            SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) AS row,
+                   list_transform(embedding, lambda x: CAST(floor(4096 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+            FROM embeddings
+            WHERE embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+        ), parts AS MATERIALIZED (
+            SELECT row, part, x[part * (len(x) // 8) + 1 : (part + 1) * (len(x) // 8)] AS x
+            FROM kept, unnest(range(0, 8)) AS p(part)
+        ), book0 AS (
+            SELECT part, row - 1 AS entry, x FROM parts WHERE row <= 16
+        ), {", ".join(steps)}, digest AS (
+            SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256
+            FROM book{rounds}
+        ), coded AS (
+            SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code,
+                   CAST(sum(d) AS BIGINT) AS error
+            FROM chosen{rounds} GROUP BY row
+        )
+        SELECT vec_id, code, error,
+               CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+        FROM kept JOIN coded USING (row), digest
+    """
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": _vector_codes_sql(),
     "op1_exact_dedup": """
         WITH texts AS (
             SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -202,6 +278,43 @@ ORACLE_SQL = {
                    AS kept_sha256
         FROM texts LEFT JOIN cut USING (doc_id)
     """,
+    "op12_collocations": """
+        WITH pieces AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                          'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+            FROM documents
+        ), words AS (
+            SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w
+            FROM pieces
+        ), totals AS (
+            SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang
+        ), counts AS MATERIALIZED (
+            SELECT lang, array_to_string(w[place : place + size - 1], ' ') AS phrase, size, count(*) AS f
+            FROM words, unnest(range(1, 5)) AS sizes(size), unnest(range(1, len(w) - size + 2)) AS places(place)
+            GROUP BY ALL HAVING f >= 30
+        ), candidates AS (
+            SELECT lang, phrase, string_split(phrase, ' ') AS w, size, f AS a FROM counts WHERE size > 1
+        ), cuts AS (
+            SELECT c.lang, c.phrase, c.a, k, one.f AS l, rest.f AS r,
+                   CAST(2000000 AS HUGEINT) * c.a // (one.f + rest.f) AS score
+            FROM candidates c, unnest(range(1, c.size)) AS ks(k)
+            JOIN counts one ON one.lang = c.lang AND one.phrase = array_to_string(w[1 : k], ' ')
+            JOIN counts rest ON rest.lang = c.lang AND rest.phrase = array_to_string(w[k + 1 : c.size], ' ')
+        ), scored AS (
+            SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+        ), inside AS (
+            SELECT lang, array_to_string(w[place : place + part - 1], ' ') AS phrase, max(a) AS most
+            FROM candidates, unnest(range(2, size)) AS parts(part),
+                 unnest(range(1, size - part + 2)) AS places(place)
+            GROUP BY ALL
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank,
+               phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+        FROM scored LEFT JOIN inside USING (lang, phrase) JOIN totals USING (lang)
+        WHERE coalesce(100 * CAST(most AS HUGEINT) < 80 * CAST(a AS HUGEINT), true)
+        QUALIFY rank <= 2000
+    """,
     "op13_line_dedup": """
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,

@@ -1,0 +1,118 @@
+"""Vector codes against plain integer k-means, at any size of numbers."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+
+import numpy as np
+import pytest
+
+from tallybook.llm import vector_codes
+
+SCHEMA = "vec_id bigint, embedding array<double>, label int, code string, bytes int"
+
+
+def expected(rows, parts=8, entries=16, rounds=6, scale=4096):
+    """Codes, errors and codebooks in plain Python."""
+
+    def scaled(x):
+        return math.floor(x) * scale if abs(x) >= 2**53 else math.floor(x * scale)
+
+    kept = [(i, v, label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    longest = max((len(v) for _, v, _ in kept), default=0)
+    length = max(1, -(-longest // parts))
+    ordered = sorted(kept, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    whole = {id(v): [scaled(x) for x in v] + [0] * (parts * length - len(v)) for _, v, _ in kept}
+    cut = {id(v): [whole[id(v)][p * length : (p + 1) * length] for p in range(parts)] for _, v, _ in kept}
+    books = [[cut[id(v)][p] for _, v, _ in ordered[:entries]] for p in range(parts)]
+
+    def best(part, book):
+        return min((sum((a - b) ** 2 for a, b in zip(part, entry)), n) for n, entry in enumerate(book))
+
+    for _ in range(rounds):
+        for p, book in enumerate(books):
+            groups = {}
+            for _, v, _ in kept:
+                groups.setdefault(best(cut[id(v)][p], book)[1], []).append(cut[id(v)][p])
+            books[p] = [
+                [sum(column) // len(groups[n]) for column in zip(*groups[n])] if n in groups else entry
+                for n, entry in enumerate(book)
+            ]
+    found, sums = [], {}
+    for i, v, label in kept:
+        own = [best(cut[id(v)][p], books[p]) for p in range(parts)]
+        error = sum(d for d, _ in own)
+        sums[label] = sums.get(label, 0) + error
+        found.append((i, label, "".join(f"{n:02x}" for _, n in own), error))
+    fits = lambda x: x if x < 2**63 else None
+    alone = {label: all(fits(e) is not None for _, l, _, e in found if l == label) for label in sums}
+    result = [(i, label, code, fits(e), fits(sums[label]) if alone[label] else None) for i, label, code, e in found]
+    return sorted(result, key=lambda row: tuple((x is not None, x) for x in row)), books
+
+
+def check(spark, rows_of, rows, **settings):
+    frame = spark.createDataFrame([(i, v, label, "?", 1) for i, v, label in rows], SCHEMA).repartition(3)
+    found, books = vector_codes.codes(frame, **settings)
+    want, plain = expected(rows, **settings)
+    assert rows_of(found, "vec_id", "label", "code", "error", "label_error") == want
+    assert [book.tolist() for book in books] == plain
+    text = ",".join(str(x) for book in plain for entry in book for x in entry)
+    assert vector_codes.digest(books) == hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_rows(count=120, width=64, spread=1.0):
+    draw = random.Random(4)
+    return [(n, [draw.uniform(-spread, spread) for _ in range(width)], draw.choice([0, 1, None])) for n in range(count)]
+
+
+def test_matches_plain_arithmetic(spark, rows_of):
+    rows = plain_rows()
+    rows += [(5, rows[5][1], 1)] * 3 + [(None, rows[7][1], 2), (200, rows[0][1], 0)]
+    rows += [(201, None, 0), (202, [None] + rows[0][1][1:], 1), (203, [math.nan] * 64, 1), (204, [math.inf] * 64, None)]
+    check(spark, rows_of, rows)
+
+
+def test_uneven_lengths_and_few_rows(spark, rows_of):
+    rows = [(3, [0.5, -0.25, 1.0], 1), (1, [], None), (2, [0.5] * 11, 1), (1, [-0.0], 1)]
+    check(spark, rows_of, rows, rounds=3)
+    check(spark, rows_of, [(1, [], 0), (2, [], 0)], rounds=1)
+
+
+def test_beyond_64_bits(spark, rows_of):
+    rows = plain_rows(40, 16)
+    rows += [(n + 100, [1e300 * n, -3e200] + [1.5] * 14, 7) for n in range(3)]
+    rows += [(n + 200, [2.0**40 + n] * 16, 8) for n in range(5)] + [(300, [1.7e308] * 16, 9)]
+    check(spark, rows_of, rows, parts=4, entries=6, rounds=3)
+
+
+def test_all_equal(spark, rows_of):
+    check(spark, rows_of, [(n, [0.125] * 8, n % 2) for n in range(50)], parts=2, entries=4, rounds=2)
+
+
+def test_no_kept_rows(spark):
+    for rows in ([], [(1, None, 1, "", 1)]):
+        found, _ = vector_codes.codes(spark.createDataFrame(rows, SCHEMA))
+        assert found.columns == ["vec_id", "label", "code", "error", "label_error"] and not found.collect()
+
+
+@pytest.mark.parametrize("width", [1, 2, 5, 8, 13])
+def test_transform_multiplies_squares(width):
+    draw = np.random.default_rng(width)
+    rows = draw.integers(-5000, 5000, (50, width))
+    found = vector_codes.walsh(rows)
+    assert ((found**2).sum(axis=1) == found.shape[1] * (rows**2).sum(axis=1)).all()
+    whole = vector_codes.walsh(np.eye(found.shape[1], dtype=np.int64)).T  # row s: the function of sequency s
+    assert [(np.diff(own) != 0).sum() for own in whole] == list(range(len(whole)))
+
+
+@pytest.mark.parametrize("most", [1, 3, 2000, 2**29])
+def test_nearest_is_the_first_least(most):
+    draw = np.random.default_rng(most)
+    rows, entries = draw.integers(-most, most + 1, (300, 8)), draw.integers(-most, most + 1, (16, 8))
+    entries[9] = entries[4]
+    chosen, distances = vector_codes.nearest(rows, entries)
+    plain = [[sum((int(a) - int(b)) ** 2 for a, b in zip(row, entry)) for entry in entries] for row in rows]
+    assert chosen.tolist() == [own.index(min(own)) for own in plain]
+    assert distances.tolist() == [min(own) for own in plain]
