@@ -7,18 +7,24 @@ Documents are linked when 100 * intersection >= 75 * union.
 1. Documents with equal sets form a node, so copies cost one row per task and set.
 2. Each of PERMUTATIONS hash functions gives two values of a node's signature, its minimum
    and its maximum over the set. Bands of four values (both of two functions) give
-   BANDS keys; a pair with similarity 0.75 shares none with a probability of
-   (1 - 0.75^4)^32 = 5e-6, any closer pair with less.
-3. In each bucket every node is compared with the one that meets most nodes in all of its
-   buckets, which is the original among edited copies. Confirmed pairs are linked and components built. In
-   ROUNDS rounds what is left outside the bucket's largest component meets other nodes of that one,
-   which gathers groups without an original. Then, in buckets that still hold several components, the
-   nodes outside the bucket's largest component are compared with all nodes of other
-   components, by a wider signature first, which lets few pairs through that do not link. After that no two nodes of a bucket in different components are left
-   uncompared. Groups of near copies cost about one pair per member and bucket.
-4. A pair is dropped early if sizes or two bits of each signature value rule it out (at
-   0.75 the bits do so wrongly with a probability below 1e-6). Otherwise the full sets
-   of 64-bit shingle hashes are compared.
+   BANDS keys; a pair with similarity 0.75 shares none with a probability of at most 9e-6
+   (5e-6 for large sets; minimum and maximum of a small set are not independent), any closer pair with
+   less. Sets of up to TINY shingles get keys besides that miss nothing: in the order of the
+   hashes, two linked sets share one of their first n - ceil(3 n / 4) + 1 shingles, so each of these is a key.
+3. Nodes of one key form a bucket. Its centre is the node that meets most nodes in all of its
+   buckets, which is the original among edited copies. Every node elects one centre, that of most of
+   its buckets, and is compared with it alone. Confirmed pairs are linked and components built.
+4. In ROUNDS rounds, each node outside its bucket's largest component is compared with one node of the
+   component that is the largest in most of its buckets, which gathers groups without an original.
+   So far each node costs one pair a round, however large its buckets are.
+5. What is left outside the largest component of a bucket is compared with all nodes of other components
+   in it, by a wider signature first, which lets few pairs through that do not link. A bucket with many such
+   comparisons is cut into a grid of cells of about PAIRS each, so no task takes all of it. After that no
+   two nodes of a bucket in different components are left uncompared.
+6. A pair is dropped early if sizes or two bits of each signature value rule it out (at
+   0.75 the bits do so wrongly with a probability below 1e-6; tiny sets are not judged by bits). Otherwise the full
+   sets of 64-bit shingle hashes are compared. The set of a node that many others are compared with is
+   joined last, in as many copies as it has HUB_PAIRS pairs.
 
 The result is a row per row: rows of equal text share it. ``component_id`` is the smallest
 doc_id reachable, missing ones aside. Rows that repeat a doc_id with other text are
@@ -53,8 +59,12 @@ BANDS = 32
 #: Most differing values, of 128 cut to two bits, of a pair that is looked at further:
 #: at 0.75 their number has mean 24 and deviation 4.4.
 DIFFERING = 48
-#: Rounds in which what a bucket's main component has not taken in meets one node of it each.
-ROUNDS = 1
+#: Rounds in which a node that its buckets' main components have not taken in meets one node of them.
+ROUNDS = 2
+#: Sets of up to so many shingles are found by single shingles. A set of 12 is linked with none larger.
+TINY = 16
+#: Comparisons of a cell of a bucket; pairs of a node that one copy of its set serves.
+PAIRS, HUB_PAIRS = 1 << 20, 512
 #: Functions of the wider signature of nodes that no component has taken in, and most differing
 #: values of it, of 2048 cut to two bits: at 0.75 their number has mean 384 and deviation 17.7.
 WIDE = 1024
@@ -103,6 +113,14 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
+def tiny_keys(found: np.ndarray) -> np.ndarray:
+    """Keys of which any two linked sets of up to TINY shingles share one."""
+    if len(found) > TINY:
+        return np.zeros(0, np.int64)
+    first = found[: len(found) + 3 * len(found) // -4 + 1]
+    return mixed(first * _STEP + np.uint64(BANDS)).view(np.int64)
+
+
 def two_bits(values: np.ndarray) -> np.ndarray:
     """Two bits of each value, 32 values to a 64-bit number."""
     bits = (mixed(values) & np.uint64(3)).reshape(-1, 32)
@@ -130,7 +148,8 @@ def _sketch(batch: pa.RecordBatch) -> pa.RecordBatch:
         if len(found):
             values = signature(found)
             digest = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-            rows.append((len(found), digest, band_keys(values), two_bits(values)))
+            keys = np.concatenate((band_keys(values), tiny_keys(found)))
+            rows.append((len(found), digest, keys, two_bits(values)))
         else:
             rows.append((0, None, None, None))
     columns = list(zip(*rows)) or [()] * 4
@@ -203,6 +222,10 @@ def _differing(one: Column, other: Column) -> Column:
     return F.bit_count(either.bitwiseAND(F.lit(0x5555555555555555)))
 
 
+def _tiny(size: str, other_size: str) -> Column:
+    return F.greatest(size, other_size) <= TINY
+
+
 def _possible(size: str, other_size: str, bits: str, other_bits: str) -> Column:
     """Whether sizes and signature bits allow a link."""
 
@@ -211,7 +234,7 @@ def _possible(size: str, other_size: str, bits: str, other_bits: str) -> Column:
         _differing(F.col(bits)[0], F.col(other_bits)[0]),
     )
     fits = 100 * F.least(size, other_size) >= 75 * F.greatest(size, other_size)
-    return fits & (apart <= DIFFERING)
+    return fits & (_tiny(size, other_size) | (apart <= DIFFERING))
 
 
 def _with_texts(documents: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -229,36 +252,127 @@ def _with_texts(documents: DataFrame, nodes: DataFrame, wanted: DataFrame) -> Da
 
 
 def _confirmed(documents: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Of pairs u, v those linked, by their full sets."""
+    """Of distinct pairs u, v those linked, by their full sets."""
     pairs = written(_likely(pairs, nodes), "pairs")
-    wanted = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u"))).distinct()
-    texts = _with_texts(documents, nodes, wanted.select(F.col("u").alias("node")))
+    ends = pairs.select("u").unionByName(pairs.select(F.col("v").alias("u")))
+    degrees = written(ends.groupBy(F.col("u").alias("node")).agg(F.count("*").alias("degree")), "degrees")
+    texts = _with_texts(documents, nodes, degrees.select("node"))
     sets = written(texts.mapInArrow(in_batches(_sets), "node bigint, shingles binary"), "sets")
-    if sets.count() > sets.select("node").distinct().count():  # rows that repeat doc_id and text
+    if sets.count() > degrees.count():  # rows that repeat doc_id and text
         sets = sets.dropDuplicates(["node"])
+    # The end with more pairs is the hub. Sets of the other ends meet copies of the hub's set.
+    for side in ("u", "v"):
+        pairs = pairs.join(degrees.withColumnsRenamed({"node": side, "degree": f"degree_{side}"}), side)
+    u_is_hub = F.col("degree_u") >= F.col("degree_v")
+    copies = F.ceil(F.greatest("degree_u", "degree_v") / F.lit(HUB_PAIRS)).cast("int")
+    turned = written(
+        pairs.select(
+            F.when(u_is_hub, F.col("v")).otherwise(F.col("u")).alias("leaf"),
+            F.when(u_is_hub, F.col("u")).otherwise(F.col("v")).alias("hub"),
+            F.pmod(F.xxhash64("u", "v"), copies).alias("copy"),
+        ),
+        "turned",
+    )
+    hubs = turned.select("hub", "copy").distinct()
     return (
-        sets.withColumnRenamed("node", "v")
-        .withColumnRenamed("shingles", "one")
-        .join(if_small(pairs), "v")
-        .join(sets.select(F.col("node").alias("u"), F.col("shingles").alias("other")), "u")
-        .select("u", "v", "one", "other")
+        sets.select(F.col("node").alias("leaf"), F.col("shingles").alias("one"))
+        .join(if_small(turned), "leaf")
+        .join(
+            sets.select(F.col("node").alias("hub"), F.col("shingles").alias("other")).join(hubs, "hub"),
+            ["hub", "copy"],
+        )
+        .select(F.least("leaf", "hub").alias("u"), F.greatest("leaf", "hub").alias("v"), "one", "other")
         .mapInArrow(in_batches(_similar), "u bigint, v bigint")
     )
 
 
+def _elected(votes: DataFrame) -> DataFrame:
+    """Pairs u, v of each node with the choice of most of its buckets; ``votes`` has node, choice, weight."""
+    counted = votes.groupBy("node", "choice").agg(F.count("*").alias("votes"), F.max("weight").alias("weight"))
+    best = F.max(F.struct("votes", "weight", (-F.col("choice")).alias("least"))).alias("best")
+    chosen = -F.col("best.least")
+    return (
+        counted.groupBy("node")
+        .agg(best)
+        .select(F.least("node", chosen).alias("u"), F.greatest("node", chosen).alias("v"))
+        .distinct()
+    )
+
+
+def _joined(documents: DataFrame, nodes: DataFrame, pairs: DataFrame, joined: DataFrame | None) -> DataFrame:
+    """Components, as u and root, after those of the pairs that link are added."""
+    links = written(_confirmed(documents, nodes, pairs), "links")
+    if joined is None:
+        return components(links)
+    if links.isEmpty():
+        return joined
+    # Only roots are joined anew.
+    for side in ("u", "v"):
+        roots = joined.select(F.col("u").alias(side), F.col("root").alias(f"root_{side}"))
+        links = links.join(roots, side, "left")
+    one, other = (F.coalesce(f"root_{side}", side) for side in ("u", "v"))
+    anew = components(links.select(one.alias("u"), other.alias("v")).where("u <> v").distinct())
+    later = anew.select(F.col("u").alias("root"), F.col("root").alias("later"))
+    moved = joined.join(later, "root", "left").select("u", F.coalesce("later", "root").alias("root"))
+    return written(moved.unionByName(anew), "joined")
+
+
 def _open(members: DataFrame, joined: DataFrame) -> DataFrame:
-    """Members of buckets that hold several components, with their own and the largest one."""
-    placed = members.join(joined, members["node"] == joined["u"], "left").select(
-        "band", "node", "centre", F.coalesce("root", "node").alias("root")
+    """Members of buckets that hold several components, with their own and the largest one.
+
+    n_all and n_out are the numbers of the bucket's members and of those outside its largest component.
+    """
+    placed = written(
+        members.join(joined, members["node"] == joined["u"], "left").select(
+            "band", "node", F.coalesce("root", "node").alias("root")
+        ),
+        "placed",
     )
     sizes = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
     main = (
         sizes.groupBy("band")
-        .agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"))
+        .agg(F.max(F.struct("n", "root")).alias("main"), F.count("*").alias("parts"), F.sum("n").alias("n_all"))
         .where("parts > 1")
-        .select("band", F.col("main.root").alias("main"))
+        .select("band", F.col("main.root").alias("main"), "n_all", (F.col("n_all") - F.col("main.n")).alias("n_out"))
+    )
+    return written(placed.join(main, "band"), "open")
+
+
+def _remaining(documents: DataFrame, nodes: DataFrame, opened: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components in one bucket, as far as the wider signature allows a link."""
+    wide = _with_texts(documents, nodes, opened.select("node").distinct()).mapInArrow(
+        in_batches(_wide_bits), "node bigint, wide array<bigint>"
+    )
+    wide = written(wide.dropDuplicates(["node"]), "wide")
+    opened = opened.join(nodes.select("node", "n_shingles", "bits", "bands"), "node").join(wide, "node")
+    # Both sides of a bucket are cut alike, and each piece meets each of the other side in a cell.
+    side = F.ceil(F.sqrt(F.col("n_out") * F.col("n_all") / F.lit(PAIRS))).cast("int")
+    piece, others = F.pmod(F.xxhash64("node"), side), F.explode(F.sequence(F.lit(0), side - 1))
+    one = opened.where("root <> main").withColumn("row", piece).withColumn("column", others).alias("one")
+    other = opened.withColumn("column", piece).withColumn("row", others).alias("other")
+    # A pair that shares several bands is taken in one of them, and once.
+    once = (
+        F.array_min(F.array_intersect("one.bands", "other.bands")) == F.col("one.band")
+    ) & ((F.col("other.root") == F.col("other.main")) | (F.col("one.node") < F.col("other.node")))
+    apart = F.aggregate(
+        F.zip_with("one.wide", "other.wide", _differing), F.lit(0), lambda sum_, n: sum_ + n
+    )
+    return (
+        one.join(
+            other,
+            (F.col("one.band") == F.col("other.band"))
+            & (F.col("one.row") == F.col("other.row"))
+            & (F.col("one.column") == F.col("other.column"))
+            & (F.col("one.root") != F.col("other.root"))
+            & _possible("one.n_shingles", "other.n_shingles", "one.bits", "other.bits")
+            & once
+            & (_tiny("one.n_shingles", "other.n_shingles") | (apart <= WIDE_DIFFERING)),
+        )
+        .select(
+            F.least("one.node", "other.node").alias("u"), F.greatest("one.node", "other.node").alias("v")
+        )
+        .distinct()
     )
-    return placed.join(main, "band")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -287,63 +401,28 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         shared.join(met, "node")
         .groupBy("band")
         .agg(F.max(F.struct("met", (-F.col("node")).alias("least"))).alias("centre"))
-        .select("band", (-F.col("centre.least")).alias("centre"))
-    )
-    members = written(shared.join(centres, "band").select("band", "node", "centre"), "members")
-
-    stars = members.where("node <> centre").select(
-        F.least("centre", "node").alias("u"), F.greatest("centre", "node").alias("v")
+        .select("band", (-F.col("centre.least")).alias("choice"), F.col("centre.met").alias("weight"))
     )
-    links = written(_confirmed(documents, nodes, stars.distinct()), "links")
-    joined = components(links)
-
-    # Members of one group need not be close to its centre. In every bucket they meet another
-    # node of its main component, drawn anew for each bucket and round.
+    members = shared.select("band", "node")
+    joined = _joined(documents, nodes, _elected(members.join(centres, "band").where("node <> choice")), None)
+    # Members of one group need not be close to its centre. They meet another node of their buckets'
+    # main component, drawn anew for each bucket and round.
+    opened = _open(members, joined)
     for turn in range(ROUNDS):
-        opened = _open(members, joined)
         drawn = (
             opened.where("root = main")
             .groupBy("band")
             .agg(F.max(F.struct(F.xxhash64("node", "band", F.lit(turn)), "node")).alias("drawn"))
             .select("band", F.col("drawn.node").alias("drawn"))
         )
-        met = opened.where("root <> main").join(drawn, "band").select(
-            F.least("drawn", "node").alias("u"), F.greatest("drawn", "node").alias("v")
-        )
-        more = written(_confirmed(documents, nodes, met.distinct()), "links")
-        if more.isEmpty():
+        # Buckets vote for a component, whose nodes are drawn by any of them.
+        votes = opened.where("root <> main").join(drawn, "band")
+        asked = votes.groupBy("node", "main").agg(F.count("*").alias("weight"), F.max("drawn").alias("choice"))
+        before, joined = joined, _joined(documents, nodes, _elected(asked), joined)
+        if joined is before:
             break
-        links = links.unionByName(more)
-        joined = components(links)
-
-    opened = written(_open(members, joined).where("node <> centre"), "open")
-    wide = _with_texts(documents, nodes, opened.select("node").distinct()).mapInArrow(
-        in_batches(_wide_bits), "node bigint, wide array<bigint>"
-    )
-    wide = written(wide.dropDuplicates(["node"]), "wide")
-    opened = opened.join(nodes.select("node", "n_shingles", "bits", "bands"), "node").join(wide, "node")
-    one, other = opened.where("root <> main").alias("one"), opened.alias("other")
-    same_band = F.zip_with("one.bands", "other.bands", lambda a, b: a == b)
-    # A pair that shares several bands is taken in the first, and once.
-    once = (F.array_position(same_band, True) == F.array_position("one.bands", F.col("one.band"))) & (
-        (F.col("other.root") == F.col("other.main")) | (F.col("one.node") < F.col("other.node"))
-    )
-    apart = F.aggregate(
-        F.zip_with("one.wide", "other.wide", _differing), F.lit(0), lambda sum_, n: sum_ + n
-    )
-    rest = one.join(
-        other,
-        (F.col("one.band") == F.col("other.band"))
-        & (F.col("one.root") != F.col("other.root"))
-        & _possible("one.n_shingles", "other.n_shingles", "one.bits", "other.bits")
-        & once
-        & (apart <= WIDE_DIFFERING),
-    ).select(
-        F.least("one.node", "other.node").alias("u"), F.greatest("one.node", "other.node").alias("v")
-    ).distinct()
-    more = written(_confirmed(documents, nodes, rest), "links")
-    if not more.isEmpty():
-        joined = components(links.unionByName(more))
+        opened = _open(members, joined)
+    joined = _joined(documents, nodes, _remaining(documents, nodes, opened), joined)
 
     named = nodes.join(joined, nodes["node"] == joined["u"], "left").select(
         "set_digest", "doc_id", F.coalesce("root", "node").alias("root")

@@ -85,3 +85,71 @@ def test_signatures_estimate_similarity():
     one, other = np.sort(everything[:2000]), np.sort(everything[500:2500])
     same = near_dedup.signature(one) == near_dedup.signature(other)
     assert abs(same.mean() - 0.6) < 0.15
+
+
+def edited(seed, count, size, edits):
+    """Texts that differ from one text, which is not among them, in so many words each."""
+    import random
+
+    draw = random.Random(seed)
+    base = [f"w{draw.randint(0, 10**6)}" for _ in range(size)]
+    rows = []
+    for number in range(count):
+        text = list(base)
+        for place in draw.sample(range(size), edits):
+            text[place] = f"e{number}x{place}"
+        rows.append((number, " ".join(text)))
+    return rows
+
+
+def counted_pairs(monkeypatch):
+    """The number of pairs that each step compares."""
+    counts, confirmed = [], near_dedup._confirmed
+
+    def counting(documents, nodes, pairs):
+        counts.append(pairs.count())
+        return confirmed(documents, nodes, pairs)
+
+    monkeypatch.setattr(near_dedup, "_confirmed", counting)
+    return counts
+
+
+def test_a_member_of_a_group_of_copies_costs_about_one_pair(spark, monkeypatch):
+    counts = counted_pairs(monkeypatch)
+    rows = edited(1, 400, 300, 1)
+    check(frame_of(spark, rows), rows)
+    assert counts[0] < 400 and sum(counts) < 1.2 * 400
+
+
+def test_texts_that_resemble_without_linking(spark, monkeypatch):
+    """A bucket is cut into cells, a hub's set into copies; the rows stay those of all pairs."""
+    monkeypatch.setattr(near_dedup, "PAIRS", 500)
+    monkeypatch.setattr(near_dedup, "HUB_PAIRS", 3)
+    counts = counted_pairs(monkeypatch)
+    rows = edited(2, 200, 100, 2) + [(1000 + i, t) for i, t in edited(3, 200, 60, 1)]
+    check(frame_of(spark, rows), rows)
+    assert sum(counts[:3]) <= 3 * 400
+
+
+def test_no_link_between_tiny_sets_is_missed(spark):
+    """Sets of up to 12 shingles share a key whenever they are linked."""
+    draw = np.random.default_rng(5)
+    for _ in range(80_000):
+        shared = int(draw.integers(3, 13))
+        union = int(draw.integers(shared, 4 * shared // 3 + 1))
+        everything = draw.integers(0, 2**64, union, np.uint64)
+        cut = int(draw.integers(shared, union + 1))
+        one, other = np.sort(everything[:cut]), np.sort(np.concatenate((everything[:shared], everything[cut:])))
+        if min(len(one), len(other)) <= 12:
+            assert np.isin(near_dedup.tiny_keys(one), near_dedup.tiny_keys(other)).any()
+
+
+def test_tiny_texts(spark):
+    """Texts of 7 and 8 words that share 3 of 4 shingles, and many that share one only."""
+    rows = []
+    for number in range(60):
+        text = [f"t{number}x{place}" for place in range(8)]
+        rows += [(2 * number, " ".join(text)), (2 * number + 1, " ".join(text[:7]))]
+    rows += [(1000 + n, f"five words that all share {n}") for n in range(60)]
+    rows += [(2000 + n, f"{n} b c d") for n in range(20)]
+    check(frame_of(spark, rows), rows)
