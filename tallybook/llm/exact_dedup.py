@@ -142,7 +142,7 @@ def drop_exact_duplicates(documents: DataFrame) -> DataFrame:
     row = F.struct(*(F.col(name) for name in documents.columns))
     single = (
         with_keys(left, repeated, "left_semi")
-        .groupBy("doc_id", "text")
+        .groupBy("doc_id", F.coalesce("text", F.lit("")))
         .agg(F.first(row).alias("row"))
         .select("row.*")
     )

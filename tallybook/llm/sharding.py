@@ -6,13 +6,18 @@ the shard's residual capacity is highest.
 
 Documents of equal text form a group and stay together. Groups of at least one
 ``CELLS``-th of the table in any measure are items of their own; there are at most
-3 * CELLS of those. One above ``PART`` of a shard is split by a hash of its rows into parts
-below that, or no shards could be even. All smaller groups are bundled by a hash of the text into CELLS items.
+3 * CELLS of those. All smaller groups are bundled by a hash of the text into CELLS items.
 So the driver packs a bounded list whatever the size of the table, and the answer goes
 back as a map of the same bounded size.
 
+A group above a shard cannot stay together; it is split by its rows' numbers into parts of
+PART of a shard. Only if the shards still differ by more than UNEVEN in bytes, because groups of nearly a
+shard leave no room, the groups above half a shard are split as well, then those above a quarter.
+
+Rows are numbered once, when their measures are written, and dealt by that number, so rows
+that repeat in every column are spread like any other.
 A missing text has size 16, the overhead alone, and is grouped with empty texts.
-Repeated rows and repeated or missing ids are rows like any other. An empty table gives an
+Repeated or missing ids are rows like any other. An empty table gives an
 empty result. Other columns are ignored.
 """
 
@@ -23,20 +28,28 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tallybook.llm.common import identified, in_batches, texts_as_bytes, written
 
 #: Bytes a row costs besides its text.
 OVERHEAD = 16
 #: Bundles of small groups.
-CELLS = 8192
-#: No item is larger than this part of a shard.
+CELLS = 32_768
+#: A part of a split group, as a part of a shard.
 PART = 0.25
+#: Groups above so much of a shard are split, the next only if shards stay uneven; the bound for that.
+LIMITS = (1.0, 0.5, PART)
+UNEVEN = 0.02
 #: How much each measure counts in the dot product: bytes most, their law is the promise.
-WEIGHTS = np.array([1.0, 0.05, 0.05])
+WEIGHTS = np.array([1.0, 0.5, 0.5])
 #: Rows numbered by one task at a time.
 RUN = 8192
+MEASURES = ("size", "tokens", "n")
+
+
+def _sums() -> list[Column]:
+    return [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
 
 
 def _measure(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -65,49 +78,57 @@ def pack(items: np.ndarray, shards: int) -> np.ndarray:
     return chosen
 
 
+def _parts(share: Column, shards: int, limit: float) -> Column:
+    """Into how many parts a group with this share of the table is split."""
+    return F.when(share * shards > limit, F.ceil(share * shards / PART)).otherwise(1)
+
+
+def _placed(rows: DataFrame, whole: list[int], shards: int) -> DataFrame:
+    """``rows`` with their shard."""
+    share = F.greatest(*(F.col(name) / F.lit(float(of)) for name, of in zip(MEASURES, whole)))
+    large = written(
+        rows.groupBy("digest")
+        .agg(*_sums())
+        .withColumn("share", share)
+        .where(F.col("share") >= 1.0 / CELLS)
+        .select("digest", "share"),
+        "large",
+    )
+    cell = F.concat(F.lit("cell "), F.pmod(F.xxhash64("digest"), F.lit(CELLS)))
+    for limit in LIMITS:
+        parts = _parts(F.col("share"), shards, limit)
+        part = F.concat(F.hex("digest"), F.lit(" "), F.pmod(F.xxhash64("row_id"), parts))
+        items = rows.join(F.broadcast(large), "digest", "left").withColumn(
+            "item", F.when(F.col("share").isNull(), cell).otherwise(part)
+        )
+        bundles = items.groupBy("item").agg(*_sums()).orderBy("item").collect()
+        vectors = np.array([[b[name] for name in MEASURES] for b in bundles], float).reshape(-1, 3)
+        chosen = pack(vectors / whole, shards)
+        sizes = np.bincount(chosen, weights=vectors[:, 0], minlength=shards)
+        if sizes.max() <= (1 + UNEVEN) * sizes.mean():
+            break
+    where = rows.sparkSession.createDataFrame(
+        [(b["item"], int(at)) for b, at in zip(bundles, chosen)], "item string, shard int"
+    )
+    return items.join(F.broadcast(where), "item")
+
+
 def shard(documents: DataFrame, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, tokens, shard, slot of every row."""
-    spark = documents.sparkSession
     rows = written(
         identified(documents)
         .select("doc_id", "text")
         .mapInArrow(
             in_batches(_measure),
             "doc_id bigint, size bigint, text_crc32 bigint, tokens bigint, digest binary",
-        ),
-        "measures",
-    )
-    sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")]
-    total = rows.agg(*sums).first()
-    whole = [max(1, total[name] or 0) for name in ("size", "tokens", "n")]
-    share = F.greatest(
-        *(F.col(name) / F.lit(float(of)) for name, of in zip(("size", "tokens", "n"), whole))
-    )
-    large = (
-        rows.groupBy("digest")
-        .agg(*sums)
-        .withColumn("share", share)
-        .where(F.col("share") >= 1.0 / CELLS)
-        .select("digest", F.ceil(F.col("share") * shards / PART).alias("parts"))
-    )
-    hashed = F.xxhash64("digest")
-    item = F.when(
-        F.col("parts").isNull(), F.concat(F.lit("cell "), F.pmod(hashed, F.lit(CELLS)))
-    ).otherwise(
-        F.concat(
-            F.hex("digest"), F.lit(" "), F.pmod(F.xxhash64("doc_id", "digest"), F.col("parts"))
         )
+        .withColumn("row_id", F.monotonically_increasing_id()),
+        "measures",
     )
-    rows = rows.join(F.broadcast(large), "digest", "left").withColumn("item", item)
-    bundles = rows.groupBy("item").agg(*sums).orderBy("item").collect()
-    vectors = np.array([[b["size"], b["tokens"], b["n"]] for b in bundles], float).reshape(-1, 3)
-    placed = pack(vectors / whole, shards)
-    where = spark.createDataFrame(
-        [(b["item"], int(at)) for b, at in zip(bundles, placed)], "item string, shard int"
-    )
-    rows = rows.join(F.broadcast(where), "item")
+    total = rows.agg(*_sums()).first()
+    rows = _placed(rows, [max(1, total[name] or 0) for name in MEASURES], shards)
     runs = max(1, -(-int(total["n"]) // (shards * RUN)))
-    rows = rows.withColumn("run", F.pmod(F.xxhash64("doc_id", "digest"), F.lit(runs)))
+    rows = rows.withColumn("run", F.pmod(F.xxhash64("row_id", F.lit(1)), F.lit(runs)))
     before = (
         rows.groupBy("shard", "run")
         .agg(F.count("*").alias("n"))
@@ -119,7 +140,7 @@ def shard(documents: DataFrame, shards: int = 40) -> DataFrame:
             ).alias("before"),
         )
     )
-    in_run = Window.partitionBy("shard", "run").orderBy("doc_id", "digest")
+    in_run = Window.partitionBy("shard", "run").orderBy("doc_id", "digest", "row_id")
     return (
         rows.withColumn("place", F.row_number().over(in_run) - 1)
         .join(before, ["shard", "run"])

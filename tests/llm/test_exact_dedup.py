@@ -41,6 +41,14 @@ def test_one_row_of_each_group_is_left_with_its_columns(documents, nasty, clashi
     assert exact_dedup.exact_duplicates(empty).count() == 0
 
 
+def test_null_and_empty_of_one_id_are_the_same_text(spark):
+    rows = [(1, None), (1, ""), (1, None), (2, "a"), (2, "A"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert exact_dedup.exact_duplicates(frame).where("kept").count() == 2
+    left = exact_dedup.drop_exact_duplicates(frame).collect()
+    assert sorted((row.doc_id, lowered(row.text)) for row in left) == [(1, ""), (2, "a")]
+
+
 def test_a_summary_misses_no_frequent_digest():
     counts = {bytes([n]): 1 for n in range(50)} | {b"often": 40}
     left, cut = exact_dedup.shrink(counts, 5)

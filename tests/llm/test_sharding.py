@@ -39,6 +39,50 @@ def test_a_group_of_a_third_of_all_rows_is_split(spark):
     assert len(sizes) == 40 and sizes.max() / sizes.mean() < 1.03
 
 
+def spread(found, of):
+    sums = np.zeros(max(r.shard for r in found) + 1)
+    for r in found:
+        sums[r.shard] += of(r)
+    return max(sums.max() / sums.mean() - 1, 1 - sums.min() / sums.mean())
+
+
+def test_a_third_of_rows_equal_in_every_column_is_spread(spark):
+    rows = [(None, None)] * 3000 + [(n, f"text {n} " * 8) for n in range(6000)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5), 40).collect()
+    assert spread(found, lambda r: r.size) < 0.03 and spread(found, lambda r: 1) < 0.15
+    for number in range(40):
+        slots = sorted(r.slot for r in found if r.shard == number)
+        assert slots == list(range(len(slots)))
+
+
+def test_bytes_tokens_and_rows_are_even(spark):
+    """Sources that differ in bytes per token and tokens per row."""
+    draw = np.random.default_rng(4)
+    rows = []
+    for n, size in enumerate(draw.integers(5, 120, 6000)):
+        rows.append((n, " ".join(["x" if n % 3 else f"longerword{n}"] * (int(size) if n % 2 else 3)) + str(n)))
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
+    for of in (lambda r: r.size, lambda r: r.tokens, lambda r: 1):
+        assert spread(found, of) < 0.02
+
+
+def test_only_groups_above_a_shard_are_split(spark):
+    """A pair of texts of 0.7 of a shard stays together, one of 1.4 does not."""
+    small = [(n, f"text {n} " * 5) for n in range(2000)]
+    bytes_ = sum(len(t) + 16 for _, t in small)
+    for part, together in ((0.7, True), (1.4, False)):
+        long = "y" * int(part / (8 - part) * bytes_ / 2)
+        rows = small + [(10_000, long), (10_001, long)]
+        found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
+        assert (len({r.shard for r in found if r.doc_id >= 10_000}) == 1) == together
+
+
+def test_groups_that_leave_no_room_are_split_too(spark):
+    rows = [(n, f"group {n % 12} " * 40) for n in range(12 * 30)]
+    found = sharding.shard(spark.createDataFrame(rows, "doc_id bigint, text string"), 8).collect()
+    assert spread(found, lambda r: r.size) < 0.25  # whole groups would give 1 or 2 a shard
+
+
 def test_the_rule_of_the_dot_product():
     items = np.array([[0.5, 0.1, 0.1], [0.1, 0.4, 0.2], [0.4, 0.5, 0.7]])
     assert sorted(np.bincount(sharding.pack(items, 2), minlength=2)) == [1, 2]
