@@ -44,7 +44,7 @@ from tallybook.llm.common import if_small, text_of, texts_as_bytes, written
 LONGEST = 4
 LEAST, COVER, POINTS, TOP = 30, 80, 2_000_000, 2000
 #: Bytes of text counted at a time.
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 4 << 20
 #: Most bits of the bitmap of frequent pairs (32 MiB), and bits of it for each pair.
 FILTER_BITS, BITS_EACH = 1 << 28, 16
 BUCKET_BITS = 1 << 15  # of one of Spark's bitmaps
