@@ -1,24 +1,32 @@
 """Toxicity by a weighted finite-state pattern grammar over clauses.
 
-A text is cut into clauses. The words of a clause are symbols: insult, threat, target,
-negation, report, other. Three transducers read them, each one step per word, and are
-composed, the output of one being the input of the next:
-
-* ``scope`` marks what stands within a few words of a negation as negated, and what
-  follows a verb of reporting within the clause as reported;
-* ``aim`` marks insults and threats with a target within a few words as aimed;
-* ``weigh`` adds the weight of each insult or threat in the tropical sense, scaled for
-  being negated, reported or aimed.
-
-The clause weight is the sum along the one path of the composition; a clause without an insult or
-threat weighs nothing, whatever else it holds. A document is described by its clauses:
-how many weigh how much of which kind. A logistic regression turns that into a score.
-
-Insults are a short list and what the labels teach: words, and stems of 4 to 6
-characters, that occur mostly in toxic documents. The rows to learn from are split by the
-caller's remainder: three quarters teach the lexicon, the rest the regression, so the
-regression sees the lexicon as it does on new texts. Both are fitted on at most SAMPLE
-labelled rows, chosen by a hash of the id. Labels, language, source and id are not inputs
+A text is cut into clauses, and the words of a clause are symbols: insult, threat verb, target,
+negation, report, intent, other. Sequential transducers read them; each has states and, in every
+state, one arc for each symbol of its input, with the next state and the symbols put out:
+
+* ``insults`` puts out a pile after each insult that follows another;
+* ``threats`` turns a threat verb within REACH words of an intent into a threat;
+* ``negations`` marks insults, verbs and threats within REACH words after a negation as negated;
+* ``reports`` marks those after a verb of reporting as reported, up to the end of the clause;
+* ``targets`` puts out an aim for each of them that has a target within REACH words, whichever
+  comes first, with the marks of what is aimed.
+
+They are composed, the output of one being the input of the next, into one machine, whose states
+are the reachable tuples of states. A weight is a vector with a place for each symbol that the
+composition can put out. An arc weighs one at the place of each symbol it puts out, times the
+lexical weight of the word where that is an insult or verb; weights along a path are added. The machine is
+sequential, so a clause has one path. A clause without an insult or verb is not read.
+
+The weights of a document's clauses are added up, and a logistic regression weighs each symbol:
+how much less a negated or reported insult counts, or how much more an aimed one, is learned.
+
+What the words mean is learned as well, beginning with short lists. Insults are words, and stems of 4 to 6
+characters, that occur mostly in toxic documents. Words that stand within REACH words before insults
+mostly in documents that are not toxic become negations; those further ahead in the clause, reports;
+words around insults mostly in toxic documents become targets. The rows to learn from are split by a hash of the id:
+three quarters teach the classes, the rest the regression, so the
+regression sees the classes as it does on new texts. Both are fitted on at most SAMPLE
+labelled rows, chosen by a hash of the id, which bounds what they can hold. Labels, language, source and id are not inputs
 of a score.
 
 A missing text is empty and scored like one. Rows without a label are scored and not
@@ -31,8 +39,9 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +51,13 @@ from tallybook.llm.common import identified, remainder, small, written
 
 #: Labelled rows learned from, at most.
 SAMPLE = 40_000
-#: Entries of the learned lexicon, at most.
-LEXICON = 4096
-#: Toxic texts an entry must occur in, and how many times likelier than in others.
+#: Texts a learned word must occur in, and how many times likelier than in others.
 LEAST_TEXTS = 6
 LEAST_RATIO = 8.0
 STEMS = (4, 5, 6)
 #: A stem is left to the word that makes up at least this share of its toxic texts.
 ONE_WORD = 0.8
-#: Words within which negation, reporting and targets reach.
+#: Words within which negations, intents and targets reach.
 REACH = 4
 
 INSULTS = {
@@ -66,24 +73,176 @@ TARGETS = {
 }
 NEGATIONS = {"not", "no", "never", "nor", "isn't", "aren't", "nicht", "kein", "nie", "ne", "pas", "jamais", "nunca"}
 REPORTS = {"said", "says", "called", "wrote", "claimed", "quoted", "sagte", "nannte", "dit", "appelé", "dijo", "llamó"}
+INTENTS = {"will", "gonna", "going", "i'll", "we'll", "shall", "werde", "werden", "vais", "allons", "voy", "vamos"}
 
 _CLAUSE = re.compile(r"[.!?;:\n]+")
 _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
-#: Scale of a weight for being negated, reported, aimed.
-NEGATED, REPORTED, AIMED = 0.3, 0.5, 1.3
-FEATURES = ("bias", "weight", "direct", "aimed", "threats", "softened", "share")
-#: Weights of the features before anything is learned.
-PRIOR = np.array([-3.0, 1.0, 2.0, 0.5, 1.0, 0.3, 1.0])
+# ---- transducers -----------------------------------------------------------------------
+
+#: Input symbols.
+SYMBOLS = ("other", "insult", "verb", "target", "negation", "report", "intent")
+#: Symbols with a lexical weight, once all marks are there: what it is, and how it is softened.
+HEAVY = ("insult", "verb", "threat")
+MARKS = ("", " negated", " reported")
+Arcs = dict[tuple[Hashable, str], tuple[Hashable, tuple[str, ...]]]
+
+
+@dataclass
+class Transducer:
+    """A sequential transducer; an arc leads from a state and a symbol to a state and symbols."""
+
+    start: Hashable
+    arcs: Arcs
+
+    @classmethod
+    def of(cls, start: Hashable, symbols: Iterable[str], step: Callable) -> Transducer:
+        """All states that ``step``, from a state and a symbol, reaches."""
+        arcs: Arcs = {}
+        states, waiting = {start}, [start]
+        symbols = list(symbols)
+        while waiting:
+            state = waiting.pop()
+            for symbol in symbols:
+                arc = arcs[state, symbol] = step(state, symbol)
+                if arc[0] not in states:
+                    states.add(arc[0])
+                    waiting.append(arc[0])
+        return cls(start, arcs)
+
+    def outputs(self) -> set[str]:
+        return {symbol for _, put in self.arcs.values() for symbol in put}
+
+    def then(self, other: Transducer) -> Transducer:
+        """The composition: ``other`` reads what this one puts out."""
+
+        def step(state, symbol):
+            one, two = state
+            one, put = self.arcs[one, symbol]
+            out: tuple[str, ...] = ()
+            for between in put:
+                two, more = other.arcs[two, between]
+                out += more
+            return (one, two), out
+
+        return Transducer.of((self.start, other.start), {symbol for _, symbol in self.arcs}, step)
+
+
+def insults() -> Transducer:
+    def step(seen, symbol):
+        if symbol != "insult":
+            return seen, (symbol,)
+        return True, ("insult", "pile") if seen else ("insult",)
+
+    return Transducer.of(False, SYMBOLS, step)
+
+
+def threats(symbols: set[str]) -> Transducer:
+    def step(left, symbol):
+        if symbol == "pile":  # stands beside a word
+            return left, (symbol,)
+        if symbol == "intent":
+            return REACH, ("other",)
+        return max(0, left - 1), ("threat" if symbol == "verb" and left else symbol,)
+
+    return Transducer.of(0, symbols, step)
+
+
+def negations(symbols: set[str]) -> Transducer:
+    def step(left, symbol):
+        if symbol == "pile":
+            return left, (symbol,)
+        if symbol == "negation":
+            return REACH, ("other",)
+        return max(0, left - 1), (symbol + MARKS[1] if symbol in HEAVY and left else symbol,)
+
+    return Transducer.of(0, symbols, step)
+
+
+def reports(symbols: set[str]) -> Transducer:
+    def step(reported, symbol):
+        if symbol == "report":
+            return True, ("other",)
+        heavy = symbol.split()[0]
+        return reported, (heavy + MARKS[2] if heavy in HEAVY and reported else symbol,)
+
+    return Transducer.of(False, symbols, step)
+
+
+def targets(symbols: set[str]) -> Transducer:
+    """A state: words since a target, what waits for one, and for how many words."""
+
+    def step(state, symbol):
+        since, waiting, age = state
+        if symbol == "pile":
+            return state, (symbol,)
+        since = 0 if symbol == "target" else min(since + 1, REACH + 1)
+        age += 1
+        if waiting is None or age > REACH:
+            waiting, age = None, 0
+        if symbol == "target":
+            return (since, None, 0), () if waiting is None else (f"aim at {waiting}",)
+        if symbol.split()[0] in HEAVY:
+            if since <= REACH:
+                return (since, None, 0), (symbol, f"aim at {symbol}")
+            return (since, symbol, 0), (symbol,)
+        return (since, waiting, age), ()
+
+    return Transducer.of((REACH + 1, None, 0), symbols, step)
+
+
+@cache
+def machine() -> tuple[list[int], list[tuple[int, ...]], list[str]]:
+    """The composition as tables: by state and symbol the next state and what is put out; what can be put out.
+
+    States are numbered, a state's row begins at its number times the number of symbols.
+    """
+    whole = insults()
+    for following in (threats, negations, reports, targets):
+        whole = whole.then(following(whole.outputs()))
+    kinds = [heavy + mark for heavy in HEAVY for mark in MARKS]
+    put = ["pile", *kinds, *(f"aim at {kind}" for kind in kinds)]
+    numbers = {whole.start: 0}
+    for state, _ in whole.arcs:
+        numbers.setdefault(state, len(numbers))
+    follow, out = [0] * (len(numbers) * len(SYMBOLS)), [()] * (len(numbers) * len(SYMBOLS))
+    for (state, symbol), (after, found) in whole.arcs.items():
+        place = numbers[state] * len(SYMBOLS) + SYMBOLS.index(symbol)
+        follow[place] = numbers[after] * len(SYMBOLS)
+        out[place] = tuple(put.index(name) for name in found)
+    return follow, out, put
+
+
+# ---- grammar ---------------------------------------------------------------------------
+
+PUT = ["pile"] + [
+    before + heavy + mark for before in ("", "aim at ") for heavy in HEAVY for mark in MARKS
+]
+FEATURES = ("bias", "share", *PUT)
+#: Weights of the features before anything is learned: plain ones, negated and reported ones.
+_FIRST = {"bias": -3.0, "share": 1.0, "pile": 0.5, "insult": 2.5, "verb": 0.5, "threat": 2.5}
+PRIOR = np.array(
+    [_FIRST.get(name, 0.5 if name.startswith("aim at ") and name.split()[-1] in HEAVY else 0.2) for name in FEATURES]
+)
 
 
 @dataclass
 class Grammar:
-    """Lexicon and feature weights; ``lexicon`` holds words, ``stems`` beginnings of words."""
+    """Symbols of words, lexical weights, and the weights of the features.
+
+    ``lexicon`` holds words, ``stems`` beginnings of words; ``classes`` all symbols but insults and verbs.
+    """
 
     lexicon: dict[str, float] = field(default_factory=lambda: {word: 2.0 for word in INSULTS})
     stems: dict[str, float] = field(default_factory=dict)
     threats: dict[str, float] = field(default_factory=lambda: {word: 0.5 for word in THREATS})
+    classes: dict[str, str] = field(
+        default_factory=lambda: {
+            word: symbol
+            for symbol, words in (("target", TARGETS), ("negation", NEGATIONS), ("report", REPORTS), ("intent", INTENTS))
+            for word in words
+        }
+    )
     weights: np.ndarray = field(default_factory=PRIOR.copy)
 
     def insult(self, word: str) -> float:
@@ -95,54 +254,21 @@ class Grammar:
         return 0.0
 
     def heavy_words(self, words: set[str]) -> dict[str, tuple[str, float]]:
-        """The insults and threats among a document's different words."""
+        """The insults and threat verbs among a document's different words."""
         found = {word: ("insult", weight) for word in words if (weight := self.insult(word))}
-        found |= {w: ("threat", self.threats[w]) for w in words & self.threats.keys() if w not in found}
+        found |= {w: ("verb", self.threats[w]) for w in words & self.threats.keys() if w not in found}
         return found
 
 
-def scope(symbols: Iterator[tuple[str, float]]) -> Iterator[tuple[str, float, bool, bool]]:
-    """Symbols with whether they stand negated and reported."""
-    negated = reported = 0
-    for kind, weight in symbols:
-        yield kind, weight, negated > 0, reported > 0
-        negated = REACH if kind == "negation" else max(0, negated - 1)
-        reported = 2 * REACH if kind == "report" else max(0, reported - 1)
-
-
-def aim(symbols: Iterator[tuple[str, float, bool, bool]]) -> Iterator[tuple]:
-    """Symbols with whether a target stands within reach before or after them."""
-    waiting: list[list] = []
-    since = REACH + 1
-    for symbol in symbols:
-        kind = symbol[0]
-        since = 0 if kind == "target" else since + 1
-        waiting.append([symbol, since <= REACH, 0])
-        for entry in waiting:
-            entry[1] = entry[1] or kind == "target"
-            entry[2] += 1
-        while waiting and waiting[0][2] > REACH:
-            symbol, aimed, _ = waiting.pop(0)
-            yield (*symbol, aimed)
-    for symbol, aimed, _ in waiting:
-        yield (*symbol, aimed)
-
-
-def weigh(symbols: Iterator[tuple]) -> np.ndarray:
-    """Weight, direct and aimed insults, threats and softened ones of one clause."""
-    total = np.zeros(5)
-    for kind, weight, negated, reported, aimed in symbols:
-        if kind in ("insult", "threat"):
-            scale = (NEGATED if negated else 1) * (REPORTED if reported else 1) * (AIMED if aimed else 1)
-            softened = negated or reported
-            total += (
-                weight * scale,
-                kind == "insult" and not softened,
-                aimed and not softened,
-                kind == "threat" and not softened,
-                softened,
-            )
-    return total
+def read(symbols: list[tuple[str, float]], total: np.ndarray) -> None:
+    """Add the weight of a clause's path through the machine to ``total``."""
+    follow, out, _ = machine()
+    state = 0
+    for symbol, weight in symbols:
+        place = state + SYMBOLS.index(symbol)
+        for number in out[place]:
+            total[number] += weight if 0 < number <= len(HEAVY) * len(MARKS) else 1.0
+        state = follow[place]
 
 
 def features(text: str, grammar: Grammar) -> np.ndarray:
@@ -150,17 +276,20 @@ def features(text: str, grammar: Grammar) -> np.ndarray:
     lowered = text.lower()
     words = _WORD.findall(lowered)
     heavy = grammar.heavy_words(set(words))
+    total = np.zeros(len(PUT))
     if not heavy:
-        return np.array([1.0] + [0.0] * (len(FEATURES) - 1))
-    kinds = dict.fromkeys(TARGETS, ("target", 0.0)) | dict.fromkeys(NEGATIONS, ("negation", 0.0))
-    kinds |= dict.fromkeys(REPORTS, ("report", 0.0)) | heavy
-    total = np.zeros(5)
+        return np.array([1.0, 0.0, *total])
+    matched = 0
     for clause in _CLAUSE.split(lowered):
         found = _WORD.findall(clause)
         if not heavy.keys().isdisjoint(found):
-            total += weigh(aim(scope(kinds.get(word, ("other", 0.0)) for word in found)))
-    share = (total[1] + total[3] + 0.3 * total[4]) / len(words)
-    return np.array([1.0, *np.log1p(total), min(1.0, 10 * share)])
+            read([heavy.get(word) or (grammar.classes.get(word, "other"), 0.0) for word in found], total)
+            matched += sum(word in heavy for word in found)
+    return np.array([1.0, min(1.0, 10 * matched / len(words)), *np.log1p(total)])
+
+
+def logit(text: str, grammar: Grammar) -> float:
+    return float(features(text, grammar) @ grammar.weights)
 
 
 def sigmoid(values: np.ndarray) -> np.ndarray:
@@ -211,6 +340,65 @@ def _counted(counts: dict[str, list[int]]) -> pa.RecordBatch:
     )
 
 
+def _contexts(grammar: Grammar):
+    """Words before, far before and after insults and verbs, once per text, with its label; the
+    empty word stands for the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, list[int]] = {}
+        for batch in batches:
+            for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                lowered = text.lower()
+                heavy = grammar.heavy_words(set(_WORD.findall(lowered)))
+                met = {"text "} if heavy else set()
+                for clause in _CLAUSE.split(lowered) if heavy else ():
+                    found = _WORD.findall(clause)
+                    for place in (n for n, word in enumerate(found) if word in heavy):
+                        near = max(0, place - REACH)
+                        met.update(f"near {word}" for word in found[near:place] if word not in heavy)
+                        met.update(f"far {word}" for word in found[:near] if word not in heavy)
+                        met.update(f"after {word}" for word in found[place + 1 : place + 1 + REACH] if word not in heavy)
+                for term in met:
+                    counts.setdefault(term, [0, 0])[toxic] += 1
+            if len(counts) > 500_000:
+                yield _counted(counts)
+                counts = {}
+        yield _counted(counts)
+
+    return run
+
+
+def learned_classes(teaching: DataFrame, grammar: Grammar) -> dict[str, str]:
+    """Symbols of words that soften or aim, from text and toxic."""
+    found = written(
+        teaching.select("text", "toxic")
+        .mapInArrow(_contexts(grammar), "term string, toxic bigint, other bigint")
+        .groupBy("term")
+        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")),
+        "contexts",
+    )
+    whole = found.where("term = 'text '").first()
+    if whole is None or not whole["toxic"] or not whole["other"]:
+        return {}
+    ratio = (F.col("toxic") + 0.5) / (whole["toxic"] + 1) / ((F.col("other") + 0.5) / (whole["other"] + 1))
+    told = found.withColumn("ratio", ratio).where(
+        ((F.col("other") >= LEAST_TEXTS) & (F.col("ratio") <= 1 / LEAST_RATIO))
+        | ((F.col("toxic") >= LEAST_TEXTS) & (F.col("ratio") >= LEAST_RATIO))
+    )
+    symbols: dict[str, str] = {}
+    # What also softens from far ahead reports; what softens from nearby alone negates.
+    for row in sorted(told.collect(), key=lambda row: row["term"].startswith("far "), reverse=True):
+        place, word = row["term"].split(" ", 1)
+        if row["ratio"] > 1:
+            symbol = "target"
+        elif place == "after":
+            continue
+        else:
+            symbol = "report" if place == "far" else "negation"
+        symbols.setdefault(word, symbol)
+    return symbols
+
+
 def labelled(documents: DataFrame, labels: DataFrame, rest: int, divisor: int) -> DataFrame:
     """At most SAMPLE labelled documents to learn from: doc_id, text, toxic; each text once."""
     chosen = (
@@ -249,8 +437,6 @@ def learn(documents: DataFrame, labels: DataFrame, rest: int = 0, divisor: int =
             .where(F.col("toxic") >= LEAST_TEXTS)
             .withColumn("ratio", ratio)
             .where(F.col("ratio") >= LEAST_RATIO)
-            .orderBy(F.desc(F.col("toxic") * F.log("ratio")), "term")
-            .limit(LEXICON)
             .collect()
         )
         most = {}
@@ -265,6 +451,8 @@ def learn(documents: DataFrame, labels: DataFrame, rest: int = 0, divisor: int =
                 grammar.lexicon[term[:-1]] = weight
             elif most.get(term, 0) < ONE_WORD * row["toxic"]:
                 grammar.stems[term] = weight
+        # A word of the lists keeps its symbol.
+        grammar.classes = learned_classes(teaching, grammar) | grammar.classes
     described = rows.where("quarter = 0").select("text", "toxic").mapInArrow(
         _describe(grammar), "features array<double>, toxic bigint"
     )

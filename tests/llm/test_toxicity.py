@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from tallybook.llm import toxicity
@@ -56,14 +57,100 @@ def test_clauses_not_words():
     grammar = toxicity.Grammar()
 
     def weight(text):
-        return toxicity.features(text, grammar)[1]
+        return toxicity.logit(text, grammar)
 
-    plain = weight("that idiot came")
-    assert weight("you idiot came") > plain
+    plain, nothing = weight("that idiot came"), weight("")
+    assert weight("you idiot came") > plain and weight("that idiot and you came") > plain
     assert weight("he is not an idiot") < weight("he is an idiot")
     assert weight("she said idiot") < weight("she thinks idiot")
     assert weight("never again. that idiot came") == plain  # negation ends with its clause
-    assert weight("I will hurt you") > 0 and weight("you said no") == 0
+    assert weight("I will hurt you") > weight("it may hurt you") > nothing == weight("you said no")
+
+
+def test_the_composition_reads_as_its_parts_in_turn():
+    """What the tables of the composed machine put out, against the transducers run one after another."""
+    draw = random.Random(7)
+    _, _, put = toxicity.machine()
+    assert put == toxicity.PUT
+    chain = [toxicity.insults()]
+    for following in (toxicity.threats, toxicity.negations, toxicity.reports, toxicity.targets):
+        chain.append(following(chain[-1].outputs()))
+    for _ in range(300):
+        clause = [draw.choice(toxicity.SYMBOLS) for _ in range(draw.randint(0, 25))]
+        found = list(clause)
+        for transducer in chain:
+            state, read = transducer.start, []
+            for symbol in found:
+                state, out = transducer.arcs[state, symbol]
+                read += out
+            found = read
+        total = np.zeros(len(put))
+        toxicity.read([(symbol, 2.0) for symbol in clause], total)
+        weights = [found.count(name) * (2.0 if 0 < n <= 9 else 1.0) for n, name in enumerate(put)]
+        assert total.tolist() == weights and set(found) <= set(put)
+
+
+def test_aims_are_found_on_both_sides_within_reach():
+    def aims(*symbols):
+        total = np.zeros(len(toxicity.PUT))
+        toxicity.read([(symbol, 1.0) for symbol in symbols], total)
+        return {name: n for name, n in zip(toxicity.PUT, total) if n}
+
+    far = ["other"] * toxicity.REACH
+    assert aims("target", *far[1:], "insult") == {"insult": 1, "aim at insult": 1}
+    assert aims("insult", *far[1:], "target") == {"insult": 1, "aim at insult": 1}
+    assert aims("target", *far, "insult") == aims("insult", *far, "target") == {"insult": 1}
+    assert aims("negation", "insult", "target", "insult") == {
+        "insult negated": 2, "aim at insult negated": 2, "pile": 1
+    }
+    assert aims("report", *far, *far, "intent", "verb") == {"threat reported": 1}
+
+
+def planted(seed, count):
+    """Insults in all texts, as often in either half; only how they stand in their clause differs."""
+    draw = random.Random(seed)
+    rows = []
+    for number in range(count):
+        toxic = number % 2
+        insult = draw.choice(["idiot", "moron", "fool", "clown"])
+        if toxic:
+            clause = draw.choice(["you are an absolute {}", "what a {} you are", "these people are {} types", "i think the {} knows"])
+        else:
+            clause = draw.choice(
+                ["you are not an absolute {}", "she said you are a {}", "hardly any {} came", "allegedly the man on the old bridge over there was a {}"]
+            )
+        text = [words(draw, draw.randint(5, 30)), clause.format(insult), words(draw, draw.randint(5, 30))]
+        rows.append((number, ". ".join(text), toxic))
+    return rows
+
+
+def area(pairs):
+    """Probability that a toxic text scores higher than another one."""
+    ones, zeros = [s for s, t in pairs if t], [s for s, t in pairs if not t]
+    return sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / (len(ones) * len(zeros))
+
+
+def test_planted_clauses_that_a_word_count_cannot_tell_apart(spark):
+    """Hardly and allegedly are in no list: they are learned to negate and to report."""
+    rows = planted(3, 2000)
+    documents = spark.createDataFrame([row[:2] for row in rows], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(row[0], row[2]) for row in rows], "doc_id bigint, toxic int")
+    grammar = toxicity.learn(documents, labels)
+    assert grammar.classes["hardly"] == "negation" and grammar.classes["allegedly"] == "report"
+    found = [(r.score, rows[r.doc_id][2]) for r in toxicity.toxicity(documents, labels).collect() if r.held_out]
+    counted = [(sum(text.count(w) for w in toxicity.INSULTS), toxic) for _, text, toxic in rows]
+    assert area(found) > 0.97 and 0.4 < area(counted) < 0.6
+    assert sum((score >= 0.5) == toxic for score, toxic in found) > 0.95 * len(found)
+
+
+def test_clashing_repeated_and_long_rows(spark, clashing):
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, None)], "doc_id bigint, toxic int")
+    assert toxicity.toxicity(clashing, labels).count() == 6
+    long = "a fine day. " * 20_000
+    rows = [(1, long), (1, long), (1, long + "you idiot"), (2, long), (2, "you idiot")]
+    found = toxicity.toxicity(spark.createDataFrame(rows, "doc_id bigint, text string"), labels.limit(0)).collect()
+    assert len(found) == 5 and [r.predicted for r in found if r.doc_id == 2].count(1) == 1
+    assert len({r.score for r in found if r.doc_id == 1}) == 2
 
 
 def test_rejected_rows_go_with_all_columns_kept(clashing, spark):
