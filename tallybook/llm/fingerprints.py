@@ -2,15 +2,16 @@
 
 A text is a set of shingles of five words (with fewer words, the whole sequence is one).
 Its fingerprint holds the 64-bit hash of every shingle that lies below a fixed fraction of
-all hashes, ascending; where none does, the smallest one. It is an unbiased sample of the set
+all hashes, ascending, and nothing else. It is an unbiased sample of the set
 whatever its size, so the containment of one document in another can be estimated between
-a note and a book. Fingerprints merge: of the hashes of both keep those below the
-fraction, or if there are none the smallest, and the result is the fingerprint of the union.
-A short text may have few hashes below the fraction or none, and then tells little of what
-contains it. So where either fingerprint has fewer than FEW hashes, the likeness is counted
-on all shingles of both texts; elsewhere it is estimated from the fingerprints.
+a note and a book. Fingerprints merge: the hashes of both are the fingerprint of the union.
 
-A missing text is empty. A text without words has an empty fingerprint, likened 1 to another
+Likeness is the larger containment of either in the other, from the two fingerprints alone. With m
+hashes in the smaller, its standard error is at most 1 / (2 sqrt(m)); ``interval`` gives the
+bounds in which the containment lies with a probability of 95 % (Wilson's). A text of n shingles has no
+hash below the fraction with a probability of (1 - 1 / SCALE)^n; its bounds are 0 and 1.
+
+A missing text is empty. An empty fingerprint, which texts without words have, is likened 1 to another
 empty one and 0 to any other. Equal texts have equal fingerprints. Rows that repeat both
 doc_id and text are one document more than once and get equal results; ids that repeat with
 other texts are ordered by a hash of the text, missing ids come last. An empty table gives
@@ -27,9 +28,9 @@ from tallybook.llm.common import NO_ID, SPACE, id_key, identified, written
 
 WORDS = 5
 #: One shingle in this many is retained.
-SCALE = 4
-#: With fewer retained hashes than this, likeness is counted on all of them.
-FEW = 64
+SCALE = 2
+#: Standard errors on either side of an estimate within its bounds.
+ERRORS = 1.96
 #: Signed 64-bit hashes below this are retained.
 THRESHOLD = -(2**63) + 2**64 // SCALE
 
@@ -55,28 +56,17 @@ def shingles(text: Column) -> Column:
 
 def retained(hashes: Column) -> Column:
     """Of different hashes those a sketch keeps, ascending."""
-    return once(
-        F.filter(hashes, lambda h: h < F.lit(THRESHOLD)),
-        lambda below: F.when(
-            (F.size(below) == 0) & (F.size(hashes) > 0), F.array(F.array_min(hashes))
-        ).otherwise(F.array_sort(below)),
-    )
+    return F.array_sort(F.filter(hashes, lambda h: h < F.lit(THRESHOLD)))
 
 
 def sketch(text: Column) -> Column:
     """The retained hashes of a text, ascending, as an array."""
-    return once(shingles(text), retained)
+    return retained(shingles(text))
 
 
 def merged(one: Column, other: Column) -> Column:
     """The sketch of the union of two documents."""
-    return once(
-        F.array_sort(F.array_union(one, other)),
-        lambda both: once(
-            F.filter(both, lambda h: h < F.lit(THRESHOLD)),
-            lambda below: F.when(F.size(below) > 0, below).otherwise(F.slice(both, 1, 1)),
-        ),
-    )
+    return F.array_sort(F.array_union(one, other))
 
 
 def containment(shared: Column, one: Column, other: Column) -> Column:
@@ -94,13 +84,20 @@ def likeness(one: Column, other: Column) -> Column:
     )
 
 
-def near(one: str, other: str) -> Column:
-    """Likeness of two texts by their columns of all hashes and ``_sketch``."""
-    sketches = F.col(f"{one}_sketch"), F.col(f"{other}_sketch")
-    return F.when(
-        F.least(*(F.size(own) for own in sketches)) < FEW,
-        likeness(F.col(f"{one}_all"), F.col(f"{other}_all")),
-    ).otherwise(likeness(*sketches))
+def interval(estimate: Column, one: Column, other: Column) -> Column:
+    """Bounds, as low and high, of a containment estimated from two sketches."""
+    hashes = F.least(F.size(one), F.size(other)).cast("double")
+
+    def bounds(weight: Column) -> Column:
+        # weight: the square of ERRORS for each hash
+        centre = (estimate + weight / 2) / (1 + weight)
+        half = F.sqrt(weight * (estimate * (1 - estimate) + weight / 4)) / (1 + weight)
+        return F.struct(
+            F.greatest(centre - half, F.lit(0.0)).alias("low"), F.least(centre + half, F.lit(1.0)).alias("high")
+        )
+
+    unknown = F.struct(F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
+    return F.when(hashes == 0, unknown).otherwise(once(F.lit(ERRORS**2) / F.nullif(hashes, F.lit(0.0)), bounds))
 
 
 def as_text(hashes: Column) -> Column:
@@ -136,7 +133,7 @@ def neighbours(keys: DataFrame) -> DataFrame:
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
-    """doc_id, n_chars, sketches of the text and of its edited text, likenesses.
+    """doc_id, n_chars, sketches of the text and of its edited text, likenesses and their bounds.
 
     The edited text has the last floor(n_chars / 2) characters replaced by the first as many,
     or all, of the next document's.
@@ -172,16 +169,19 @@ def fingerprints(documents: DataFrame) -> DataFrame:
             F.nullif("id_key", F.lit(NO_ID)).alias("doc_id"),
             n_chars.cast("bigint").alias("n_chars"),
             F.sha2("edited", 256).alias("edited_sha256"),
-            *(shingles(text).alias(f"{name}_all") for name, text in texts.items()),
+            *(sketch(text).alias(f"{name}_sketch") for name, text in texts.items()),
         )
-        .withColumns({f"{name}_sketch": retained(F.col(f"{name}_all")) for name in texts})
+        .withColumn("near_edited", likeness(F.col("own_sketch"), F.col("edited_sketch")))
+        .withColumn("near_next", likeness(F.col("own_sketch"), F.col("next_sketch")))
         .select(
             "doc_id",
             "n_chars",
             "edited_sha256",
             F.col("own_sketch").alias("sketch"),
             "edited_sketch",
-            near("own", "edited").alias("near_edited"),
-            near("own", "next").alias("near_next"),
+            "near_edited",
+            "near_next",
+            interval(F.col("near_edited"), F.col("own_sketch"), F.col("edited_sketch")).alias("edited_bounds"),
+            interval(F.col("near_next"), F.col("own_sketch"), F.col("next_sketch")).alias("next_bounds"),
         )
     )

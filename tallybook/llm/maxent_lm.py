@@ -13,7 +13,8 @@ is one word for the frequent words of a class; a leaf of several words shares it
 probability out by their counts.
 
 1. Words are counted over all training texts. The FREQUENT commonest are known to every
-   task; all others form one rare leaf, whose counts are met by a join.
+   task; all others form one rare leaf, whose counts are met by a join. The texts' tokens are written
+   once as numbers, with the hashes of rare ones and a number for each row; all further steps read these.
 2. Words get classes by clustering what stands next to them, counted over all training texts.
 3. The counts of (history bucket, outcome) over all training texts are all that the
    gradient of the log-likelihood needs. They are written in blocks of a bounded size.
@@ -22,8 +23,8 @@ probability out by their counts.
    fixed size too.
 4. Counts of (hashed history, outcome) are dealt by bucket, a part of the buckets to a task, which
    makes HASHED_UPDATES gradient updates of its buckets' weights, with the model of fixed size as
-   the start and the prior. Of a bucket, distinct cells are merged first in several tasks where its
-   word is common. The weights of all parts are written as a table.
+   the start and the prior, SLICE histories at a time. Of a bucket, distinct cells are merged first in several
+   tasks where its word has more tokens than a part. The weights of all parts are written as a table.
 5. Texts are scored in numpy batches: their tokens are dealt to the parts that hold their weights
    and summed there by text. Tokens after a common word go to several tasks, each with a
    copy of that bucket's weights.
@@ -51,7 +52,7 @@ import pyarrow as pa
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from tallybook.llm.common import identified, remainder, texts_as_bytes, written
+from tallybook.llm.common import identified, in_batches, remainder, texts_as_bytes, written
 
 #: Words every task knows; of these, those that get a class by what stands next to them.
 FREQUENT, CLASSED = 131_072, 4096
@@ -68,10 +69,12 @@ PRIOR, PULL = 2.0, 2.0
 #: that within each.
 PER_BUCKET, LEAST_BUCKETS, FAR = 2048, 2048, 64
 HASHED_UPDATES = 4
-#: Tokens whose buckets form a part; common words, which may have several tasks.
-PART_TOKENS, HOT = 500_000, 256
-#: Tokens a task deals out at a time.
-DEALT = 1_000_000
+#: Tokens whose buckets form a part; a word with more has several parts.
+PART_TOKENS = 250_000
+#: Histories that are worked on at a time.
+SLICE = 16_384
+#: Tokens a task deals out at a time, and most heaps it deals them to; parts beyond that are dealt in two steps.
+DEALT, HEAPS = 1_000_000, 1024
 #: Tokens of one numpy batch.
 CHUNK = 250_000
 END = b""
@@ -156,17 +159,81 @@ def count_words(training: DataFrame) -> tuple[DataFrame, Words]:
 # ---- classes ---------------------------------------------------------------------------
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], words: Words, column: int = 0) -> Iterator[np.ndarray]:
-    """Numbers of the tokens of many texts at once; each text ends with the end."""
+TOKENS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("training", pa.bool_()),
+        ("n_tokens", pa.int64()),
+        ("known", pa.int64()),
+        ("base", pa.float64()),
+        ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
+        ("numbers", pa.binary()),
+        ("hashes", pa.binary()),
+    ]
+)
+TOKENS_SQL = (
+    "doc_id bigint, training boolean, n_tokens bigint, known bigint, base double, "
+    "rare array<struct<word: binary, n: bigint>>, numbers binary, hashes binary"
+)
+
+
+def _numbered(words: Broadcast):
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        known: Words = words.value
+        base = np.log10(np.append(known.counts, 0) + 1.0) - math.log10(known.total + known.distinct + 1)
+        base[known.rare] = 0.0
+        rows = []
+        for text in texts_as_bytes(batch.column("text")):
+            found = tokens(text)
+            numbers = known.numbered(found)
+            rare = [found[place] for place in np.flatnonzero(numbers == known.rare).tolist()]
+            rows.append(
+                (
+                    len(found), len(found) - len(rare), float(base[numbers].sum()),
+                    [{"word": word, "n": n} for word, n in Counter(rare).items()],
+                    numbers.tobytes(), np.array([zlib.crc32(word) for word in rare], np.uint32).tobytes(),
+                )
+            )
+        columns = list(zip(*rows)) or [()] * 6
+        return pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), batch.column("training")]
+            + [pa.array(values, field.type) for values, field in zip(columns, list(TOKENS)[2:])],
+            schema=TOKENS,
+        )
+
+    return run
+
+
+def numbered(rows: DataFrame, words: Broadcast) -> DataFrame:
+    """A written row per row of doc_id, training, text: its tokens' numbers and what single words tell.
+
+    ``row_id`` is given here, once, whatever the rows come from.
+    """
+    found = rows.select("doc_id", "training", "text").mapInArrow(in_batches(_numbered(words)), TOKENS_SQL)
+    return written(found.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
+    """Rows of about CHUNK tokens at a time, ``numbers`` and ``hashes`` as arrays."""
+    held, size = [], 0
     for batch in batches:
-        found: list[bytes] = []
-        for text in texts_as_bytes(batch.column(column)):
-            found.extend(tokens(text))
-            if len(found) > CHUNK:
-                yield words.numbered(found)
-                found = []
-        if found:
-            yield words.numbered(found)
+        for row in batch.to_pylist():
+            row["numbers"] = np.frombuffer(row["numbers"], np.int32)
+            if "hashes" in row:
+                row["hashes"] = np.frombuffer(row["hashes"], np.uint32)
+            held.append(row)
+            size += len(row["numbers"])
+            if size > CHUNK:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Numbers of the tokens of many texts at once; each text ends with the end."""
+    for rows in _texts(batches):
+        yield np.concatenate([row["numbers"] for row in rows])
 
 
 def _before(numbers: np.ndarray, end: int, steps: int, of: np.ndarray | None = None) -> np.ndarray:
@@ -195,17 +262,18 @@ def _add(sums: np.ndarray, cells: np.ndarray) -> None:
     sums[found] += counts
 
 
-def _neighbours(words: Broadcast):
+def _neighbours(rows: int):
+    """Counts of what stands before and after each of the commonest words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: Words = words.value
-        sums = {"near": np.zeros(CLASSED * NEIGHBOURS * 2, np.int64)}
-        for numbers in _chunks(batches, known):
+        sums = {"near": np.zeros(rows * NEIGHBOURS * 2, np.int64)}
+        for numbers in _chunks(batches):
             before = np.minimum(_before(numbers, 0, 1), NEIGHBOURS - 1)
             after = np.minimum(np.append(numbers[1:], 0), NEIGHBOURS - 1)
-            rows = numbers < CLASSED
-            base = numbers[rows].astype(np.int64) * (2 * NEIGHBOURS)
-            _add(sums["near"], base + before[rows])
-            _add(sums["near"], base + NEIGHBOURS + after[rows])
+            own = numbers < rows
+            base = numbers[own].astype(np.int64) * (2 * NEIGHBOURS)
+            _add(sums["near"], base + before[own])
+            _add(sums["near"], base + NEIGHBOURS + after[own])
         yield from _sparse(sums)
 
     return run
@@ -276,14 +344,14 @@ class Tables:
 # ---- training --------------------------------------------------------------------------
 
 
-def _histories(words: Broadcast, tables: Broadcast):
+def _histories(tables: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, t = words.value, tables.value
+        t: Tables = tables.value
         sums = {
             "class": np.zeros(NEAR * SKIP * CLASSES, np.int64),
             "leaf": np.zeros(CLASSES * INNER * LEAVES, np.int64),
         }
-        for numbers in _chunks(batches, known):
+        for numbers in _chunks(batches):
             one, two = _before(numbers, 0, 1), _before(numbers, 0, 2)
             outcome = t.classes[numbers].astype(np.int64)
             _add(sums["class"], (t.near[one] * SKIP + t.skip[two]) * CLASSES + outcome)
@@ -467,13 +535,23 @@ class Model:
         return value / math.log(10) + t.inside[numbers]
 
 
+def as_training(texts: DataFrame) -> DataFrame:
+    """``text`` alone, as rows to learn from."""
+    return texts.select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(True).alias("training"), "text")
+
+
 def train(training: DataFrame) -> tuple[DataFrame, Model]:
     """The table of word counts and the model, from ``text`` of all training rows."""
-    context = training.sparkSession.sparkContext
     table, words = count_words(training)
-    shared = context.broadcast(words)
+    shared = training.sparkSession.sparkContext.broadcast(words)
+    return table, learn(numbered(as_training(training), shared), words)
+
+
+def learn(training: DataFrame, words: Words) -> Model:
+    """The model from ``numbers`` of all training rows."""
+    context = training.sparkSession.sparkContext
     cells = (
-        training.select("text").mapInArrow(_neighbours(shared), CELLS)
+        training.select("numbers").mapInArrow(_neighbours(CLASSED), CELLS)
         .groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     )
     near = np.zeros(CLASSED * NEIGHBOURS * 2)
@@ -482,7 +560,7 @@ def train(training: DataFrame) -> tuple[DataFrame, Model]:
     chosen = cluster(near.reshape(CLASSED, -1)[:classed], CLASSES - 1) if classed else np.zeros(0, int)
     tables = Tables.of(words, chosen)
     placed = context.broadcast(tables)
-    histories = training.select("text").mapInArrow(_histories(shared, placed), CELLS)
+    histories = training.select("numbers").mapInArrow(_histories(placed), CELLS)
     size = F.when(F.col("kind") == "class", F.lit(_SIZES["class"])).otherwise(F.lit(_SIZES["leaf"]))
     blocks = written(
         histories.groupBy("kind", "cell")
@@ -492,7 +570,6 @@ def train(training: DataFrame) -> tuple[DataFrame, Model]:
         .applyInArrow(_block, "kind string, block bigint, counts binary"),
         "blocks",
     )
-    shared.destroy()
     placed.destroy()
 
     def sums(weights: Weights) -> list:
@@ -508,7 +585,7 @@ def train(training: DataFrame) -> tuple[DataFrame, Model]:
     weights = weights.short()
     class_sums = np.concatenate([softmax(class_logits(weights, b)[0])[1] for b in range(NEAR // BLOCK)])
     leaf_sums = softmax(weights.leaf_bias[:, None] + weights.leaf_near)[1]
-    return table, Model(words, tables, weights, class_sums, leaf_sums)
+    return Model(words, tables, weights, class_sums, leaf_sums)
 
 
 # ---- hashed n-grams --------------------------------------------------------------------
@@ -524,33 +601,47 @@ class Layout:
     hot: np.ndarray  # buckets of common words, ascending
     first: np.ndarray  # first part of each
     tasks: np.ndarray  # how many parts it has
+    heaps: int  # most rows that a batch is dealt into
 
     @classmethod
     def of(cls, words: Words) -> Layout:
         buckets = max(LEAST_BUCKETS, words.total // PER_BUCKET)
         parts = -(-words.total // PART_TOKENS)
         hashes = np.array([zlib.crc32(word) for word in words.numbers] + [0], np.int64)
-        hot, at = np.unique(hashes[:-1][:HOT] % buckets, return_inverse=True)
-        tasks = -(-np.bincount(at, weights=words.counts[:HOT]).astype(np.int64) // PART_TOKENS)
-        return cls(buckets, parts, hashes, hot, parts + np.cumsum(tasks) - tasks, tasks)
+        common = words.counts > PART_TOKENS  # no more words than there are parts
+        hot, at = np.unique(hashes[:-1][common] % buckets, return_inverse=True)
+        tasks = -(-np.bincount(at, weights=words.counts[common]).astype(np.int64) // PART_TOKENS)
+        return cls(buckets, parts, hashes, hot, parts + np.cumsum(tasks) - tasks, tasks, HEAPS)
 
     def _hot(self, buckets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hot):
+            return np.zeros(len(buckets), bool), np.zeros(len(buckets), np.int64)
         at = np.minimum(np.searchsorted(self.hot, buckets), len(self.hot) - 1)
         return self.hot[at] == buckets, at
 
     def part(self, buckets: np.ndarray, task: int) -> np.ndarray:
         common, at = self._hot(buckets)
-        return np.where(common, self.first[at] + task % self.tasks[at], buckets % self.parts)
+        part = buckets % self.parts
+        part[common] = self.first[at[common]] + task % self.tasks[at[common]]
+        return part
+
+    def heap(self, buckets: np.ndarray, task: int) -> np.ndarray:
+        """Where a part's rows are dealt to at first: the part, or if there are too many, a heap of them."""
+        part = self.part(buckets, task)
+        return part % self.heaps if self.in_two_steps() else part
+
+    def in_two_steps(self) -> bool:
+        return self.parts + int(self.tasks.sum()) > self.heaps
 
     def homes(self) -> np.ndarray:
         """The part where the weights of each part are found."""
         return np.concatenate((np.arange(self.parts), np.repeat(self.first, self.tasks)))
 
 
-def _hashed(found: list[bytes], numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+def _hashed(rows: list[dict], numbers: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The hash of each token of the rows, rare ones by their own."""
     values = hashes[numbers]
-    rare = np.flatnonzero(numbers == len(hashes) - 1)
-    values[rare] = [zlib.crc32(found[place]) for place in rare.tolist()]
+    values[numbers == len(hashes) - 1] = np.concatenate([row["hashes"] for row in rows])
     return values
 
 
@@ -600,11 +691,11 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def _deal_counts(words: Broadcast, tables: Broadcast, layout: Broadcast):
-    """Counts of cells, packed by part."""
+def _deal_counts(tables: Broadcast, layout: Broadcast):
+    """Counts of cells, packed by part, or by heap of parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, t, where = words.value, tables.value, layout.value
+        t, where = tables.value, layout.value
         task = TaskContext.get().partitionId()
         held: list[tuple] = []
 
@@ -612,27 +703,64 @@ def _deal_counts(words: Broadcast, tables: Broadcast, layout: Broadcast):
             rows = []
             for kind, found in zip(_CELL, zip(*held)):
                 keys, counts = np.unique(np.concatenate(found), return_counts=True)
-                for part, own in _by_part(where.part(keys // _CELL[kind], task)):
+                for part, own in _by_part(where.heap(keys // _CELL[kind], task)):
                     rows.append((part, kind, keys[own].tobytes(), counts[own].astype(np.int64).tobytes()))
             held.clear()
             return _packed(rows)
 
-        for batch in batches:
-            texts, first = texts_as_bytes(batch.column(0)), 0
-            while first < len(texts):
-                found: list[bytes] = []
-                while first < len(texts) and len(found) < CHUNK:
-                    found.extend(tokens(texts[first]))
-                    first += 1
-                numbers = known.numbered(found)
-                held.append(cells(t, where, numbers, _hashed(found, numbers, where.hashes)))
-                if sum(len(own[0]) for own in held) > DEALT:
-                    yield dealt()
+        for rows in _texts(batches):
+            numbers = np.concatenate([row["numbers"] for row in rows])
+            held.append(cells(t, where, numbers, _hashed(rows, numbers, where.hashes)))
+            if sum(len(own[0]) for own in held) > DEALT:
+                yield dealt()
         yield dealt()
 
     return run
 
 
+def _deal_on(layout: Broadcast):
+    """From heaps to parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        where = layout.value
+        task = TaskContext.get().partitionId()
+        held: dict[str, list[tuple[bytes, bytes]]] = {}
+
+        def dealt(kind: str) -> pa.RecordBatch:
+            keys = np.concatenate([np.frombuffer(one, np.int64) for one, _ in held[kind]])
+            if kind == "tokens":
+                ids = np.concatenate([np.frombuffer(two, np.int64, len(one) // 8) for one, two in held[kind]])
+                inside = np.concatenate([np.frombuffer(two, np.int16, offset=len(one)) for one, two in held[kind]])
+                size = _CELL["class"]
+            else:
+                ids, inside = np.concatenate([np.frombuffer(two, np.int64) for _, two in held[kind]]), None
+                size = _CELL[kind]
+            rows = []
+            for part, own in _by_part(where.part(keys // size, task)):
+                two = ids[own].tobytes() + (b"" if inside is None else inside[own].tobytes())
+                rows.append((part, kind, keys[own].tobytes(), two))
+            del held[kind]
+            return _packed(rows)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                kind = row["kind"]
+                held.setdefault(kind, []).append((row["one"], row["two"]))
+                if sum(len(one) for one, _ in held[kind]) > 8 * DEALT:
+                    yield dealt(kind)
+        for kind in list(held):
+            yield dealt(kind)
+
+    return run
+
+
+def _by_parts(dealt: DataFrame, layout: Broadcast) -> DataFrame:
+    """Rows by part, also where tasks have dealt them to heaps."""
+    if not layout.value.in_two_steps():
+        return dealt
+    return dealt.repartition(layout.value.heaps, "part").mapInArrow(_deal_on(layout), PACKED)
+
+
 def _unpacked(table: pa.Table, kind: str, types: tuple = (np.int64, np.int64)) -> list[np.ndarray]:
     rows = [(r["one"], r["two"]) for r in table.to_pylist() if r["kind"] == kind]
     return [np.frombuffer(b"".join(found), of) for found, of in zip(zip(*rows) if rows else (b"", b""), types)] if rows else [np.zeros(0, of) for of in types]
@@ -667,30 +795,70 @@ def _features(kind: str, histories: np.ndarray) -> dict[str, np.ndarray]:
     return {"near": pair // FAR, "pair": pair}
 
 
+def _scaled_softmax(logits: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Probabilities times the row's total, in place."""
+    logits -= logits.max(axis=1, keepdims=True)
+    np.exp(logits, out=logits)
+    logits *= (total / logits.sum(axis=1))[:, None]
+    return logits
+
+
+def _slices(buckets: np.ndarray) -> Iterator[slice]:
+    """Whole buckets of at least SLICE rows together, or what is left."""
+    begins = np.append(_runs(buckets), len(buckets))
+    first = 0
+    while first < len(buckets):
+        last = int(begins[min(np.searchsorted(begins, first + SLICE), len(begins) - 1)])
+        yield slice(first, last)
+        first = last
+
+
 def fit(w: Weights, kind: str, keys: np.ndarray, counts: np.ndarray) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Weights of all buckets in ``keys``, ascending: for each feature its rows' numbers and the rows."""
+    """Weights of all buckets in ``keys``, ascending: for each feature its rows' numbers and the rows.
+
+    No weight belongs to two buckets, so buckets are fitted a slice after the other.
+    """
     outcomes = CLASSES if kind == "class" else LEAVES
     starts = _runs(keys // outcomes)
+    ends = np.append(starts, len(keys))
+    found: dict[str, list] = {}
+    for own in _slices(keys[starts] // _CELL[kind]):
+        inside = slice(ends[own.start], ends[own.stop])
+        fitted = _fit_slice(w, kind, keys[inside], counts[inside], starts[own] - ends[own.start], outcomes)
+        for name, of, weights in fitted:
+            found.setdefault(name, []).append((of, weights.astype(np.float16)))
+    return {name: tuple(np.concatenate(parts) for parts in zip(*own)) for name, own in found.items()}
+
+
+def _fit_slice(w: Weights, kind: str, keys: np.ndarray, counts: np.ndarray, starts: np.ndarray, outcomes: int):
+    """Name, numbers and weights of the rows of each feature. A bucket larger than a slice is gone
+    through in pieces in each update."""
     histories = keys[starts] // outcomes
-    observed = np.zeros((len(histories), outcomes), np.float32)
+    total = np.add.reduceat(counts, starts).astype(np.float32)
     row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(keys))))
-    observed[row, keys % outcomes] = counts
-    total = observed.sum(axis=1, keepdims=True)
-    base = _base(w, kind, histories).astype(np.float32)
     features = []
     for name, of in _features(kind, histories).items():
         begins = _runs(of)
         at = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(of))))
+        cells = at[row] * outcomes + keys % outcomes
+        seen = np.bincount(cells, weights=counts, minlength=len(begins) * outcomes).astype(np.float32)
         weights = np.zeros((len(begins), outcomes), np.float32)
-        features.append((name, of[begins], begins, at, weights, np.add.reduceat(observed, begins)))
+        features.append((name, of[begins], at, weights, seen.reshape(-1, outcomes)))
+    pieces = [slice(first, first + SLICE) for first in range(0, len(histories), SLICE)]
+    base = [_base(w, kind, histories[piece]).astype(np.float32) for piece in pieces[:1]]
     for _ in range(HASHED_UPDATES):
-        logits = base.copy()
-        for _, _, _, at, weights, _ in features:
-            logits += weights[at]
-        expected = softmax(logits)[0] * total
-        for _, _, begins, _, weights, seen in features:
-            _step(weights, 0.0, seen, np.add.reduceat(expected, begins), len(features))
-    return {name: (of, weights) for name, of, _, _, weights, _ in features}
+        expected = [np.zeros_like(weights) for _, _, _, weights, _ in features]
+        for number, piece in enumerate(pieces):
+            logits = base[0].copy() if not number else _base(w, kind, histories[piece]).astype(np.float32)
+            for _, _, at, weights, _ in features:
+                logits += weights[at[piece]]
+            _scaled_softmax(logits, total[piece])
+            for sums, (_, _, at, _, _) in zip(expected, features):
+                begins = _runs(at[piece])
+                sums[at[piece][begins]] += np.add.reduceat(logits, begins)
+        for sums, (_, _, _, weights, seen) in zip(expected, features):
+            _step(weights, np.float32(0), seen, sums, len(features))
+    return [(name, of, weights) for name, of, _, weights, _ in features]
 
 
 def _fit_part(weights: Broadcast, layout: Broadcast):
@@ -700,38 +868,30 @@ def _fit_part(weights: Broadcast, layout: Broadcast):
         for kind in _CELL:
             found, counts = _summed(*_unpacked(table, kind))
             for name, (of, values) in (fit(w, kind, found, counts) if len(found) else {}).items():
-                rows.append((name, of.tobytes(), values.astype(np.float16).tobytes()))
+                rows.append((name, of.tobytes(), values.tobytes()))
         copies = np.flatnonzero(layout.value.homes() == home).tolist()
         return pa.Table.from_batches([_packed([(part, *row) for part in copies for row in rows])])
 
     return run
 
 
-def _deal_tokens(words: Broadcast, tables: Broadcast, layout: Broadcast):
-    """Cells of the tokens of each row, packed by part."""
+def _deal_tokens(tables: Broadcast, layout: Broadcast):
+    """Cells of the tokens of each row, packed by part, or by heap of parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, t, where = words.value, tables.value, layout.value
+        t, where = tables.value, layout.value
         task = TaskContext.get().partitionId()
-        for batch in batches:
-            ids, texts, first = batch.column(0).to_numpy(), texts_as_bytes(batch.column(1)), 0
-            while first < len(texts):
-                found: list[bytes] = []
-                owner: list[int] = []
-                while first < len(texts) and len(found) < CHUNK:
-                    own = tokens(texts[first])
-                    found.extend(own)
-                    owner.append(len(own))
-                    first += 1
-                numbers = known.numbered(found)
-                outcome, leaf = cells(t, where, numbers, _hashed(found, numbers, where.hashes))
-                of = np.repeat(ids[first - len(owner) : first], owner)
-                # Leaves go without the bucket and class, which the other cell tells.
-                inside = (leaf % (INNER * LEAVES)).astype(np.int16)
-                yield _packed([
-                    (part, "tokens", outcome[own].tobytes(), of[own].tobytes() + inside[own].tobytes())
-                    for part, own in _by_part(where.part(outcome // _CELL["class"], task))
-                ])
+        for rows in _texts(batches):
+            numbers = np.concatenate([row["numbers"] for row in rows])
+            outcome, leaf = cells(t, where, numbers, _hashed(rows, numbers, where.hashes))
+            ids = np.array([row["row_id"] for row in rows], np.int64)
+            of = np.repeat(ids, [len(row["numbers"]) for row in rows])
+            # Leaves go without the bucket and class, which the other cell tells.
+            inside = (leaf % (INNER * LEAVES)).astype(np.int16)
+            yield _packed([
+                (part, "tokens", outcome[own].tobytes(), of[own].tobytes() + inside[own].tobytes())
+                for part, own in _by_part(where.heap(outcome // _CELL["class"], task))
+            ])
 
     return run
 
@@ -739,23 +899,26 @@ def _deal_tokens(words: Broadcast, tables: Broadcast, layout: Broadcast):
 def hashed_log10(w: Weights, found: dict[str, tuple[np.ndarray, np.ndarray]], kind: str, keys: np.ndarray) -> np.ndarray:
     """log10 of the probability of each cell's outcome; weights never trained are zero."""
     outcomes = CLASSES if kind == "class" else LEAVES
-    histories, at = np.unique(keys // outcomes, return_inverse=True)
-    value = np.zeros(len(keys))
-    order = np.argsort(at, kind="stable")
-    ends = np.searchsorted(at[order], np.arange(0, len(histories) + 50_000, 50_000))
-    for number, (first, last) in enumerate(zip(ends[:-1], ends[1:])):
-        some = histories[number * 50_000 : (number + 1) * 50_000]
-        logits = _base(w, kind, some).astype(np.float32)
-        for name, of in _features(kind, some).items():
+    cells, at = np.unique(keys, return_inverse=True)
+    value = np.zeros(len(cells))
+    starts = _runs(cells // outcomes)
+    ends = np.append(starts, len(cells))
+    for first in range(0, len(starts), SLICE):
+        own = slice(first, min(first + SLICE, len(starts)))
+        histories = cells[starts[own]] // outcomes
+        logits = _base(w, kind, histories).astype(np.float32)
+        for name, of in _features(kind, histories).items():
             rows, weights = found[name]
             if len(rows):
                 place = np.minimum(np.searchsorted(rows, of), len(rows) - 1)
-                logits += np.where((rows[place] == of)[:, None], weights[place].astype(np.float32), 0)
-        sums = softmax(logits)[1]
-        own = order[first:last]
-        row = at[own] - number * 50_000
-        value[own] = logits[row, keys[own] % outcomes] - sums[row]
-    return value / math.log(10)
+                known = np.flatnonzero(rows[place] == of)
+                logits[known] += weights[place[known]]
+        top = logits.max(axis=1)
+        sums = np.log(np.exp(logits - top[:, None]).sum(axis=1)) + top
+        inside = slice(ends[own.start], ends[own.stop])
+        row = np.repeat(np.arange(len(histories)), np.diff(ends[own.start : own.stop + 1]))
+        value[inside] = logits[row, cells[inside] % outcomes] - sums[row]
+    return value[at] / math.log(10)
 
 
 def _score_part(weights: Broadcast):
@@ -784,111 +947,76 @@ def _score_part(weights: Broadcast):
 
 
 def hashed_scores(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame:
-    """row_id and the sum of log10 of the probabilities of its tokens up to their leaves."""
+    """row_id and the sum of log10 of the probabilities of its tokens up to their leaves, of row_id, text."""
+    shared = training.sparkSession.sparkContext.broadcast(model.words)
+    ids = rows.select(F.col("row_id").alias("doc_id"), F.lit(False).alias("training"), "text")
+    found = numbered(ids, shared).drop("row_id").withColumnRenamed("doc_id", "row_id")
+    sums = hashed_sums(numbered(as_training(training), shared), found, model)
+    return sums.groupBy("row_id").agg(F.sum("value").alias("hashed"))
+
+
+def hashed_sums(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame:
+    """row_id and value, several for a row: log10 of the probabilities up to the leaves."""
     context = training.sparkSession.sparkContext
     layout = context.broadcast(Layout.of(model.words))
-    words, tables, weights = (context.broadcast(of) for of in (model.words, model.tables, model.weights))
+    tables, weights = context.broadcast(model.tables), context.broadcast(model.weights)
+    counted = training.select("numbers", "hashes").mapInArrow(_deal_counts(tables, layout), PACKED)
     learned = written(
-        training.select("text")
-        .mapInArrow(_deal_counts(words, tables, layout), PACKED)
+        _by_parts(counted, layout)
         .groupBy("part")
         .applyInArrow(_merge_counts(layout), PACKED)
         .groupBy("part")
         .applyInArrow(_fit_part(weights, layout), PACKED),
         "weights",
     )
-    dealt = rows.select("row_id", "text").mapInArrow(_deal_tokens(words, tables, layout), PACKED)
-    return written(
-        dealt.unionByName(learned)
+    dealt = rows.select("row_id", "numbers", "hashes").mapInArrow(_deal_tokens(tables, layout), PACKED)
+    return (
+        _by_parts(dealt, layout)
+        .unionByName(learned)
         .groupBy("part")
         .applyInArrow(_score_part(weights), "row_id bigint, value double")
-        .groupBy("row_id")
-        .agg(F.sum("value").alias("hashed")),
-        "hashed",
     )
 
 
 # ---- scoring ---------------------------------------------------------------------------
 
-SCORED = pa.schema(
-    [
-        ("row_id", pa.int64()),
-        ("doc_id", pa.int64()),
-        ("n_tokens", pa.int64()),
-        ("known", pa.int64()),
-        ("base", pa.float64()),
-        ("model", pa.float64()),
-        ("rare", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))),
-    ]
-)
-SCORED_SQL = (
-    "row_id bigint, doc_id bigint, n_tokens bigint, known bigint, base double, model double, "
-    "rare array<struct<word: binary, n: bigint>>"
-)
 
+def _inside(tables: Broadcast):
+    """log10 of the words' probabilities within their leaves, by row."""
 
-def _scores(model: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m: Model = model.value
-        words = m.words
-        base = np.log10(np.append(words.counts, 0) + 1.0) - math.log10(words.total + words.distinct + 1)
-        base[words.rare] = 0.0
+        inside = tables.value.inside
         for batch in batches:
-            ids, texts = batch.select(["row_id", "doc_id"]), texts_as_bytes(batch.column("text"))
-            first = 0
-            while first < len(texts):
-                found: list[bytes] = []
-                sizes, last = [], first
-                while last < len(texts) and len(found) < CHUNK:
-                    own = tokens(texts[last])
-                    sizes.append(len(own))
-                    found.extend(own)
-                    last += 1
-                yield _scored(m, base, ids.slice(first, last - first), sizes, found)
-                first = last
+            found = (np.frombuffer(own, np.int32) for own in batch.column("numbers").to_pylist())
+            sums = [float(inside[numbers].sum(dtype=float)) for numbers in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("row_id"), pa.array(sums, pa.float64())], names=["row_id", "value"]
+            )
 
     return run
 
 
-def _scored(m: Model, base: np.ndarray, ids: pa.RecordBatch, sizes: list[int], found: list[bytes]) -> pa.RecordBatch:
-    words = m.words
-    numbers = words.numbered(found)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64)
-    rare = np.flatnonzero(numbers == words.rare)
-    owner = np.searchsorted(starts, rare, side="right") - 1
-    lists: list[dict[bytes, int]] = [{} for _ in sizes]
-    for row, place in zip(owner.tolist(), rare.tolist()):
-        word = found[place]
-        lists[row][word] = lists[row].get(word, 0) + 1
-    known = np.add.reduceat((numbers != words.rare).astype(np.int64), starts)
-    return pa.RecordBatch.from_arrays(
-        [
-            *ids.columns,
-            pa.array(sizes, pa.int64()),
-            pa.array(known),
-            pa.array(np.add.reduceat(base[numbers], starts)),
-            pa.array(np.add.reduceat(m.tables.inside[numbers].astype(float), starts)),
-            pa.array([[{"word": w, "n": n} for w, n in own.items()] for own in lists], SCORED.field("rare").type),
-        ],
-        schema=SCORED,
-    )
-
-
 def scored(documents: DataFrame, rest: int = 2, divisor: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     The model learns from rows whose remainder is another than ``rest``.
     """
-    rows = identified(documents).select("doc_id", "text").withColumn("row_id", F.monotonically_increasing_id())
-    training = rows.where(remainder(divisor) != rest)
-    table, model = train(training)
-    words = model.words
-    shared = documents.sparkSession.sparkContext.broadcast(model)
-    first = written(rows.mapInArrow(_scores(shared), SCORED_SQL), "scored")
+    context = documents.sparkSession.sparkContext
+    rows = identified(documents).select("doc_id", (remainder(divisor) != rest).alias("training"), "text")
+    table, words = count_words(rows.where("training"))
+    shared = context.broadcast(words)
+    first = numbered(rows, shared)
+    shared.destroy()
+    texts = first.select("row_id", "doc_id", "n_tokens", "known", "base")
     if words.total:
-        first = first.join(hashed_scores(training, rows, model), "row_id", "left").withColumn(
-            "model", F.col("model") + F.col("hashed")
+        training = first.where("training")
+        model = learn(training, words)
+        inside = first.select("row_id", "numbers").mapInArrow(
+            _inside(context.broadcast(model.tables)), "row_id bigint, value double"
         )
+        values = hashed_sums(training, first, model).unionByName(inside)
+        sums = written(values.groupBy("row_id").agg(F.sum("value").alias("model")), "hashed")
+        texts = texts.join(sums, "row_id", "left")
     count = F.coalesce(F.col("c"), F.lit(0))
     outcomes = float(words.total + words.distinct + 1)
     # Among the rare words, an unknown one has the share of those met once.
@@ -912,7 +1040,7 @@ def scored(documents: DataFrame, rest: int = 2, divisor: int = 7) -> DataFrame:
         return F.col(own) + F.coalesce(rare, F.lit(0))
 
     base = total("base", "rare_base")
-    return first.drop("rare").join(met, "row_id", "left").select(
+    return texts.join(met, "row_id", "left").select(
         "doc_id",
         (remainder(divisor) == rest).alias("held_out"),
         "n_tokens",

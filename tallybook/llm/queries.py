@@ -51,6 +51,10 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         fingerprints.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
         "near_edited",
         "near_next",
+        F.col("edited_bounds.low").alias("near_edited_low"),
+        F.col("edited_bounds.high").alias("near_edited_high"),
+        F.col("next_bounds.low").alias("near_next_low"),
+        F.col("next_bounds.high").alias("near_next_high"),
     )
 
 

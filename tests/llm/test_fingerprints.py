@@ -40,8 +40,7 @@ def test_sketches_merge(spark):
     merged = fingerprints.merged(hashes("one"), hashes("other"))
     for row in frame.select(hashes("one").alias("a"), hashes("other").alias("b"), merged.alias("m")).collect():
         both = sorted(set(row.a) | set(row.b))
-        below = [h for h in both if h < fingerprints.THRESHOLD]
-        assert row.m == (below or both[:1])
+        assert row.m == both and all(h < fingerprints.THRESHOLD for h in both)
 
 
 def contained(one, other):
@@ -49,11 +48,16 @@ def contained(one, other):
     return len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
 
 
-def test_likeness_of_short_and_unequal_texts(spark):
+def recomputed(one, other):
+    """Likeness of two sets of retained hashes."""
+    return len(set(one) & set(other)) / min(len(one), len(other)) if one and other else float(not one and not other)
+
+
+def unequal_rows():
     """Notes wholly or partly contained in the long text that follows them."""
     draw = random.Random(9)
     rows = []
-    for number in range(60):
+    for number in range(96):
         long = [f"w{draw.randrange(10**6)}" for _ in range(3000)]
         size = (1, 3, 5, 8, 14, 24, 44, 150)[number % 8]
         at = draw.randrange(2000)
@@ -61,18 +65,39 @@ def test_likeness_of_short_and_unequal_texts(spark):
         if number % 3 == 0:
             note = note[: size // 2] + [f"x{draw.randrange(10**6)}" for _ in range(size - size // 2)]
         rows += [(2 * number + 1, " ".join(note)), (2 * number, " ".join(long))]
+    return rows
+
+
+def test_likeness_is_that_of_the_returned_fingerprints(spark):
+    rows = unequal_rows()
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    found = {r.doc_id: r for r in fingerprints.fingerprints(frame).collect()}
+    for doc_id, _ in rows:
+        row = found[doc_id]
+        following = found[(doc_id - 1) % len(rows)]
+        assert abs(row.near_edited - recomputed(row.sketch, row.edited_sketch)) < 1e-12
+        assert abs(row.near_next - recomputed(row.sketch, following.sketch)) < 1e-12
+
+
+def test_containment_lies_within_its_bounds(spark):
+    rows = unequal_rows()
     frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     found = {r.doc_id: r for r in fingerprints.fingerprints(frame).collect()}
-    texts = dict(rows)
+    texts, missed = dict(rows), 0
     for doc_id, text in rows:
         following = texts[(doc_id - 1) % len(rows)]
         half = len(text) // 2
         edited = text[: len(text) - half] + following[:half]
-        exact = 1e-12 if len(text.split()) < 200 else 0.08
-        assert abs(found[doc_id].near_edited - contained(text, edited)) < exact
-        if doc_id % 2:
-            assert abs(found[doc_id].near_next - contained(text, following)) < 1e-12
-            assert doc_id // 2 % 3 == 0 or len(text.split()) < 5 or found[doc_id].near_next == 1
+        row = found[doc_id]
+        for bounds, near, other in ((row.edited_bounds, row.near_edited, edited), (row.next_bounds, row.near_next, following)):
+            assert 0 <= bounds.low <= bounds.high <= 1
+            missed += not bounds.low - 1e-9 <= contained(text, other) <= bounds.high + 1e-9
+            if row.sketch and contained(text, other) == 1 and doc_id % 2:
+                assert near == 1  # whatever stands in a text is found in it
+        if len(text.split()) > 1000:
+            assert abs(row.near_edited - contained(text, edited)) < 0.06
+            assert row.edited_bounds.high - row.edited_bounds.low < 0.12
+    assert missed <= 0.08 * 2 * len(rows)
 
 
 def test_null_and_repeated_ids_and_empty_tables(documents, nasty, clashing, empty):

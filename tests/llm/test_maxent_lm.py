@@ -73,11 +73,12 @@ def test_outcomes_sum_to_one(spark):
         assert abs(total - 1) < 1e-3
 
 
-@pytest.mark.parametrize("part_tokens", [500_000, 3000])
-def test_rare_words_before_and_pairs_of_them_tell_what_follows(spark, part_tokens, monkeypatch):
+@pytest.mark.parametrize("part_tokens, heaps", [(500_000, 1024), (3000, 1024), (3000, 4)])
+def test_rare_words_before_and_pairs_of_them_tell_what_follows(spark, part_tokens, heaps, monkeypatch):
     """All words lie beyond the clustered ones, so only hashed buckets tell the histories apart."""
     monkeypatch.setattr(maxent_lm, "CLASSED", 60)
     monkeypatch.setattr(maxent_lm, "PART_TOKENS", part_tokens)
+    monkeypatch.setattr(maxent_lm, "HEAPS", heaps)
     draw = random.Random(8)
     rows = []
     for number in range(400):
@@ -102,7 +103,8 @@ def test_buckets_grow_and_hashed_outcomes_sum_to_one():
     counts = np.array([4_000_000, 3_000_000, 100], np.int64)
     words_ = maxent_lm.Words({b"": 0, b"a": 1, b"b": 2}, counts, 8_000_000, 4, 999_900, 1)
     layout = maxent_lm.Layout.of(words_)
-    assert layout.buckets == 8_000_000 // maxent_lm.PER_BUCKET and layout.tasks.max() == 8
+    assert layout.buckets == 8_000_000 // maxent_lm.PER_BUCKET
+    assert layout.tasks.max() == 4_000_000 // maxent_lm.PART_TOKENS
     assert set(layout.part(np.arange(layout.buckets), 3)) <= set(range(len(layout.homes())))
     draw = np.random.default_rng(3)
     for kind, outcomes in (("class", 64), ("leaf", 64)):
@@ -127,3 +129,36 @@ def test_nothing_to_learn_from(spark, empty, clashing):
     [row] = maxent_lm.scored(spark.createDataFrame([(alone, "a b")], "doc_id bigint, text string")).collect()
     assert (row.n_tokens, row.n_known, row.train_tokens, row.base_score, row.score) == (3, 0, 0, 0.0, 0.0)
     assert maxent_lm.scored(clashing).count() == 6
+
+
+@pytest.mark.parametrize("kind", ["class", "leaf"])
+def test_slices_give_the_weights_of_the_whole(kind, monkeypatch):
+    """Buckets far larger than a slice, and many small ones."""
+    draw = np.random.default_rng(5)
+    size = maxent_lm._CELL[kind]
+    keys = np.unique(np.concatenate((draw.integers(0, 2 * size, 3000), draw.integers(0, 60 * size, 1000))))
+    counts = draw.integers(1, 9, len(keys))
+    weights = maxent_lm.Weights.zero().short()
+    whole = maxent_lm.fit(weights, kind, keys, counts)
+    monkeypatch.setattr(maxent_lm, "SLICE", 100)
+    cut = maxent_lm.fit(weights, kind, keys, counts)
+    assert whole.keys() == cut.keys()
+    for name, (of, values) in whole.items():
+        assert (of == cut[name][0]).all() and np.allclose(values, cut[name][1], atol=2e-3)
+
+
+def test_rows_that_are_not_read_from_files(spark, monkeypatch):
+    """A shuffled input may come in another order each time it is computed."""
+    draw = random.Random(12)
+    rows = [(n, " ".join(f"w{min(int(draw.expovariate(0.1)), 200)}" for _ in range(draw.randint(1, 30)))) for n in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "4k")
+    try:
+        shuffled = frame.repartition(13).join(frame.select("doc_id", "doc_id").toDF("doc_id", "other").hint("merge"), "doc_id")
+        found = {r.doc_id: (r.n_tokens, r.score) for r in maxent_lm.scored(shuffled).collect()}
+        plain = {r.doc_id: (r.n_tokens, r.score) for r in maxent_lm.scored(frame.repartition(3)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert found.keys() == plain.keys()
+    for doc_id, (n_tokens, score) in plain.items():
+        assert found[doc_id][0] == n_tokens and abs(found[doc_id][1] - score) < 1e-2 * abs(score)
