@@ -99,3 +99,31 @@ def test_one_file_per_trigger_gives_the_same(source, tmp_path):
     expected = [(date(2024, 1, 1), "a", 3), (date(2024, 1, 2), "b", 3)]
     assert source.run(f"{tmp_path}/all") == expected
     assert source.run(f"{tmp_path}/single", files_per_trigger=1) == expected
+
+
+def test_a_history_in_any_order_goes_through_several_triggers(spark, source, tmp_path, monkeypatch):
+    """Files whose times overlap lose nothing; each trigger reads one file in time order."""
+    rows = [(1 + n % 20, n % 24, "ab"[n % 2]) for n in range(400)]
+    for first in range(0, 400, 100):
+        source.add(*rows[first : first + 100][::-1])
+    folders = []
+    monkeypatch.setattr(daily, "run_folder", lambda *_: folders.append(f"{tmp_path}/run") or folders[0])
+    found = sorted(tuple(row) for row in daily.streamed_daily_counts(spark, source.root).collect())
+    expected: dict = {}
+    for day, _, kind in rows:
+        expected[date(2024, 1, day), kind] = expected.get((date(2024, 1, day), kind), 0) + 1
+    assert found == sorted((*key, n) for key, n in expected.items())
+    triggers = sorted(int(p.name.split("=")[1]) for p in Path(f"{folders[0]}/counts").glob("trigger=*"))
+    triggers = triggers[: daily.LEAST_FILES]  # a trigger without rows may follow
+    assert triggers == list(range(daily.LEAST_FILES))
+    days = [
+        spark.read.parquet(f"{folders[0]}/counts/trigger={n}").agg({"day": "min"}).first()[0] for n in triggers
+    ]
+    assert days == sorted(days) and days[0] < days[-1]
+
+
+def test_a_file_system_without_times_takes_all_files_at_once(spark, source, tmp_path, monkeypatch):
+    source.add((3, 1, "a"), (1, 1, "a"), (2, 1, "a"))
+    monkeypatch.setattr(daily, "write_in_time_order", lambda events, folder, files: events.write.parquet(f"{folder}/events.parquet"))
+    monkeypatch.setattr(daily, "run_folder", lambda *_: f"{tmp_path}/run")
+    assert daily.streamed_daily_counts(spark, source.root).count() == 3
