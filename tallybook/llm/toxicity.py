@@ -45,7 +45,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tallybook.llm.common import identified, remainder, small, written
 
@@ -54,6 +54,8 @@ SAMPLE = 40_000
 #: Texts a learned word must occur in, and how many times likelier than in others.
 LEAST_TEXTS = 6
 LEAST_RATIO = 8.0
+#: Least log likelihood ratio of a learned class against chance, twice (four standard errors).
+LEAST_EVIDENCE = 16.0
 STEMS = (4, 5, 6)
 #: A stem is left to the word that makes up at least this share of its toxic texts.
 ONE_WORD = 0.8
@@ -381,7 +383,17 @@ def learned_classes(teaching: DataFrame, grammar: Grammar) -> dict[str, str]:
     if whole is None or not whole["toxic"] or not whole["other"]:
         return {}
     ratio = (F.col("toxic") + 0.5) / (whole["toxic"] + 1) / ((F.col("other") + 0.5) / (whole["other"] + 1))
+    both = (F.col("toxic") + F.col("other")) / (whole["toxic"] + whole["other"])
+
+    def surprise(label: str) -> Column:
+        """n log(n / expected)"""
+        n = F.col(label)
+        return F.when(n > 0, n * F.log(n / (both * whole[label]))).otherwise(0.0)
+
     told = found.withColumn("ratio", ratio).where(
+        2 * (surprise("toxic") + surprise("other")) >= LEAST_EVIDENCE
+    )
+    told = told.where(
         ((F.col("other") >= LEAST_TEXTS) & (F.col("ratio") <= 1 / LEAST_RATIO))
         | ((F.col("toxic") >= LEAST_TEXTS) & (F.col("ratio") >= LEAST_RATIO))
     )
