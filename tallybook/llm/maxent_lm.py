@@ -74,9 +74,9 @@ PART_TOKENS = 250_000
 #: Histories that are worked on at a time.
 SLICE = 16_384
 #: Tokens a task deals out at a time, and most heaps it deals them to; parts beyond that are dealt in two steps.
-DEALT, HEAPS = 1_000_000, 1024
+DEALT, HEAPS = 400_000, 1024
 #: Tokens of one numpy batch.
-CHUNK = 250_000
+CHUNK = 100_000
 END = b""
 #: Words longer than this are told apart by a digest.
 LONG = 40
