@@ -20,7 +20,9 @@ Sorting every suffix of a corpus is not needed to find strings of 100 bytes:
 4. The repeats of a document are merged, and the text between them is kept.
 
 An anchor with more than HOT different runs is not brought into one task: its windows are
-hashed to 128 bits each and grouped by an ordinary, pre-aggregated shuffle instead.
+hashed to 128 bits each and grouped by an ordinary, pre-aggregated shuffle instead. Nor are its runs
+told apart in one task: anchors that seem that common in one document of SAMPLED have theirs
+dealt by run and all passed on. The sample steers where rows go, not what becomes of them.
 
 A missing text is empty. Texts shorter than 100 bytes are kept whole. Rows that
 repeat both doc_id and text are one document and share its result. Rows that repeat a
@@ -57,6 +59,8 @@ REACH = LENGTH - GRAM
 SHALLOW = 16
 #: Most different runs of one anchor that one task compares.
 HOT = 20_000
+#: One document in so many is looked at for common anchors; pieces that the runs of one are dealt to.
+SAMPLED, PIECES = 64, 1024
 #: Positions of a document that are anchored at once.
 STRETCH = 1 << 22
 
@@ -390,19 +394,32 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def common_anchors(texts: DataFrame) -> DataFrame:
+    """``anchor``: those that seem to have more than HOT runs, from one document of SAMPLED."""
+    some = texts.where(F.octet_length("text") >= LENGTH).where(
+        F.pmod(F.xxhash64("ord"), F.lit(SAMPLED)) == 0
+    )
+    runs_of = some.mapInArrow(in_batches(_batch_runs), RUN_SQL).where("not repeat")
+    counts = runs_of.groupBy("anchor").count().where(F.col("count") > HOT // SAMPLED)
+    return written(counts.select("anchor"), "common")
+
+
 def repeated_windows(texts: DataFrame) -> DataFrame:
     """``ord``, ``first``, ``last``: stretches of windows that also start earlier."""
     found = texts.where(F.octet_length("text") >= LENGTH).mapInArrow(
         in_batches(_batch_runs), RUN_SQL
     )
-    group = Window.partitionBy("anchor")
+    common = common_anchors(texts).withColumn("common", F.lit(True))
+    dealt = found.where("not repeat").join(if_small(common), "anchor", "left").withColumn(
+        "piece", F.when(F.col("common"), F.pmod("whole", F.lit(PIECES))).otherwise(0)
+    )
+    group = Window.partitionBy("anchor", "piece")
     live = (
-        found.where("not repeat")
-        .withColumn(
+        dealt.withColumn(
             "place",
-            F.row_number().over(Window.partitionBy("anchor", "whole").orderBy("ord", "first")),
+            F.row_number().over(Window.partitionBy("anchor", "piece", "whole").orderBy("ord", "first")),
         )
-        .withColumn("several", F.min("whole").over(group) < F.max("whole").over(group))
+        .withColumn("several", F.coalesce("common", F.min("whole").over(group) < F.max("whole").over(group)))
         .where("several or place > 1")
     )
     known = found.where("repeat")

@@ -38,6 +38,7 @@ def result(frame):
 @pytest.mark.parametrize("hot", [20_000, 1])
 def test_repeats_are_those_of_every_window(spark, distinct, hot, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1 if hot == 1 else 64)
     assert result(frame_of(spark, distinct)) == brute_force(distinct)
 
 
@@ -94,3 +95,16 @@ def test_deep_shallow_orders_like_sorting():
             (g, a), (h, b) = keys[place - 1], keys[place]
             shared = next((n for n in range(72) if a[n] != b[n]), 72) if g == h else -1
             assert common[place] == shared
+
+
+def test_runs_of_a_common_anchor_are_dealt_out(spark, monkeypatch):
+    """A passage in all texts: at its edge all runs differ, and no piece of the window takes them all."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "SAMPLED", 1)
+    draw = random.Random(6)
+    passage = words(draw, 20)
+    rows = [(n, f"{words(draw, 15)} {passage} {words(draw, 15)}") for n in range(200)]
+    frame = frame_of(spark, rows)
+    texts = frame.select("doc_id", "text").toDF("ord", "text")
+    assert suffix_dedup.common_anchors(texts).count() > 0
+    assert result(frame) == brute_force(rows)
