@@ -17,11 +17,13 @@ Other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import json
 import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -56,8 +58,9 @@ class Ids:
     """Ids of texts as the tokenizers library gives them for a byte-level BPE file.
 
     The ids of plain texts are found several times faster by tiktoken, with the ranks of the same
-    file: its merges are those of the vocabulary in the order of their ids. Texts with
-    other characters or with a special token in them go to the tokenizers library itself.
+    file, if that splits texts by SPLIT and lists its merges in the order of their ids. Texts with
+    other characters or with a special token in them, and all texts of another kind of file, go to
+    the tokenizers library itself.
     """
 
     def __init__(self, vocabulary: str) -> None:
@@ -65,7 +68,10 @@ class Ids:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(vocabulary)
+        self._same = splits_alike(json.loads(Path(vocabulary).read_text(encoding="utf-8")))
         self._special = [token.content for token in self._tokenizer.get_added_tokens_decoder().values()]
+        if not self._same:
+            return
         letters = byte_letters()
         ranks = {
             bytes(map(letters.__getitem__, token)): number
@@ -78,11 +84,29 @@ class Ids:
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if _PLAIN.fullmatch(text) and not any(token in text for token in self._special):
+        if self._same and _PLAIN.fullmatch(text) and not any(token in text for token in self._special):
             return array("I", self._fast(text)).tobytes()
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def splits_alike(file: dict) -> bool:
+    """Whether a tokenizer's file splits by SPLIT, changes nothing before, and merges by id."""
+    before, model = file.get("pre_tokenizer") or {}, file.get("model") or {}
+    numbers = model.get("vocab") or {}
+    merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in model.get("merges") or ()]
+    made = [numbers.get("".join(pair), -1) for pair in merges]
+    return (
+        file.get("normalizer") is None
+        and before.get("type") == "ByteLevel"
+        and not before.get("add_prefix_space")
+        and before.get("use_regex", True)
+        and model.get("type") == "BPE"
+        and not any(model.get(name) for name in ("dropout", "unk_token", "byte_fallback", "ignore_merges"))
+        and not any(model.get(name) for name in ("continuing_subword_prefix", "end_of_word_suffix"))
+        and all(one < other for one, other in zip([-1, *made], made))
+    )
+
+
 def byte_letters() -> dict[str, int]:
     """The byte each letter of a byte-level vocabulary stands for.
 

@@ -89,3 +89,21 @@ def test_plain_texts_get_the_ids_of_the_library(file):
 def test_empty_and_clashing(empty, clashing, file):
     assert packing.pack(empty, file).count() == 0
     assert {r.doc_id for r in packing.pack(clashing, file).collect()} == set(range(6))
+
+
+def test_a_file_that_splits_otherwise_goes_to_the_library(file, tmp_path):
+    import json
+    from pathlib import Path
+
+    from tokenizers import Tokenizer
+
+    given = json.loads(Path(file).read_text())
+    assert packing.splits_alike(given)
+    other = given | {"pre_tokenizer": given["pre_tokenizer"] | {"add_prefix_space": True}}
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(other))
+    assert not packing.splits_alike(other)
+    found = np.frombuffer(packing.Ids(str(path))("plain words"), "<u4").tolist()
+    assert found == Tokenizer.from_file(str(path)).encode("plain words", add_special_tokens=False).ids
+    swapped = given["model"] | {"merges": given["model"]["merges"][:2][::-1]}
+    assert not packing.splits_alike(given | {"model": swapped})

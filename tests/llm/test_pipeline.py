@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 import corpus_pipeline
 from tallybook.llm import common
 from tallybook.llm.queries import ORACLE_SQL, QUERIES
@@ -17,8 +19,22 @@ def test_each_stage_works_on_what_the_one_before_kept(spark, tables):
     assert {r.doc_id for r in packed.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
 
 
+@pytest.mark.parametrize("kind", ["documents", "empty", "clashing"])
+def test_stages_on_nulls_repeats_and_other_columns(spark, request, tables, kind):
+    docs = given = request.getfixturevalue(kind)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = common.written(stage(spark, docs, tables), "test")
+        assert docs.columns == given.columns
+    left = {row.doc_id for row in docs.collect()}
+    assert left <= {row.doc_id for row in given.collect()} and bool(left) == (kind != "empty")
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, tables)
+    assert {row.doc_id for row in packed.collect()} == left
+    if kind == "documents":
+        assert {50, 51, 52} & left and {53, 55, 62} <= left  # one of the texts without words, short and long ones
+
+
 def test_one_query_per_operator():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
     assert ORACLE_SQL.keys() < QUERIES.keys()
 
 
