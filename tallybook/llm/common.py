@@ -25,7 +25,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
-def written(frame: DataFrame, purpose: str) -> DataFrame:
+def written(frame: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """``frame`` as a table in the shared folder: computed once, read by later steps.
 
     It cuts the lineage: losing an executor afterwards costs only a read.
@@ -35,7 +35,7 @@ def written(frame: DataFrame, purpose: str) -> DataFrame:
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")  # its shuffles are of no use once the table is there
     try:
-        frame.write.parquet(folder)
+        frame.write.parquet(folder, compression=compression)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(frame.schema).parquet(folder)

@@ -74,9 +74,9 @@ PART_TOKENS = 250_000
 #: Histories that are worked on at a time.
 SLICE = 16_384
 #: Tokens a task deals out at a time, and most heaps it deals them to; parts beyond that are dealt in two steps.
-DEALT, HEAPS = 400_000, 1024
+DEALT, HEAPS = 500_000, 1024
 #: Tokens of one numpy batch.
-CHUNK = 100_000
+CHUNK = 150_000
 END = b""
 #: Words longer than this are told apart by a digest.
 LONG = 40
@@ -210,7 +210,7 @@ def numbered(rows: DataFrame, words: Broadcast) -> DataFrame:
     ``row_id`` is given here, once, whatever the rows come from.
     """
     found = rows.select("doc_id", "training", "text").mapInArrow(in_batches(_numbered(words)), TOKENS_SQL)
-    return written(found.withColumn("row_id", F.monotonically_increasing_id()), "tokens")
+    return written(found.withColumn("row_id", F.monotonically_increasing_id()), "tokens", "zstd")
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[dict]]:
@@ -664,6 +664,17 @@ _CELL = {"class": FAR * NEAR * SKIP * CLASSES, "leaf": CLASSES * INNER * LEAVES}
 PACKED = "part int, kind string, one binary, two binary"
 
 
+def _out(values: np.ndarray) -> bytes:
+    """Numbers as bytes, the first byte of each, then the second and so on, which shuffles compress better."""
+    width = values.dtype.itemsize
+    return np.ascontiguousarray(values).view(np.uint8).reshape(-1, width).T.tobytes()
+
+
+def _in(data: bytes, of: type) -> np.ndarray:
+    width = np.dtype(of).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(of).ravel()
+
+
 def _packed(rows: list[tuple]) -> pa.RecordBatch:
     part, kind, one, two = zip(*rows) if rows else [()] * 4
     return pa.RecordBatch.from_arrays(
@@ -704,7 +715,7 @@ def _deal_counts(tables: Broadcast, layout: Broadcast):
             for kind, found in zip(_CELL, zip(*held)):
                 keys, counts = np.unique(np.concatenate(found), return_counts=True)
                 for part, own in _by_part(where.heap(keys // _CELL[kind], task)):
-                    rows.append((part, kind, keys[own].tobytes(), counts[own].astype(np.int64).tobytes()))
+                    rows.append((part, kind, _out(keys[own]), _out(counts[own].astype(np.int64))))
             held.clear()
             return _packed(rows)
 
@@ -727,18 +738,15 @@ def _deal_on(layout: Broadcast):
         held: dict[str, list[tuple[bytes, bytes]]] = {}
 
         def dealt(kind: str) -> pa.RecordBatch:
-            keys = np.concatenate([np.frombuffer(one, np.int64) for one, _ in held[kind]])
+            keys = np.concatenate([_in(one, np.int64) for one, _ in held[kind]])
+            ids = np.concatenate([_in(two[: len(one)], np.int64) for one, two in held[kind]])
+            inside, size = None, _CELL.get(kind, _CELL["class"])
             if kind == "tokens":
-                ids = np.concatenate([np.frombuffer(two, np.int64, len(one) // 8) for one, two in held[kind]])
-                inside = np.concatenate([np.frombuffer(two, np.int16, offset=len(one)) for one, two in held[kind]])
-                size = _CELL["class"]
-            else:
-                ids, inside = np.concatenate([np.frombuffer(two, np.int64) for _, two in held[kind]]), None
-                size = _CELL[kind]
+                inside = np.concatenate([_in(two[len(one) :], np.int16) for one, two in held[kind]])
             rows = []
             for part, own in _by_part(where.part(keys // size, task)):
-                two = ids[own].tobytes() + (b"" if inside is None else inside[own].tobytes())
-                rows.append((part, kind, keys[own].tobytes(), two))
+                two = _out(ids[own]) + (b"" if inside is None else _out(inside[own]))
+                rows.append((part, kind, _out(keys[own]), two))
             del held[kind]
             return _packed(rows)
 
@@ -763,7 +771,8 @@ def _by_parts(dealt: DataFrame, layout: Broadcast) -> DataFrame:
 
 def _unpacked(table: pa.Table, kind: str, types: tuple = (np.int64, np.int64)) -> list[np.ndarray]:
     rows = [(r["one"], r["two"]) for r in table.to_pylist() if r["kind"] == kind]
-    return [np.frombuffer(b"".join(found), of) for found, of in zip(zip(*rows) if rows else (b"", b""), types)] if rows else [np.zeros(0, of) for of in types]
+    columns = zip(*rows) if rows else ((), ())
+    return [np.concatenate([np.zeros(0, of), *(_in(data, of) for data in own)]) for own, of in zip(columns, types)]
 
 
 def _merge_counts(layout: Broadcast):
@@ -772,7 +781,7 @@ def _merge_counts(layout: Broadcast):
         rows = []
         for kind in _CELL:
             found, counts = _summed(*_unpacked(table, kind))
-            rows.append((home, kind, found.tobytes(), counts.tobytes()))
+            rows.append((home, kind, _out(found), _out(counts)))
         return pa.Table.from_batches([_packed(rows)])
 
     return run
@@ -868,7 +877,7 @@ def _fit_part(weights: Broadcast, layout: Broadcast):
         for kind in _CELL:
             found, counts = _summed(*_unpacked(table, kind))
             for name, (of, values) in (fit(w, kind, found, counts) if len(found) else {}).items():
-                rows.append((name, of.tobytes(), values.tobytes()))
+                rows.append((name, _out(of), _out(values.ravel())))
         copies = np.flatnonzero(layout.value.homes() == home).tolist()
         return pa.Table.from_batches([_packed([(part, *row) for part in copies for row in rows])])
 
@@ -889,7 +898,7 @@ def _deal_tokens(tables: Broadcast, layout: Broadcast):
             # Leaves go without the bucket and class, which the other cell tells.
             inside = (leaf % (INNER * LEAVES)).astype(np.int16)
             yield _packed([
-                (part, "tokens", outcome[own].tobytes(), of[own].tobytes() + inside[own].tobytes())
+                (part, "tokens", _out(outcome[own]), _out(of[own]) + _out(inside[own]))
                 for part, own in _by_part(where.heap(outcome // _CELL["class"], task))
             ])
 
@@ -931,9 +940,9 @@ def _score_part(weights: Broadcast):
         ids, sums = [], []
         for row in table.to_pylist():
             if row["kind"] == "tokens":
-                outcome = np.frombuffer(row["one"], np.int64)
-                ids.append(np.frombuffer(row["two"], np.int64, len(outcome)))
-                inside = np.frombuffer(row["two"], np.int16, offset=8 * len(outcome)).astype(np.int64)
+                outcome, size = _in(row["one"], np.int64), len(row["one"])
+                ids.append(_in(row["two"][:size], np.int64))
+                inside = _in(row["two"][size:], np.int16).astype(np.int64)
                 leaf = (outcome // _CELL["class"] * CLASSES + outcome % CLASSES) * (INNER * LEAVES) + inside
                 sums.append((outcome, leaf))
         if not ids:
@@ -968,6 +977,7 @@ def hashed_sums(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame
         .groupBy("part")
         .applyInArrow(_fit_part(weights, layout), PACKED),
         "weights",
+        "zstd",
     )
     dealt = rows.select("row_id", "numbers", "hashes").mapInArrow(_deal_tokens(tables, layout), PACKED)
     return (
