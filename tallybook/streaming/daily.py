@@ -21,7 +21,7 @@ from tallybook.sources import SCHEMAS, read_table, run_folder
 
 DAY = 86_400_000_000  # microseconds
 #: Rows of a file in time order, and how many files there are at least.
-FILE_ROWS, LEAST_FILES = 10_000_000, 4
+FILE_ROWS, LEAST_FILES = 10_000_000, 2
 
 
 def stream_events(
