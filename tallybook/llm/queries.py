@@ -58,6 +58,12 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can tell of the fingerprints' edited texts."""
+    found = fingerprints.fingerprints(documents(spark, sf_dir))
+    return found.select("doc_id", "n_chars", "edited_sha256")
+
+
 def op3_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent_lm.scored(documents(spark, sf_dir))
 
@@ -139,6 +145,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op11_vector_codes,
         op12_collocations,
         op13_line_dedup,
+        edited_texts,
     )
 }
 
@@ -214,6 +221,18 @@ ORACLE_SQL = {
         FROM texts
         WINDOW same AS (PARTITION BY lowered)
     """,
+    "edited_texts": """
+        WITH texts AS (
+            SELECT doc_id, coalesce(text, '') AS text,
+                   coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id DESC),
+                            first_value(coalesce(text, '')) OVER (ORDER BY doc_id DESC)) AS next
+            FROM documents
+        )
+        SELECT doc_id, length(text) AS n_chars,
+               sha256(substr(text, 1, length(text) - length(text) // 2)
+                      || substr(next, 1, length(text) // 2)) AS edited_sha256
+        FROM texts
+    """,
     "op7_minhash_near_dedup": """
         WITH RECURSIVE words AS (
             SELECT doc_id, list_filter(string_split_regex(
