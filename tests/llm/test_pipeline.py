@@ -50,7 +50,8 @@ def test_queries_equal_their_sql(spark, tables):
     import duckdb
 
     database = duckdb.connect()
-    database.sql(f"CREATE VIEW documents AS FROM '{tables}/documents.parquet'")
+    for name in ("documents", "embeddings"):
+        database.sql(f"CREATE VIEW {name} AS FROM '{tables}/{name}.parquet'")
     for name, text in ORACLE_SQL.items():
         result = QUERIES[name](spark, tables)
         expected = database.sql(text)
