@@ -24,10 +24,10 @@ probability out by their counts.
 4. Counts of (hashed history, outcome) are dealt by bucket, a part of the buckets to a task, which
    makes HASHED_UPDATES gradient updates of its buckets' weights, with the model of fixed size as
    the start and the prior, SLICE histories at a time. Of a bucket, distinct cells are merged first in several
-   tasks where its word has more tokens than a part. The weights of all parts are written as a table.
-5. Texts are scored in numpy batches: their tokens are dealt to the parts that hold their weights
-   and summed there by text. Tokens after a common word go to several tasks, each with a
-   copy of that bucket's weights.
+   tasks where its word has more tokens than a part. The counts of all parts are written as a table.
+5. Texts are scored in numpy batches: their tokens are dealt to the parts of their buckets, fitted there,
+   and summed by text. Tokens after a common word go to several tasks, each with a
+   copy of that bucket's counts, from which it finds the same weights.
 
 A token is a word or the end of a text. Among the rare words an unknown one is one outcome,
 with the share of words met once (Good-Turing). All outcomes sum to one.
@@ -870,16 +870,16 @@ def _fit_slice(w: Weights, kind: str, keys: np.ndarray, counts: np.ndarray, star
     return [(name, of, weights) for name, of, _, weights, _ in features]
 
 
-def _fit_part(weights: Broadcast, layout: Broadcast):
+def _copy_counts(layout: Broadcast):
+    """The counts of a home, added up, for every part that needs its weights."""
+
     def run(keys, table):
-        w, home = weights.value, keys[0].as_py()
+        copies = np.flatnonzero(layout.value.homes() == keys[0].as_py()).tolist()
         rows = []
         for kind in _CELL:
             found, counts = _summed(*_unpacked(table, kind))
-            for name, (of, values) in (fit(w, kind, found, counts) if len(found) else {}).items():
-                rows.append((name, _out(of), _out(values.ravel())))
-        copies = np.flatnonzero(layout.value.homes() == home).tolist()
-        return pa.Table.from_batches([_packed([(part, *row) for part in copies for row in rows])])
+            rows += [(part, kind, _out(found), _out(counts)) for part in copies]
+        return pa.Table.from_batches([_packed(rows)])
 
     return run
 
@@ -933,10 +933,6 @@ def hashed_log10(w: Weights, found: dict[str, tuple[np.ndarray, np.ndarray]], ki
 def _score_part(weights: Broadcast):
     def run(table):
         w = weights.value
-        found = {}
-        for name in ("near", "pair", "leaf"):
-            of, values = _unpacked(table, name, (np.int64, np.float16))
-            found[name] = of, values.reshape(len(of), LEAVES if name == "leaf" else CLASSES)
         ids, sums = [], []
         for row in table.to_pylist():
             if row["kind"] == "tokens":
@@ -948,6 +944,11 @@ def _score_part(weights: Broadcast):
         if not ids:
             return pa.table({"row_id": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
         outcome, leaf = (np.concatenate(own) for own in zip(*sums))
+        nothing = np.zeros(0, np.int64), np.zeros((0, CLASSES), np.float16)
+        found = dict.fromkeys(("near", "pair", "leaf"), nothing)
+        for kind in _CELL:
+            cells, counts = _unpacked(table, kind)
+            found |= fit(w, kind, cells, counts) if len(cells) else {}
         value = hashed_log10(w, found, "class", outcome) + hashed_log10(w, found, "leaf", leaf)
         rows, at = np.unique(np.concatenate(ids), return_inverse=True)
         return pa.table({"row_id": rows, "value": np.bincount(at, weights=value)})
@@ -970,19 +971,19 @@ def hashed_sums(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame
     layout = context.broadcast(Layout.of(model.words))
     tables, weights = context.broadcast(model.tables), context.broadcast(model.weights)
     counted = training.select("numbers", "hashes").mapInArrow(_deal_counts(tables, layout), PACKED)
-    learned = written(
+    counts = written(
         _by_parts(counted, layout)
         .groupBy("part")
         .applyInArrow(_merge_counts(layout), PACKED)
         .groupBy("part")
-        .applyInArrow(_fit_part(weights, layout), PACKED),
-        "weights",
+        .applyInArrow(_copy_counts(layout), PACKED),
+        "counts",
         "zstd",
     )
     dealt = rows.select("row_id", "numbers", "hashes").mapInArrow(_deal_tokens(tables, layout), PACKED)
     return (
         _by_parts(dealt, layout)
-        .unionByName(learned)
+        .unionByName(counts)
         .groupBy("part")
         .applyInArrow(_score_part(weights), "row_id bigint, value double")
     )
