@@ -17,6 +17,9 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BROADCAST_ROWS = 200_000
 #: Bytes of a batch that Python works on at a time.
 BATCH_BYTES = 8 << 20
+#: Spark's setting for the bytes of a batch that it hands to Python, and those that keep it below BATCH_BYTES
+#: with the row that goes beyond. Either side holds a batch besides its heap, Spark's default is 64 MB of it.
+ARROW_SETTING, ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 7 << 20
 #: Stands for a missing doc_id in join keys.
 NO_ID = -(2**63)
 
@@ -46,12 +49,22 @@ def text_of(frame: DataFrame) -> Column:
     return F.coalesce(frame["text"].cast("string"), F.lit(""))
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python of ARROW_BYTES from now on, unless the session names its own bound.
+
+    It stays set: results that are handed back are computed only when they are read.
+    """
+    if spark.conf.get(ARROW_SETTING, None) is None:
+        spark.conf.set(ARROW_SETTING, str(ARROW_BYTES))
+
+
 def identified(frame: DataFrame) -> DataFrame:
     """``doc_id``, ``text`` (never null) and ``text_hash``.
 
     ``doc_id`` and ``text_hash`` together name a document; rows that repeat both are the
     same document more than once.
     """
+    bounded_batches(frame.sparkSession)
     text = text_of(frame)
     return frame.select(
         frame["doc_id"].cast("bigint").alias("doc_id"),

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tallybook.llm import common
@@ -33,6 +35,28 @@ def test_stages_on_nulls_repeats_and_other_columns(spark, request, tables, kind)
         assert {50, 51, 52} & left and {53, 55, 62} <= left  # one of the texts without words, short and long ones
 
 
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    """10,000 rows or 64 MB are Spark's bounds otherwise."""
+
+    def measured(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 5000).alias("text"))
+    before = spark.conf.get(common.ARROW_SETTING, None)
+    try:
+        spark.conf.unset(common.ARROW_SETTING)
+        sizes = [row.size for row in common.identified(rows).mapInArrow(measured, "size bigint").collect()]
+        assert sum(sizes) > 3000 * 15_000 and max(sizes) <= common.BATCH_BYTES
+        spark.conf.set(common.ARROW_SETTING, "100000")  # a session's own bound holds
+        common.identified(rows)
+        assert spark.conf.get(common.ARROW_SETTING) == "100000"
+    finally:
+        spark.conf.unset(common.ARROW_SETTING)
+        if before is not None:
+            spark.conf.set(common.ARROW_SETTING, before)
+
+
 def test_one_query_per_operator():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES if name.startswith("op")) == list(range(1, 14))
     assert ORACLE_SQL.keys() < QUERIES.keys()
