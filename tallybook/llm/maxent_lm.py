@@ -26,7 +26,7 @@ probability out by their counts.
    the start and the prior, SLICE histories at a time. Of a bucket, distinct cells are merged first in several
    tasks where its word has more tokens than a part. The counts of all parts are written as a table.
 5. Texts are scored in numpy batches: their tokens are dealt to the parts of their buckets, fitted there,
-   and summed by text. Tokens after a common word go to several tasks, each with a
+   and summed by text, first over a part and a task, packed, then over all. Tokens after a common word go to several tasks, each with a
    copy of that bucket's counts, from which it finds the same weights.
 
 A token is a word or the end of a text. Among the rare words an unknown one is one outcome,
@@ -46,6 +46,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -85,7 +86,7 @@ LONG = 40
 def tokens(text: bytes) -> list[bytes]:
     """Lower-cased words of a text and its end."""
     found = text.lower().split()
-    if len(text) > LONG:
+    if max(map(len, found), default=0) > LONG:
         found = [w if len(w) <= LONG else b"\n" + hashlib.blake2b(w, digest_size=16).digest() for w in found]
     found.append(END)
     return found
@@ -126,7 +127,7 @@ class Words:
 
     def numbered(self, found: list[bytes]) -> np.ndarray:
         get, rare = self.numbers.get, self.rare
-        return np.array([get(word, rare) for word in found], np.int32)
+        return np.fromiter(map(get, found, repeat(rare)), np.int32, len(found))
 
 
 def count_words(training: DataFrame) -> tuple[DataFrame, Words]:
@@ -182,22 +183,34 @@ def _numbered(words: Broadcast):
         known: Words = words.value
         base = np.log10(np.append(known.counts, 0) + 1.0) - math.log10(known.total + known.distinct + 1)
         base[known.rare] = 0.0
-        rows = []
+        rows, counts = [], []
         for text in texts_as_bytes(batch.column("text")):
             found = tokens(text)
             numbers = known.numbered(found)
             rare = [found[place] for place in np.flatnonzero(numbers == known.rare).tolist()]
+            counts.append(Counter(rare))
             rows.append(
                 (
-                    len(found), len(found) - len(rare), float(base[numbers].sum()),
-                    [{"word": word, "n": n} for word, n in Counter(rare).items()],
-                    numbers.tobytes(), np.array([zlib.crc32(word) for word in rare], np.uint32).tobytes(),
+                    len(found), len(found) - len(rare), float(base[numbers].sum()), numbers.tobytes(),
+                    np.fromiter(map(zlib.crc32, rare), np.uint32, len(rare)).tobytes(),
                 )
             )
-        columns = list(zip(*rows)) or [()] * 6
+        n_tokens, n_known, sums, numbers, hashes = list(zip(*rows)) or [()] * 5
+        words_of = pa.StructArray.from_arrays(
+            [
+                pa.array(list(chain.from_iterable(counts)), pa.binary()),
+                pa.array(list(chain.from_iterable(own.values() for own in counts)), pa.int64()),
+            ],
+            names=["word", "n"],
+        )
+        ends = pa.array(np.cumsum([0, *map(len, counts)]), pa.int32())
+        values = [n_tokens, n_known, sums, None, numbers, hashes]
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("training")]
-            + [pa.array(values, field.type) for values, field in zip(columns, list(TOKENS)[2:])],
+            + [
+                pa.ListArray.from_arrays(ends, words_of) if own is None else pa.array(own, field.type)
+                for own, field in zip(values, list(TOKENS)[2:])
+            ],
             schema=TOKENS,
         )
 
@@ -454,8 +467,12 @@ def _step(
     The gradient is that of the likelihood less PULL / 2 times the squared way from the origin.
     """
     observed, expected = observed.reshape(weights.shape), expected.reshape(weights.shape)
-    slope = observed - expected - PULL * (weights - origin)
-    weights += slope / (np.maximum(observed, expected) + PULL) / active
+    slope, scale = observed - expected, np.maximum(observed, expected)
+    slope -= PULL * (weights - origin)
+    scale += PULL
+    slope /= scale
+    slope /= active
+    weights += slope
 
 
 def update(weights: Weights, origin: Weights, rows: list) -> None:
@@ -633,6 +650,10 @@ class Layout:
     def in_two_steps(self) -> bool:
         return self.parts + int(self.tasks.sum()) > self.heaps
 
+    def slots(self) -> int:
+        """Groups of rows whose sums are added up together."""
+        return max(1, min(self.parts, self.heaps))
+
     def homes(self) -> np.ndarray:
         """The part where the weights of each part are found."""
         return np.concatenate((np.arange(self.parts), np.repeat(self.first, self.tasks)))
@@ -652,7 +673,7 @@ def cells(t: Tables, layout: Layout, numbers: np.ndarray, hashes: np.ndarray) ->
     """
     one, two = _before(numbers, 0, 1), _before(numbers, 0, 2)
     bucket = _before(numbers, 0, 1, hashes) % layout.buckets
-    far = (_before(numbers, 0, 2, hashes) * 2654435761 >> 13) % FAR
+    far = (_before(numbers, 0, 2, hashes) * 2654435761 >> 13) & (FAR - 1)
     outcome = t.classes[numbers].astype(np.int64)
     history = ((bucket * FAR + far) * NEAR + t.near[one]) * SKIP + t.skip[two]
     leaf = ((bucket * CLASSES + outcome) * INNER + t.inner[one]) * LEAVES + t.leaves[numbers]
@@ -689,6 +710,8 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 
 def _by_part(parts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if len(parts) and parts.max() < 1 << 15:
+        parts = parts.astype(np.int16)  # sorted by digits
     order = np.argsort(parts, kind="stable")
     starts = _runs(parts[order])
     for own in np.split(order, starts[1:]) if len(starts) else []:
@@ -797,7 +820,7 @@ def _base(w: Weights, kind: str, histories: np.ndarray) -> np.ndarray:
 
 
 def _features(kind: str, histories: np.ndarray) -> dict[str, np.ndarray]:
-    """The rows of weights each history has."""
+    """The rows of weights each history has; those of a feature's row share that of the feature before it."""
     if kind == "leaf":
         return {"leaf": histories // INNER}
     pair = histories // (NEAR * SKIP)
@@ -812,6 +835,21 @@ def _scaled_softmax(logits: np.ndarray, total: np.ndarray) -> np.ndarray:
     return logits
 
 
+def _run_sums(rows: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Sums of the rows from each beginning to the next. Changes ``rows``.
+
+    Neighbours in a run are added up, then neighbours of what is left; ``reduceat`` takes several times as long.
+    """
+    sizes = np.diff(np.append(begins, len(rows)))
+    while len(sizes) < len(rows):
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        odd = np.flatnonzero(place & 1)
+        rows[odd - 1] += rows[odd]
+        rows = rows[place & 1 == 0]
+        sizes = (sizes + 1) // 2
+    return rows
+
+
 def _slices(buckets: np.ndarray) -> Iterator[slice]:
     """Whole buckets of at least SLICE rows together, or what is left."""
     begins = np.append(_runs(buckets), len(buckets))
@@ -855,16 +893,19 @@ def _fit_slice(w: Weights, kind: str, keys: np.ndarray, counts: np.ndarray, star
         features.append((name, of[begins], at, weights, seen.reshape(-1, outcomes)))
     pieces = [slice(first, first + SLICE) for first in range(0, len(histories), SLICE)]
     base = [_base(w, kind, histories[piece]).astype(np.float32) for piece in pieces[:1]]
-    for _ in range(HASHED_UPDATES):
+    for turn in range(HASHED_UPDATES):
         expected = [np.zeros_like(weights) for _, _, _, weights, _ in features]
         for number, piece in enumerate(pieces):
             logits = base[0].copy() if not number else _base(w, kind, histories[piece]).astype(np.float32)
-            for _, _, at, weights, _ in features:
+            for _, _, at, weights, _ in features if turn else ():  # all are zero at first
                 logits += weights[at[piece]]
             _scaled_softmax(logits, total[piece])
-            for sums, (_, _, at, _, _) in zip(expected, features):
-                begins = _runs(at[piece])
-                sums[at[piece][begins]] += np.add.reduceat(logits, begins)
+            rows, places = logits, np.arange(len(logits))
+            for sums, (_, _, at, _, _) in zip(expected[::-1], features[::-1]):
+                own = at[piece][places]
+                begins = _runs(own)
+                rows, places = _run_sums(rows, begins), places[begins]
+                sums[own[begins]] += rows
         for sums, (_, _, _, weights, seen) in zip(expected, features):
             _step(weights, np.float32(0), seen, sums, len(features))
     return [(name, of, weights) for name, of, _, weights, _ in features]
@@ -942,7 +983,7 @@ def _score_part(weights: Broadcast):
                 leaf = (outcome // _CELL["class"] * CLASSES + outcome % CLASSES) * (INNER * LEAVES) + inside
                 sums.append((outcome, leaf))
         if not ids:
-            return pa.table({"row_id": pa.array([], pa.int64()), "value": pa.array([], pa.float64())})
+            return _ROW_SUMS.empty_table()
         outcome, leaf = (np.concatenate(own) for own in zip(*sums))
         nothing = np.zeros(0, np.int64), np.zeros((0, CLASSES), np.float16)
         found = dict.fromkeys(("near", "pair", "leaf"), nothing)
@@ -950,12 +991,55 @@ def _score_part(weights: Broadcast):
             cells, counts = _unpacked(table, kind)
             found |= fit(w, kind, cells, counts) if len(cells) else {}
         value = hashed_log10(w, found, "class", outcome) + hashed_log10(w, found, "leaf", leaf)
-        rows, at = np.unique(np.concatenate(ids), return_inverse=True)
-        return pa.table({"row_id": rows, "value": np.bincount(at, weights=value)})
+        return pa.Table.from_batches([_row_sums([(0, *_summed(np.concatenate(ids), value))])])
 
     return run
 
 
+#: Sums of many rows' tokens: the rows' numbers, ascending, and a sum for each.
+_ROW_SUMS = pa.schema([("slot", pa.int32()), ("ids", pa.binary()), ("sums", pa.binary())])
+_ROW_SUMS_SQL = "slot int, ids binary, sums binary"
+
+
+def _row_sums(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    slots, ids, sums = zip(*found) if found else [()] * 3
+    columns = [slots, [_out(own) for own in ids], [_out(own) for own in sums]]
+    return pa.RecordBatch.from_arrays([pa.array(own, f.type) for own, f in zip(columns, _ROW_SUMS)], schema=_ROW_SUMS)
+
+
+def _added(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    ids, sums = zip(*found)
+    return _summed(np.concatenate(ids), np.concatenate(sums))
+
+
+def _deal_sums(slots: int):
+    """The sums of a task's parts, added up and dealt by row; a row has tokens in many parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def dealt() -> pa.RecordBatch:
+            ids, sums = _added(held)
+            held.clear()
+            slot = (ids * 2654435761 >> 16 & (1 << 31) - 1) % slots
+            return _row_sums([(number, ids[own], sums[own]) for number, own in _by_part(slot)])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                held.append((_in(row["ids"], np.int64), _in(row["sums"], np.float64)))
+                if sum(len(own) for own, _ in held) > 4 * DEALT:
+                    yield dealt()
+        if held:
+            yield dealt()
+
+    return run
+
+
+def _sum_slot(table: pa.Table) -> pa.Table:
+    ids, sums = _added([(_in(r["ids"], np.int64), _in(r["sums"], np.float64)) for r in table.to_pylist()])
+    return pa.table({"row_id": ids, "value": sums})
+
+
 def hashed_scores(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame:
     """row_id and the sum of log10 of the probabilities of its tokens up to their leaves, of row_id, text."""
     shared = training.sparkSession.sparkContext.broadcast(model.words)
@@ -966,7 +1050,7 @@ def hashed_scores(training: DataFrame, rows: DataFrame, model: Model) -> DataFra
 
 
 def hashed_sums(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame:
-    """row_id and value, several for a row: log10 of the probabilities up to the leaves."""
+    """row_id and value: the sum of log10 of the probabilities of its tokens up to their leaves."""
     context = training.sparkSession.sparkContext
     layout = context.broadcast(Layout.of(model.words))
     tables, weights = context.broadcast(model.tables), context.broadcast(model.weights)
@@ -985,7 +1069,10 @@ def hashed_sums(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame
         _by_parts(dealt, layout)
         .unionByName(counts)
         .groupBy("part")
-        .applyInArrow(_score_part(weights), "row_id bigint, value double")
+        .applyInArrow(_score_part(weights), _ROW_SUMS_SQL)
+        .mapInArrow(_deal_sums(layout.value.slots()), _ROW_SUMS_SQL)
+        .groupBy("slot")
+        .applyInArrow(_sum_slot, "row_id bigint, value double")
     )
 
 

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tallybook.llm import maxent_lm
@@ -162,3 +163,37 @@ def test_rows_that_are_not_read_from_files(spark, monkeypatch):
     assert found.keys() == plain.keys()
     for doc_id, (n_tokens, score) in plain.items():
         assert found[doc_id][0] == n_tokens and abs(found[doc_id][1] - score) < 1e-2 * abs(score)
+
+
+@pytest.mark.parametrize("heaps", [1024, 3])
+def test_sums_of_a_text_travel_packed_and_come_out_once(spark, heaps, monkeypatch):
+    """A text has tokens in many parts. Their sums are added up in a task, and rows there are as many as texts."""
+    monkeypatch.setattr(maxent_lm, "PART_TOKENS", 1000)
+    monkeypatch.setattr(maxent_lm, "HEAPS", heaps)
+    draw = random.Random(21)
+    texts = [" ".join(f"w{draw.randrange(3000)}" for _ in range(draw.randint(0, 80))) for _ in range(500)]
+    frame = spark.createDataFrame([(n, text) for n, text in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    _, words_ = maxent_lm.count_words(frame)
+    shared = spark.sparkContext.broadcast(words_)
+    rows = maxent_lm.numbered(maxent_lm.as_training(frame), shared)
+    assert maxent_lm.Layout.of(words_).parts > 10
+    found = maxent_lm.hashed_sums(rows, rows, maxent_lm.learn(rows, words_)).collect()
+    assert len(found) == len({row.row_id for row in found}) == 500
+    assert all(math.isfinite(row.value) and row.value < 0 for row in found)
+
+
+def test_sums_of_runs():
+    draw = np.random.default_rng(2)
+    for sizes in ([1], [1, 1, 1], [7], [1, 300, 2, 1, 64, 5], draw.integers(1, 40, 200)):
+        rows = draw.random((int(np.sum(sizes)), 3)).astype(np.float32)
+        begins = np.cumsum(sizes) - sizes
+        assert np.allclose(np.add.reduceat(rows, begins), maxent_lm._run_sums(rows.copy(), begins), rtol=1e-5)
+
+
+def test_sums_of_parts_are_added_up_before_they_are_dealt():
+    ids = np.array([3, 9, 1 << 33, (1 << 33) + 1], np.int64)
+    packed = [maxent_lm._row_sums([(0, ids[own], np.full(len(ids[own]), 0.5))]) for own in (slice(0, 3), slice(1, 4), slice(0, 0))]
+    [dealt] = maxent_lm._deal_sums(2)(iter(packed))
+    assert dealt.num_rows <= 2
+    found = maxent_lm._sum_slot(pa.Table.from_batches([dealt])).to_pylist()
+    assert {row["row_id"]: row["value"] for row in found} == {3: 0.5, 9: 1.0, 1 << 33: 1.0, (1 << 33) + 1: 0.5}
