@@ -252,11 +252,11 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
 def _before(numbers: np.ndarray, end: int, steps: int, of: np.ndarray | None = None) -> np.ndarray:
     """The token so many steps before, or its value in ``of``; at the start of a text, and beyond it, the end."""
     of, edge = (numbers, end) if of is None else (of, of[np.argmax(numbers == end)])
-    place = np.arange(len(numbers))
-    ends = np.where(numbers == end, place, -1)
-    start = np.concatenate(([0], np.maximum.accumulate(ends)[:-1] + 1))
-    back = place - steps
-    return np.where(back >= start, of[back], edge)
+    found = np.concatenate((np.full(steps, edge, of.dtype), of[:-steps]))[: len(numbers)]
+    # What stands just before a text is the end of the one before it; what stands beyond that is not the text's.
+    for nearer in range(1, steps):
+        found[nearer:][numbers[:-nearer] == end] = edge
+    return found
 
 
 def _sparse(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
