@@ -1055,15 +1055,13 @@ def hashed_sums(training: DataFrame, rows: DataFrame, model: Model) -> DataFrame
     layout = context.broadcast(Layout.of(model.words))
     tables, weights = context.broadcast(model.tables), context.broadcast(model.weights)
     counted = training.select("numbers", "hashes").mapInArrow(_deal_counts(tables, layout), PACKED)
-    counts = written(
-        _by_parts(counted, layout)
-        .groupBy("part")
-        .applyInArrow(_merge_counts(layout), PACKED)
-        .groupBy("part")
-        .applyInArrow(_copy_counts(layout), PACKED),
-        "counts",
-        "zstd",
+    merged = written(
+        _by_parts(counted, layout).groupBy("part").applyInArrow(_merge_counts(layout), PACKED), "counts", "zstd"
     )
+    # Only parts of common words have a home that gathers several, and copies.
+    common = F.col("part") >= layout.value.parts
+    copies = merged.where(common).groupBy("part").applyInArrow(_copy_counts(layout), PACKED)
+    counts = merged.where(~common).unionByName(copies)
     dealt = rows.select("row_id", "numbers", "hashes").mapInArrow(_deal_tokens(tables, layout), PACKED)
     return (
         _by_parts(dealt, layout)

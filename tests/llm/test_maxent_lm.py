@@ -197,3 +197,21 @@ def test_sums_of_parts_are_added_up_before_they_are_dealt():
     assert dealt.num_rows <= 2
     found = maxent_lm._sum_slot(pa.Table.from_batches([dealt])).to_pylist()
     assert {row["row_id"]: row["value"] for row in found} == {3: 0.5, 9: 1.0, 1 << 33: 1.0, (1 << 33) + 1: 0.5}
+
+
+def test_counts_of_common_words_are_gathered_and_copied(spark, monkeypatch):
+    """However the buckets are dealt to parts, the weights are the same, and so the sums."""
+    draw = random.Random(22)
+    texts = [" ".join(draw.choice(["of", f"w{draw.randrange(300)}"]) for _ in range(40)) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    _, words_ = maxent_lm.count_words(frame)
+    rows = maxent_lm.numbered(maxent_lm.as_training(frame), spark.sparkContext.broadcast(words_))
+    model = maxent_lm.learn(rows, words_)
+    found = []
+    for part_tokens in (1_000_000, 1500):
+        monkeypatch.setattr(maxent_lm, "PART_TOKENS", part_tokens)
+        layout = maxent_lm.Layout.of(words_)
+        assert bool(len(layout.hot)) == (part_tokens == 1500)
+        found.append({row.row_id: row.value for row in maxent_lm.hashed_sums(rows, rows, model).collect()})
+    assert found[0].keys() == found[1].keys() and len(found[0]) == 200
+    assert all(abs(found[1][row] - value) < 1e-3 * abs(value) for row, value in found[0].items())
